@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality, simhash, toxicity
+from . import exact, huffman, licenses, mixing, packing, quality, simhash, suffix, toxicity, urlrules
+from .common import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,28 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "huffman")
+    huffman.write_tokens(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", end=2)
+    return huffman.read_tokens(spark, path, ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end=1)
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -34,7 +57,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op9_toxicity, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op4_repeated_strings, op5_huffman_ids, op6_license_scan, op7_packing, op8_url_rules, op9_toxicity, op10_source_mix)}
 
 ORACLES = {
     "op3_exact_dedup": """
