@@ -5,7 +5,470 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import graph, history, layout, listing, search, traces
+from . import bindings as B
 
 FLAGSHIP = "cmp1_ranked_search"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TERMS = ["red", "bolt", "economy"]
+DIR = "economy/brand1"
+NOW_MS = 1_704_500_000_000
+
+
+def query(views: str | None = None, sql: str | None = None, recursive: bool = False) -> Callable:
+    """Register a function of (spark, sf_dir) by its name, with its SQL over the views named."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = B.sql(views, sql, recursive) if views else sql
+        return f
+
+    return add
+
+
+def _term_sql(t: str) -> dict[str, str]:
+    name, folder = "string_split(path, '/')[-1]", "regexp_replace(path, '/?[^/]*$', '')"
+    words = r"string_split(lower(regexp_replace(symbol, '([a-z])([A-Z])', '\1 \2', 'g')), ' ')"
+    bit = lambda x: f"contains(lower({x}), '{t}')::INT"
+    return {
+        "file": bit(name), "dir": bit(folder), "docstring": bit("docstring"), "sections": bit("section"), "internals": bit("internal"),
+        "exports": f"list_max(list_transform(exports, lambda e: CASE WHEN lower(e) = '{t}' THEN 2 WHEN contains(lower(e), '{t}') THEN 1 ELSE 0 END))",
+        "symbols": f"CASE WHEN lower(symbol) = '{t}' THEN 2.5 WHEN list_contains({words}, '{t}') THEN 1.5 WHEN contains(lower(symbol), '{t}') THEN 1 ELSE 0 END",
+    }
+
+
+def _ranked_sql(terms: list[str], limit: int) -> str:
+    """The ranking in SQL: hits, document frequencies, weights, boosts."""
+    score = lambda t: " + ".join(f"{w} * ({_term_sql(t)[k]})" for k, w in search.WEIGHTS.items())
+    cols = ", ".join(f"({score(t)})::DOUBLE AS s{i}" for i, t in enumerate(terms))
+    weights = ", ".join(f"s{i} * (SELECT CASE WHEN count(*) FILTER (s{i} > 0) = 0 THEN 10 ELSE least(10, greatest(1, ln(count(*) / count(*) FILTER (s{i} > 0)))) END FROM hits) AS w{i}" for i in range(len(terms)))
+    base, matched = " + ".join(f"w{i}" for i in range(len(terms))), " + ".join(f"(w{i} > 0)::INT" for i in range(len(terms)))
+    names = ", ".join(f"CASE WHEN w{i} > 0 THEN '{t}' END" for i, t in enumerate(terms))
+    return f""", hits AS (SELECT path, language, len(exports) AS n, indegree, recent_count, hub_score, is_hub, {cols} FROM full_files),
+        weighted AS (SELECT *, {weights} FROM hits), based AS (SELECT *, {base} AS base, {matched} AS m, concat_ws(' ', {names}) AS matched FROM weighted),
+        ranked AS (SELECT path, language, matched, is_hub, round(hub_score, 6) AS hub_score,
+            round((base + least(5, 0.5 * recent_count)) * (CASE WHEN indegree > 0 THEN 1 + 0.05 * log2(1 + indegree) ELSE 1 END)
+                * (CASE WHEN n > 5 THEN 1 / (1 + 0.3 * log2(n / 5)) ELSE 1 END)
+                * (CASE WHEN m > 1 THEN 1 + (m / {len(terms)}) ** 2 * least(1, base / m / 3) ELSE 1 END), 6) AS score
+            FROM based WHERE base > 0 ORDER BY score DESC, path LIMIT {limit})"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str, terms: list[str], limit: int) -> DataFrame:
+    return search.ranked(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), terms, limit)
+
+
+# Ranking and search.
+
+
+@query("full_files", _ranked_sql(TERMS, 20) + " SELECT * FROM ranked")
+def cmp1_ranked_search(spark, sf_dir):
+    rows = _ranked(spark, sf_dir, TERMS, 20)
+    return rows.select("path", "language", F.array_join("matched_terms", " ").alias("matched"), "is_hub", F.round("hub_score", 6).alias("hub_score"), F.round("score", 6).alias("score"))
+
+
+@query("full_files", _ranked_sql(["widget"], 50) + " SELECT * FROM ranked")
+def top1_single_term(spark, sf_dir):
+    rows = _ranked(spark, sf_dir, ["Widget"], 50)
+    return rows.select("path", "language", F.array_join("matched_terms", " ").alias("matched"), "is_hub", F.round("hub_score", 6).alias("hub_score"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "full_files pairs",
+    _ranked_sql(TERMS, 20)
+    + """, near AS (SELECT path, string_agg(partner || ':' || cochange_count, ',' ORDER BY r) AS partners FROM (
+            SELECT *, row_number() OVER (PARTITION BY path ORDER BY cochange_count DESC, partner) AS r FROM pairs WHERE path IN (SELECT path FROM ranked)) WHERE r <= 5 GROUP BY path),
+        who AS (SELECT target_path AS path, string_agg(source_path, ',' ORDER BY source_path) AS importers FROM imports WHERE target_path IN (SELECT path FROM ranked) GROUP BY ALL)
+        SELECT term, path, score, coalesce(importers, '') AS importers, coalesce(partners, '') AS partners
+        FROM (SELECT *, unnest(string_split(matched, ' ')) AS term FROM ranked) LEFT JOIN near USING (path) LEFT JOIN who USING (path)""",
+)
+def cmp2_search(spark, sf_dir):
+    rows = search.search(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), "|".join(TERMS))
+    near = F.array_join(F.transform("cochange_partners", lambda p: F.concat_ws(":", p["partner"], p["cochange_count"].cast("string"))), ",")
+    return rows.select("term", "path", F.round("score", 6).alias("score"), F.coalesce(F.array_join("importers", ","), F.lit("")).alias("importers"), F.coalesce(near, F.lit("")).alias("partners"))
+
+
+@query(
+    "files",
+    """SELECT path, concat_ws(';', CASE WHEN contains(lower(symbol), 'red') THEN 'symbol=' || symbol || '@' || line END,
+            nullif(list_aggregate(list_transform(list_filter(list_distinct(exports), lambda e: contains(e, 'red')), lambda e: 'export=' || e), 'string_agg', ';'), ''),
+            CASE WHEN contains(string_split(path, '/')[-1], 'red') THEN 'file=' || string_split(path, '/')[-1] END,
+            CASE WHEN contains(regexp_replace(path, '/?[^/]*$', ''), 'red') THEN 'directory=' || regexp_replace(path, '/?[^/]*$', '') END,
+            CASE WHEN contains(lower(docstring), 'red') THEN 'docstring=' || trim(substr(docstring, greatest(1, strpos(lower(docstring), 'red') - 24), strpos(lower(docstring), 'red') + 27 - greatest(1, strpos(lower(docstring), 'red') - 24))) END) AS matches
+        FROM files""",
+)
+def cmp3_evidence(spark, sf_dir):
+    text = F.transform(search.evidence("red"), lambda m: F.concat(m["kind"], F.lit("="), m["value"], F.coalesce(F.concat(F.lit("@"), m["line"].cast("string")), F.lit(""))))
+    return B.files(spark, sf_dir).select("path", F.array_join(text, ";").alias("matches"))
+
+
+@query(
+    "full_files",
+    _ranked_sql(TERMS, 20)
+    + """SELECT path, min(t * 1000 + rank) // 1000 AS term_no, min(t * 1000 + rank) % 1000 AS rank FROM (
+            SELECT path, list_position(['red', 'bolt', 'economy'], term) - 1 AS t, row_number() OVER (PARTITION BY term ORDER BY score DESC, path) AS rank
+            FROM (SELECT *, unnest(string_split(matched, ' ')) AS term FROM ranked)) GROUP BY path ORDER BY min(t * 1000 + rank) LIMIT 10""",
+)
+def top11_palette(spark, sf_dir):
+    rows = _ranked(spark, sf_dir, TERMS, 20).withColumn("term", F.explode("matched_terms")).withColumn("score", F.round("score", 6))
+    return search.palette(rows, TERMS).select("path", F.col("term_no").cast("long").alias("term_no"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("full_files", _ranked_sql(TERMS, 50) + " SELECT term, count(*) AS results FROM (SELECT unnest(string_split(matched, ' ')) AS term FROM ranked) GROUP BY term")
+def agg18_results_per_term(spark, sf_dir):
+    return _ranked(spark, sf_dir, TERMS, 50).select(F.explode("matched_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("results"))
+
+
+@query("files", "SELECT " + ", ".join(f"count(*) FILTER ({' + '.join(f'({s})' for s in _term_sql(t).values())} > 0) AS df_{t}" for t in TERMS) + " FROM files")
+def agg8_document_frequency(spark, sf_dir):
+    some = lambda t: X.any_of([c > 0 for c in search.field_scores(t).values()])
+    return B.files(spark, sf_dir).agg(*(F.count(F.when(some(t), 1)).alias(f"df_{t}") for t in TERMS))
+
+
+@query("files", "SELECT language, count(*) AS n, round(CASE WHEN count(*) = 0 THEN 10 ELSE least(10, greatest(1, ln((SELECT count(*) FROM files) / count(*)))) END, 6) AS idf FROM files GROUP BY language")
+def agg9_idf(spark, sf_dir):
+    rows = B.files(spark, sf_dir)
+    counts = rows.groupBy("language").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))  # one row
+    return counts.select("language", "n", F.round(search.idf(F.col("total"), F.col("n")), 6).alias("idf"))
+
+
+# Graph views.
+
+
+@query("degrees", "SELECT path, indegree FROM degrees")
+def agg2_indegree(spark, sf_dir):
+    return graph.indegrees(B.imports(spark, sf_dir))
+
+
+@query("degrees", "SELECT coalesce(max(indegree), 0) AS most FROM degrees")
+def agg7_max_indegree(spark, sf_dir):
+    return graph.max_indegree(B.imports(spark, sf_dir))
+
+
+@query("full_files", "SELECT path, indegree, commit_count, recent_count, round(hub_score, 6) AS hub_score, is_hub FROM full_files")
+def jn2_degrees_and_stats(spark, sf_dir):
+    rows = graph.with_degrees(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir))
+    return rows.select("path", "indegree", "commit_count", "recent_count", F.round("hub_score", 6).alias("hub_score"), "is_hub")
+
+
+CLUSTER = "CASE WHEN len(string_split({0}, '/')) > 2 THEN string_split({0}, '/')[1] || '/' || string_split({0}, '/')[2] ELSE {0} END"
+
+
+@query("files", f"SELECT {CLUSTER.format('path')} AS cluster, count(*) AS file_count FROM files GROUP BY ALL")
+def cmp4_summary_clusters(spark, sf_dir):
+    return graph.summary(B.files(spark, sf_dir), B.imports(spark, sf_dir))[0]
+
+
+@query("imports", f"SELECT least(a, b) AS source, greatest(a, b) AS target, count(*) AS weight FROM (SELECT {CLUSTER.format('source_path')} AS a, {CLUSTER.format('target_path')} AS b FROM imports) WHERE a <> b GROUP BY ALL")
+def agg13_cluster_edges(spark, sf_dir):
+    return graph.cluster_edges(B.imports(spark, sf_dir))
+
+
+def _detail(spark, sf_dir):
+    return graph.detail(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), DIR)
+
+
+@query("full_files", f"SELECT path, language, indegree, commit_count, recent_count, round(hub_score, 6) AS hub_score FROM full_files WHERE starts_with(path, '{DIR}')")
+def cmp5_detail_files(spark, sf_dir):
+    return _detail(spark, sf_dir)[0].select("path", "language", "indegree", "commit_count", "recent_count", F.round("hub_score", 6).alias("hub_score"))
+
+
+@query("imports", f"SELECT source_path, target_path FROM imports WHERE starts_with(source_path, '{DIR}') OR starts_with(target_path, '{DIR}')")
+def flt7_detail_edges(spark, sf_dir):
+    return _detail(spark, sf_dir)[1]
+
+
+@query("cochanges", f"SELECT * FROM cochanges WHERE starts_with(path_a, '{DIR}') OR starts_with(path_b, '{DIR}')")
+def cmp5_detail_cochanges(spark, sf_dir):
+    return _detail(spark, sf_dir)[2]
+
+
+def _overview(spark, sf_dir):
+    return graph.overview(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), "economy", limit=200)
+
+
+TOP = ", top AS (SELECT * FROM full_files WHERE starts_with(path, 'economy') ORDER BY hub_score DESC, path LIMIT 200)"
+
+
+@query("full_files", TOP + " SELECT path, language, round(hub_score, 6) AS hub_score, is_hub, commit_count, recent_count FROM top")
+def cmp6_overview_files(spark, sf_dir):
+    return _overview(spark, sf_dir)[0].select("path", "language", F.round("hub_score", 6).alias("hub_score"), "is_hub", "commit_count", "recent_count")
+
+
+@query("full_files", TOP + " SELECT source_path, target_path FROM imports WHERE source_path IN (SELECT path FROM top) AND target_path IN (SELECT path FROM top)")
+def set5_overview_edges(spark, sf_dir):
+    return _overview(spark, sf_dir)[1]
+
+
+@query("full_files cochanges", TOP + " SELECT * FROM cochanges WHERE cochange_count >= 2 AND path_a IN (SELECT path FROM top) AND path_b IN (SELECT path FROM top)")
+def flt6_overview_cochanges(spark, sf_dir):
+    return _overview(spark, sf_dir)[2]
+
+
+@query("files", "SELECT count(*) AS total_files FROM files WHERE starts_with(path, 'economy')")
+def cmp6_overview_total(spark, sf_dir):
+    return _overview(spark, sf_dir)[3]
+
+
+def _some_path(spark, sf_dir) -> str:
+    return B.files(spark, sf_dir).filter("p_partkey = 7").first()["path"]
+
+
+SELF = ", me AS (SELECT path AS p FROM files WHERE p_partkey = 7)"
+
+
+@query(
+    "full_files pairs",
+    SELF
+    + """, near AS (SELECT 'self' AS kind, p AS path, NULL::BIGINT AS weight FROM me UNION ALL SELECT 'imports', target_path, NULL FROM imports JOIN me ON source_path = p
+            UNION ALL SELECT 'imported_by', source_path, NULL FROM imports JOIN me ON target_path = p
+            UNION ALL SELECT * FROM (SELECT 'cochange', partner, cochange_count FROM pairs JOIN me ON path = p ORDER BY cochange_count DESC, partner LIMIT 30))
+        SELECT kind, path, weight, language, indegree, round(hub_score, 6) AS hub_score FROM near JOIN full_files USING (path)""",
+)
+def cmp7_neighbours(spark, sf_dir):
+    rows = graph.neighbours(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+    return rows.select("kind", "path", "weight", "language", "indegree", F.round("hub_score", 6).alias("hub_score"))
+
+
+@query("pairs imports", SELF + " SELECT p AS path FROM me UNION SELECT target_path FROM imports JOIN me ON source_path = p UNION SELECT source_path FROM imports JOIN me ON target_path = p UNION SELECT partner FROM pairs JOIN me ON path = p")
+def flt13_focus(spark, sf_dir):
+    return graph.focus(B.imports(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+
+
+@query("imports", "SELECT source_path, target_path FROM imports WHERE regexp_matches(source_path, '[.](cs|py)$') AND regexp_matches(target_path, '[.](cs|py)$')")
+def flt11_visible_edges(spark, sf_dir):
+    return graph.visible(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.cochanges(spark, sf_dir), [".cs", ".py"])[1]
+
+
+@query("cochanges", "SELECT path_a, path_b, cochange_count FROM cochanges WHERE cochange_count >= 2 OR starts_with(path_a, 'economy') OR starts_with(path_b, 'economy')")
+def set4_merged_pairs(spark, sf_dir):
+    pairs = B.cochanges(spark, sf_dir)
+    more = pairs.filter(F.col("path_a").startswith("economy") | F.col("path_b").startswith("economy")).select(F.col("path_b").alias("path_a"), F.col("path_a").alias("path_b"), "cochange_count")
+    return graph.merge_pairs(pairs.filter("cochange_count >= 2"), more)
+
+
+# History.
+
+
+@query("stats", "SELECT path, commit_count, recent_count, last_modified FROM stats")
+def agg10_commit_stats(spark, sf_dir):
+    return B.stats(spark, sf_dir)
+
+
+@query("cochanges", "SELECT * FROM cochanges")
+def agg11_cochange_counts(spark, sf_dir):
+    return B.cochanges(spark, sf_dir)
+
+
+@query("changes", "SELECT a.path AS path_a, b.path AS path_b, count(*) AS cochange_count FROM changes a JOIN changes b ON a.hash = b.hash AND a.path < b.path WHERE a.hash IN (SELECT hash FROM changes GROUP BY hash HAVING count(*) <= 6) GROUP BY ALL")
+def cmp8_small_commits(spark, sf_dir):
+    return B.cochanges(spark, sf_dir, most=6)
+
+
+@query("pairs", "SELECT path, partner, cochange_count, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cochange_count DESC, partner) AS r FROM pairs) WHERE r <= 5")
+def win2_partners(spark, sf_dir):
+    return graph.partners(B.cochanges(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("changes", "SELECT path, count(*) AS commit_count, count(*) FILTER (ts >= TIMESTAMP '1998-01-01') AS recent_count, max(ts) AS last_modified FROM changes GROUP BY path")
+def snk4_accumulated_stats(spark, sf_dir):
+    rows = B.changes(spark, sf_dir)
+    cut = F.lit("1998-01-01").cast("timestamp")
+    part = lambda df, n: df.groupBy("path").agg(F.count(F.lit(1)).alias("commit_count"), F.lit(n).alias("x"), F.max("ts").alias("last_modified")).withColumn("recent_count", F.when(F.col("x") > 0, F.col("commit_count")).otherwise(0)).drop("x")
+    return history.accumulate(part(rows.filter(F.col("ts") < cut), 0), part(rows.filter(F.col("ts") >= cut), 1)).select("path", "commit_count", "recent_count", "last_modified")
+
+
+# Listings.
+
+
+@query("imports", "SELECT f.path, language, array_to_string(exports, ' ') AS exports, count(source_path) AS import_count FROM files f LEFT JOIN imports ON path = source_path GROUP BY ALL")
+def jn1_files_with_imports(spark, sf_dir):
+    return listing.files_with_imports(B.files(spark, sf_dir), B.imports(spark, sf_dir)).withColumn("exports", F.array_join("exports", " "))
+
+
+@query("imports", "SELECT path, language, count(source_path) AS import_count FROM (SELECT * FROM files WHERE path ILIKE '%brand1%' ORDER BY path LIMIT 50 OFFSET 20) LEFT JOIN imports ON path = source_path GROUP BY ALL")
+def top3_page(spark, sf_dir):
+    return listing.page(B.files(spark, sf_dir), B.imports(spark, sf_dir), "Brand1", 50, 20).drop("exports")
+
+
+@query("files", "SELECT count(*) AS n_files, count(DISTINCT repo_id) AS n_repos FROM files")
+def agg1_totals(spark, sf_dir):
+    return B.files(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("repo_id").alias("n_repos"))
+
+
+@query("files", "SELECT r AS id, count(repo_id) AS file_count FROM (VALUES ('repo0'), ('repo1'), ('repo2'), ('repo9')) v(r) LEFT JOIN files ON repo_id = r GROUP BY ALL")
+def jn11_files_per_repo(spark, sf_dir):
+    repos = spark.createDataFrame([("repo0",), ("repo1",), ("repo2",), ("repo9",)], "id string")
+    return listing.files_per_repo(repos, B.files(spark, sf_dir))
+
+
+@query("files", "SELECT repo_id, count(*) AS file_count FROM files GROUP BY repo_id")
+def agg4_repo_counts(spark, sf_dir):
+    return B.files(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))
+
+
+@query("files", "SELECT language, count(*) AS file_count FROM files GROUP BY language")
+def agg5_languages(spark, sf_dir):
+    return listing.languages(B.files(spark, sf_dir))
+
+
+@query("imports", "SELECT repo_id, count(*) AS edges FROM imports JOIN files ON path = source_path GROUP BY repo_id")
+def agg6_edges_per_repo(spark, sf_dir):
+    files = B.files(spark, sf_dir).select(F.col("path").alias("source_path"), "repo_id")
+    return B.imports(spark, sf_dir).join(files, "source_path").groupBy("repo_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("files", "SELECT '.' || string_split(path, '.')[-1] AS file_type, count(*) AS file_count FROM files GROUP BY ALL")
+def agg16_file_types(spark, sf_dir):
+    return listing.file_types(B.files(spark, sf_dir))
+
+
+@query("files", "SELECT language, count(*) AS file_count, floor(100 * count(*) / (SELECT count(*) FROM files) + 0.5)::BIGINT AS percent FROM files GROUP BY language ORDER BY file_count DESC, language LIMIT 6")
+def agg19_language_shares(spark, sf_dir):
+    return listing.language_shares(B.files(spark, sf_dir))
+
+
+@query(
+    "full_files pairs",
+    SELF
+    + """ SELECT path, language, commit_count, recent_count,
+            (SELECT coalesce(string_agg(target_path, ',' ORDER BY target_path), '') FROM imports JOIN me ON source_path = p) AS imports,
+            (SELECT coalesce(string_agg(source_path, ',' ORDER BY source_path), '') FROM imports JOIN me ON target_path = p) AS importers,
+            (SELECT string_agg(partner || ':' || cochange_count, ',' ORDER BY cochange_count DESC, partner) FROM (SELECT partner, cochange_count FROM pairs JOIN me ON path = p ORDER BY cochange_count DESC, partner LIMIT 20)) AS partners
+        FROM full_files JOIN me ON path = p""",
+)
+def prj2_file_document(spark, sf_dir):
+    row = listing.file_document(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+    near = F.array_join(F.transform("cochange_partners", lambda p: F.concat_ws(":", p["partner"], p["cochange_count"].cast("string"))), ",")
+    return row.select("path", "language", "commit_count", "recent_count", F.array_join("import_paths", ",").alias("imports"), F.array_join("importers", ",").alias("importers"), near.alias("partners"))
+
+
+@query("files", f"SELECT cluster, arg_min(language, (-n, language)) AS language FROM (SELECT {CLUSTER.format('path')} AS cluster, language, count(*) AS n FROM files GROUP BY ALL) GROUP BY cluster")
+def prj4_dominant_language(spark, sf_dir):
+    return listing.dominant_language(B.files(spark, sf_dir))
+
+
+# Paths and names.
+
+
+@query("files", "SELECT path, string_split(path, '/')[-1] AS name, regexp_replace(path, '/?[^/]*$', '') AS folder, '.' || string_split(path, '.')[-1] AS ext, language FROM files")
+def prj3_path_parts(spark, sf_dir):
+    p = F.col("path")
+    return B.files(spark, sf_dir).select("path", X.file_name(p).alias("name"), X.dir_path(p).alias("folder"), X.extension(p).alias("ext"), X.language_of(p).alias("language"))
+
+
+@query("files", r"SELECT path, lower(regexp_replace(symbol, '([a-z])([A-Z])', '\1 \2', 'g')) AS tokens, CASE WHEN contains(path, 'red') THEN 1 ELSE 0 END AS hit FROM files")
+def fn1_name_tokens(spark, sf_dir):
+    return B.files(spark, sf_dir).select("path", F.array_join(X.name_tokens(F.col("symbols")[0]["name"]), " ").alias("tokens"), X.has(F.col("path"), "red").cast("int").alias("hit"))
+
+
+@query("files", "SELECT path, " + ", ".join(f"({_term_sql('ring')[k]})::DOUBLE AS {k}_score" for k in ("exports", "symbols")) + " FROM files")
+def fn4_match_scores(spark, sf_dir):
+    return B.files(spark, sf_dir).select("path", X.export_match(F.col("exports"), "ring").alias("exports_score"), X.symbol_match(F.col("symbols"), "ring").alias("symbols_score"))
+
+
+@query("files", "SELECT path FROM files WHERE starts_with(path, 'small') AND NOT regexp_matches(path, '[.](cs)$')")
+def flt5_dir_prefix(spark, sf_dir):
+    rows = graph.in_dir(B.files(spark, sf_dir), "small")
+    return rows.filter(X.extension(F.col("path")) != ".cs").select("path")
+
+
+@query(None, "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') AS bare, sha256(lower(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[.]git$', ''), '/$', ''))) AS identity_key FROM pages")
+def fn31_identity_keys(spark, sf_dir):
+    pages = B.table(spark, sf_dir, "pages")
+    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/$", "")
+    return pages.select("page_id", bare.alias("bare"), X.identity_key(F.lit("/tmp"), F.col("url")).alias("identity_key"))
+
+
+@query(None, "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 400 - length('... [truncated ' || length(text) || ' chars]')) || '... [truncated ' || (length(text) - (400 - length('... [truncated ' || length(text) || ' chars]'))) || ' chars]' END AS capped FROM documents")
+def fn35_capped(spark, sf_dir):
+    return B.table(spark, sf_dir, "documents").select("doc_id", X.capped_json(F.col("text"), 400).alias("capped"))
+
+
+@query(None, "SELECT event_id, coalesce((props::JSON->>'k')::INT, -1) AS k FROM events")
+def fn32_json(spark, sf_dir):
+    return B.table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+
+
+# Traces.
+
+
+@query("traces", "SELECT * FROM traces")
+def agg14_trace_roll_up(spark, sf_dir):
+    return traces.roll_up(B.spans(spark, sf_dir))
+
+
+@query("traces", "SELECT * FROM traces WHERE source IN ('cli') ORDER BY started_ms DESC, trace_id LIMIT 50")
+def trc1_recent_traces(spark, sf_dir):
+    return traces.recent(traces.roll_up(B.spans(spark, sf_dir)), 50, ["cli"])
+
+
+@query("spans", "SELECT span_id, name, started_ms, duration_ms FROM spans WHERE trace_id = '3'")
+def trc2_spans_of_trace(spark, sf_dir):
+    return traces.spans_of(B.spans(spark, sf_dir), "3").select("span_id", "name", "started_ms", "duration_ms")
+
+
+@query("logs", "SELECT level, message, timestamp_ms FROM logs WHERE trace_id = '8'")
+def top6_logs_of_trace(spark, sf_dir):
+    return traces.logs_of(B.logs(spark, sf_dir), "8").select("level", "message", "timestamp_ms")
+
+
+@query("spans", ", tree AS (SELECT trace_id, span_id, 0::BIGINT AS depth FROM spans WHERE parent_span_id IS NULL UNION ALL SELECT s.trace_id, s.span_id, depth + 1 FROM spans s JOIN tree t ON s.trace_id = t.trace_id AND s.parent_span_id = t.span_id) SELECT * FROM tree", recursive=True)
+def trc4_span_depth(spark, sf_dir):
+    return traces.depths(B.spans(spark, sf_dir)).select("trace_id", "span_id", "depth")
+
+
+@query("spans", "SELECT span_id, round(100 * (started_ms - s) / x, 6) AS left_percent, round(greatest(2, 100 * duration_ms / x), 6) AS width_percent FROM (SELECT *, min(started_ms) OVER t AS s, (max(started_ms + duration_ms) OVER t - min(started_ms) OVER t) AS x FROM spans WINDOW t AS (PARTITION BY trace_id))")
+def trc5_waterfall(spark, sf_dir):
+    return traces.waterfall(B.spans(spark, sf_dir)).select("span_id", F.round("left_percent", 6).alias("left_percent"), F.round("width_percent", 6).alias("width_percent"))
+
+
+@query("logs", "SELECT trace_id, span_id, count(*) AS n_logs FROM logs GROUP BY ALL")
+def win10_logs_per_span(spark, sf_dir):
+    return traces.logs_per_span(B.logs(spark, sf_dir))
+
+
+@query("traces logs", f"SELECT 'trace' AS kind, count(*) AS n FROM traces WHERE started_ms >= 1700001000000 UNION ALL SELECT 'span', count(*) FROM spans WHERE trace_id IN (SELECT trace_id FROM traces WHERE started_ms >= 1700001000000) UNION ALL SELECT 'log', count(*) FROM logs WHERE timestamp_ms >= {NOW_MS - 7 * 86_400_000}")
+def str4_retention(spark, sf_dir):
+    spans = B.spans(spark, sf_dir)
+    young, own, _ = traces.kept(traces.roll_up(spans), spans, B.logs(spark, sf_dir), 1_700_001_000_000 + 7 * 86_400_000)
+    _, _, logs = traces.kept(traces.roll_up(spans), spans, B.logs(spark, sf_dir), NOW_MS)
+    count = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    return count("trace", young).unionByName(count("span", own)).unionByName(count("log", logs))
+
+
+@query("traces", "SELECT * FROM traces")
+def str2_trace_merge(spark, sf_dir):
+    spans = B.spans(spark, sf_dir)
+    early, late = spans.filter("parent_span_id is null"), spans.filter("parent_span_id is not null")
+    return traces.merged(traces.roll_up(late), traces.roll_up(early))
+
+
+@query("spans", "SELECT span_id FROM spans WHERE duration_ms >= 200")
+def str3_new_spans(spark, sf_dir):
+    spans = B.spans(spark, sf_dir)
+    return traces.new_spans(spans.filter("duration_ms < 200"), spans.unionAll(spans)).select("span_id")
+
+
+# Drawings.
+
+
+@query("files", "SELECT path, next_path FROM (SELECT path, lead(path) OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY path) AS next_path FROM files) WHERE next_path IS NOT NULL")
+def win7_chains(spark, sf_dir):
+    return layout.chains(B.files(spark, sf_dir))
+
+
+@query("degrees", "SELECT path, regexp_replace(path, '/?[^/]*$', '') AS folder, round(heat, 6) AS heat, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY heat DESC, path) AS rank FROM (SELECT path, coalesce(indegree, 0) / (SELECT max(indegree) FROM degrees) AS heat FROM files LEFT JOIN degrees USING (path))")
+def win8_heat_ranks(spark, sf_dir):
+    rows = layout.heat_ranks(B.files(spark, sf_dir), graph.indegrees(B.imports(spark, sf_dir)))
+    return rows.select("path", "folder", F.round("heat", 6).alias("heat"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("imports", ", ends AS (SELECT source_path AS path FROM imports UNION ALL SELECT target_path FROM imports), degree AS (SELECT path, count(*) AS degree FROM ends GROUP BY path) SELECT path, layer, degree, r AS place FROM (SELECT path, p_partkey % 4 AS layer, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY coalesce(degree, 0) DESC, path) AS r FROM files LEFT JOIN degree USING (path)) WHERE r <= 40")
+def win3_layer_places(spark, sf_dir):
+    rows = layout.placed(B.files(spark, sf_dir).select("path", (F.col("p_partkey") % 4).alias("layer")), B.imports(spark, sf_dir))
+    return rows.withColumn("place", F.col("place").cast("long"))
