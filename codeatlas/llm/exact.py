@@ -44,6 +44,7 @@ def retain(stream: DataFrame, state: str, folder: str) -> DataFrame:
     spark = stream.sparkSession
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else each partition's store sets megabytes aside
     try:
         first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "row"))
         grouped = stream.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
