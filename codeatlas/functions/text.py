@@ -153,7 +153,10 @@ def like_path(path: Column, part: str, wildcards: bool = True) -> Column:
 def query_terms(query: str, distinct: bool = True) -> list[str]:
     """The terms of a query, parted by bars; equal ones (in lower case) count once unless distinct is false."""
     terms = [t.strip() for t in query.split("|") if t.strip()]
-    return list({t.lower(): t for t in reversed(terms)}.values())[::-1] if distinct else terms
+    first: dict[str, str] = {}
+    for t in terms:
+        first.setdefault(t.lower(), t)
+    return list(first.values()) if distinct else terms
 
 
 def sphere_point(i: Column, n: Column) -> Column:

@@ -79,7 +79,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     level = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "warn").otherwise("info")
-    return rows.select(F.when(F.col("user_id") % 7 > 0, F.col("user_id").cast("string")).alias("trace_id"), F.when(F.col("event_id") % 3 > 0, F.concat(F.col("user_id").cast("string"), F.lit("-1"))).alias("span_id"), level.alias("level"), F.col("event_type").alias("message"), F.unix_millis("ts").alias("timestamp_ms"))
+    return rows.select(F.when(F.col("user_id") % 7 > 0, F.col("user_id").cast("string")).alias("trace_id"), F.when(F.col("event_id") % 3 > 0, F.concat(F.col("user_id").cast("string"), F.lit("-1"))).alias("span_id"), level.alias("level"), F.col("event_type").alias("message"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"))
 
 
 #: The same views as common table expressions.

@@ -1,0 +1,98 @@
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeatlas.functions import text as X
+from codeatlas.operators import search
+from codeatlas.schemas import FILES, IMPORTS, STATS
+
+
+def one(spark, column, **values):
+    row = {k: v for k, v in values.items() if v is not None} or {"x": 1}
+    return spark.createDataFrame([row]).select(column.alias("c")).first()["c"]
+
+
+@pytest.mark.parametrize("n, df, want", [(5, 0, 10), (5, 1, 1.609438), (5, 2, 1), (5, 5, 1), (100, 3, 3.506558), (1_000_000, 1, 10)])
+def test_idf(spark, n, df, want):
+    assert round(one(spark, search.idf(F.lit(n), F.lit(df))), 6) == want
+
+
+@pytest.mark.parametrize(
+    "base, matched, terms, recent, indegree, exports, want",
+    [(9, 1, 1, 0, 0, 1, 9), (9, 1, 1, 4, 3, 1, 12.1), (9, 1, 1, 20, 0, 1, 14), (9, 1, 1, 0, 0, 10, 6.923077), (12, 2, 2, 0, 0, 1, 24), (2, 2, 2, 0, 0, 1, 2.666667), (6, 2, 3, 2, 1, 20, 6.635417)],
+)
+def test_boosts(spark, base, matched, terms, recent, indegree, exports, want):
+    score = search.boosted(F.lit(float(base)), F.lit(matched), terms, F.lit(recent), F.lit(indegree), F.lit(exports))
+    assert round(one(spark, score), 6) == want
+
+
+@pytest.mark.parametrize("name, want", [("getIndegrees", "get indegrees"), ("build_import_graph", "build import graph"), ("HTTPServerURLMap", "http server url map"), ("foo.ts", "foo.ts")])
+def test_tokens(spark, name, want):
+    assert " ".join(one(spark, X.name_tokens(F.lit(name)))) == want
+    assert one(spark, X.evidence_tokens(F.lit("foo.ts"))) == ["foo", "ts"]
+
+
+def row(path, exports=(), symbols=(), doc="", sections=(), internals=(), language="typescript"):
+    return ("r", path, language, list(exports), [], doc, list(sections), list(internals), list(symbols), [])
+
+
+FILES_ROWS = [
+    row("src/auth.ts", ["auth"], [("AuthService", "class", 3, True), ("AuthService", "class", 3, False)], "Handles Auth tokens", ["Auth"], ["authCache"]),
+    row("src/auth/login.ts", ["login"]),
+    row("src/session.ts", ["sessionFor", "authenticate"]),
+    row("lib/none.ts"),
+]
+
+
+def world(spark):
+    return SimpleNamespace(
+        files=spark.createDataFrame(FILES_ROWS, FILES),
+        imports=spark.createDataFrame([("r", f"src/{i}.ts", "src/auth.ts") for i in range(6)] + [("r", "src/auth.ts", "src/session.ts")], IMPORTS).drop("repo_id"),
+        stats=spark.createDataFrame([("r", "src/session.ts", 9, 4, None)], STATS).drop("repo_id"),
+        pairs=spark.createDataFrame([("src/auth.ts", "src/session.ts", 3), ("lib/none.ts", "src/auth.ts", 5)], "path_a string, path_b string, cochange_count bigint"),
+    )
+
+
+def test_ranking_and_ties(spark):
+    w = world(spark)
+    got = search.ranked(w.files, w.imports, w.stats, ["Auth"], 10).collect()
+    assert [g.path for g in got] == ["src/auth.ts", "src/session.ts", "src/auth/login.ts"]
+    assert got[0].is_hub and got[0].hub_score == 1.0 and not got[1].is_hub
+    assert search.ranked(w.files, w.imports, w.stats, [], 10).count() == 0
+    assert search.ranked(w.files.limit(0), w.imports, w.stats, ["auth"]).count() == 0
+    with pytest.raises(ValueError):
+        search.ranked(w.files, w.imports, w.stats, ["auth"], -1)
+
+
+def test_search_rows(spark):
+    w = world(spark)
+    rows = search.search(w.files, w.imports, w.stats, w.pairs, " auth | Login |auth", 10)
+    got = {(r.term, r.path): r for r in rows.collect()}
+    assert set(got) == {("auth", "src/auth.ts"), ("auth", "src/session.ts"), ("auth", "src/auth/login.ts"), ("login", "src/auth/login.ts")}
+    best = got["auth", "src/auth.ts"]
+    assert best.importers == [f"src/{i}.ts" for i in range(6)] and [p.partner for p in best.cochange_partners] == ["lib/none.ts", "src/session.ts"]
+    assert [(m.kind, m.value) for m in best.matches] == [("symbol", "AuthService"), ("export", "auth"), ("internal", "authCache"), ("file", "auth.ts"), ("section", "Auth"), ("docstring", "Handles Auth tokens")]
+    assert {r.term: len(r.results) for r in search.by_term(rows).collect()} == {"auth": 3, "login": 1}
+
+
+def test_query_terms():
+    assert X.query_terms(" a |b|| A ") == ["a", "b"] and X.query_terms("a|A", distinct=False) == ["a", "A"]
+
+
+def test_path_functions(spark):
+    c = lambda f, v: one(spark, f(F.lit(v)))
+    assert [c(X.cluster_key, p) for p in ("packages/engine/src/a.ts", "src/a.ts", "README.md")] == ["packages/engine", "src/a.ts", "README.md"]
+    assert c(X.normal_path, "a/./b//../c/../../../d") == "d" and c(X.dir_path, "a/b/c.ts") == "a/b" and c(X.dir_path, "c.ts") == ""
+    assert [c(X.extension, p) for p in ("a/B.TS", ".bashrc", "x", "a.d.ts", "x.y/z")] == [".ts", "", "", ".ts", ""]
+    assert [c(X.file_type, p) for p in ("a/B.TS", ".bashrc", "x")] == [".ts", ".bashrc", "(no ext)"]
+    assert c(X.language_of, "a.cs") == "csharp" and c(X.language_of, "a.mts") is None
+    assert c(X.folder_key, "a/b/c/d/e/f.ts") == "a/b/c/d" and c(X.folder_key, "f.ts") == "(root)"
+    assert one(spark, X.json_texts(F.lit('["a"]'))) == ["a"] and c(X.json_texts, "nope") == [] and c(X.json_texts, '{"a": 1}') == []
+    assert len(one(spark, X.json_symbols(F.lit('[{"name":"a","kind":"k","line":1,"exported":true},{"name":"b","line":"x"}]')))) == 1
+    long = c(lambda t: X.capped_json(t, 60), "z" * 100)
+    assert len(long) <= 60 and long.endswith(" chars]") and c(lambda t: X.capped_json(t, 60), "z" * 60) == "z" * 60
+    keys = {one(spark, X.identity_key(F.lit("/x"), F.lit(u))) for u in ("git@github.com:Org/Repo.git", "https://github.com/org/repo", " https://github.com/org/repo.git")}
+    assert len(keys) == 1
+    point = one(spark, X.sphere_point(F.lit(0), F.lit(9)))
+    assert abs(point.x**2 + point.y**2 + point.z**2 - 1) < 1e-9
