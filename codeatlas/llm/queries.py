@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import exact, huffman, licenses, mixing, packing, quality, simhash, suffix, toxicity, urlrules
 from .common import scratch
 
@@ -57,7 +59,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op4_repeated_strings, op5_huffman_ids, op6_license_scan, op7_packing, op8_url_rules, op9_toxicity, op10_source_mix)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op4_repeated_strings, op5_huffman_ids, op6_license_scan, op7_packing, op8_url_rules, op9_toxicity, op10_source_mix, pipeline)}
 
 ORACLES = {
     "op3_exact_dedup": """

@@ -104,7 +104,7 @@ def fit(texts: list[bytes], marks: list[int]) -> Model:
     """Train both dictionaries and the calibration on labelled texts.
 
     Half of the texts (every other one) build the dictionaries and all calibrate. Where one of the two classes is missing,
-    every score is the share of marked texts.
+    every score is near the share of marked texts, and under 0.5 without any.
     """
     toxic = [t for t, y in zip(texts, marks) if y]
     ordinary = [t for t, y in zip(texts, marks) if not y]
@@ -116,7 +116,7 @@ def fit(texts: list[bytes], marks: list[int]) -> Model:
     model.toxic = model.toxic[len(model.toxic) % 12 :]
     x = np.array([model.features(t) for t in texts], float).reshape(len(texts), 6)
     if not toxic or not ordinary:
-        share = (len(toxic) + 0.5) / (len(texts) + 1)
+        share = (len(toxic) + 0.5) / (len(texts) + 2)
         model.weights[0] = np.log(share / (1 - share))
         return model
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)

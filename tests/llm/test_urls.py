@@ -1,0 +1,43 @@
+import re
+
+from codeatlas.llm import urlrules
+
+SPEC = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+URLS = [None, "", "no scheme", "http://", "http://A.Example.COM/en/1?x=/", "https://www.example.com/en/", "http://example.com/fr", "http://xcom/en/", "http://b.net/es/9#t", "http://net/fr/x", "http://b.net/en", "ftp://q.org?u=http://e.net/es/", "http://example.com", "a://b://c/d", "http://NET/ES/", "http://example.com/enx"]
+
+
+def brute(url):
+    url = url or ""
+    if "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(len(h + p), h + p, v) for h, p, v in SPEC if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_rules_match_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS)], "page_id long, url string, verdict string, tokens string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for r in urlrules.judge_urls(pages, labels).collect():
+        host, path, rule, verdict = brute(URLS[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule), URLS[r.page_id]
+        if verdict:
+            assert r.verdict == verdict
+
+
+def test_mined_rules_match_brute_force(spark):
+    rows = [(i, f"http://{'ads' if i % 3 == 0 else 'news'}.site{i % 5}.org/{'win' if i % 2 else 'read'}/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + [(900, "http://ads.site1.org/win/900"), (901, "http://fresh.org/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not (i % 3 == 0 and i % 2)), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlrules.judge_urls(pages, labels, min_support=0.05).collect()}
+    assert all(got[i].verdict == ("block" if i % 3 == 0 and i % 2 else "allow") for i in range(400))
+    assert got[900].verdict == "block" and got[900].mined == "h:ads p:win" and got[901].verdict == "allow"
+    assert len(got) == 402
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urlrules.judge_urls(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
