@@ -121,7 +121,7 @@ SQL = {
         FROM spans GROUP BY trace_id)""",
     "logs": """logs AS (
         SELECT CASE WHEN user_id % 7 > 0 THEN user_id::VARCHAR END AS trace_id, CASE WHEN event_id % 3 > 0 THEN user_id || '-1' END AS span_id,
-            CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level, event_type AS message, epoch_ms(ts) AS timestamp_ms
+            CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level, event_type AS message, epoch_us(ts) // 1000 AS timestamp_ms
         FROM events)""",
 }
 _NEEDS = {"imports": ["files"], "changes": ["files"], "stats": ["changes"], "cochanges": ["changes"], "degrees": ["imports"], "pairs": ["cochanges"], "full_files": ["degrees", "stats"], "traces": ["spans"]}

@@ -2,35 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph, history, layout, listing, search, traces
 from . import bindings as B
+from . import indexing
+from .base import ORACLES, QUERIES, query
 
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "indexing"]
 FLAGSHIP = "cmp1_ranked_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 TERMS = ["red", "bolt", "economy"]
 DIR = "economy/brand1"
 NOW_MS = 1_704_500_000_000
 
 
-def query(views: str | None = None, sql: str | None = None, recursive: bool = False) -> Callable:
-    """Register a function of (spark, sf_dir) by its name, with its SQL over the views named."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = B.sql(views, sql, recursive) if views else sql
-        return f
-
-    return add
-
-
 def _term_sql(t: str) -> dict[str, str]:
     name, folder = "string_split(path, '/')[-1]", "regexp_replace(path, '/?[^/]*$', '')"
     words = r"string_split(lower(regexp_replace(symbol, '([a-z])([A-Z])', '\1 \2', 'g')), ' ')"
