@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset on a single machine, under its temporary folder."""
+    """A new path in the folder that driver and executors share.
+
+    The folder is spark.checkpoint.dir. Where it is unset, as in tests on one machine, a
+    local one takes its place; on a cluster the setting is required.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -19,7 +23,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written once and read again: lineage ends here, and a lost executor costs no more than its tasks."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written once and read again: lineage ends here, and a lost executor costs no more than its tasks.
+
+    Nothing needs the shuffle files of the write once it is over, so Spark is told to drop them.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(df.schema).parquet(path)
