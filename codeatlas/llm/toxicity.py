@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str =
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(mark).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("id"), F.col(mark).cast("int").alias("mark")).distinct().orderBy(F.xxhash64("id"), "id", "mark").limit(sample)
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(chosen), "id")
-    got = sorted((bytes(r["text"]), r["mark"]) for r in rows.select("text", "mark").toLocalIterator())
+    got = sorted((bytes(r["text"]), r["mark"]) for r in rows.select("text", "mark").repartition(16).toLocalIterator())
     rng = np.random.default_rng(9)
     order = rng.permutation(len(got))
     return fit([got[i][0] for i in order], [got[i][1] for i in order])
