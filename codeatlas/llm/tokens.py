@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +18,32 @@ from .common import stored, tune
 #: two such places is encoded alone. Texts with other runs of white space are cut by the pattern.
 _RUN = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Encoded pieces that a worker keeps, and the longest piece among them.
+#: A piece of letters, then dots or commas, and perhaps both again after a line end: tokens cross none of these borders either.
+_STEMS = re.compile(r"([^\W\d_]+)([.,]+)(?:(\n)([^\W\d_]+)([.,]*))?")
+#: Letters that normal forms and lower case leave letters: words of them can be encoded in a row and told apart afterwards.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
+#: Encoded pieces in each of a worker's two generations, and the longest piece among them.
 CACHE = 400_000
 LONGEST = 48
+#: Bytes of texts that are encoded together, so that a piece in many of them is looked up once.
+TOGETHER = 12_000_000
+#: Marks the first piece of a text, which no space precedes.
+_FIRST = "\0"
+
+
+def _single_spaced(text: str) -> bool:
+    """Whether no white space stands at an end or beside other white space. Most texts hold no more than spaces and line ends."""
+    if text.replace("\n", "x").isprintable():
+        return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")) or not text
+    return not _RUN.search(text)
 
 
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; ids fit 16 bits.
 
     Texts are cut at single spaces and each distinct piece is encoded by the library once, as
-    long as the bounded cache holds it. The result is that of encode() on the whole text.
+    long as the bounded cache holds it: what is used stays, as one generation of pieces passes
+    into the next. The result is that of encode() on the whole text.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,30 +53,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins, self.ends = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        for name, i in names.items():
+            self.begins[i], self.ends[i] = name.startswith("Ġ"), name.endswith("</w>")
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _single(self, pieces: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ") if not _RUN.search(text) else _CUT.split(text)
-        first, *rest = parts
-        return [first, *(" " + p for p in rest)]
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 16-bit integers."""
-        pieces = self._pieces(text)
+    def _in_a_row(self, words: list[str]) -> list[bytes]:
+        """Plain words, each after a space: encoded together and parted where a word begins or ends."""
+        if not words:
+            return []
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
+        cuts = np.flatnonzero(self.begins[ids])
+        if len(cuts) == len(words) and cuts[0] == 0:
+            cuts = np.append(cuts, len(ids))
+        else:
+            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):
+                return self._single([" " + w for w in words])
+        raw, cuts = ids.tobytes(), (2 * cuts).tolist()
+        return [raw[i:k] for i, k in zip(cuts, cuts[1:])]
+
+    def _encode(self, pieces: set[str]) -> set[str]:
+        """The ids of pieces (keys: without their space, or with the mark of a first piece)."""
+        stems = {p for p in pieces if p.isalpha()}
+        compound: dict[str, list[str]] = {}
+        for p in pieces - stems:
+            m = _STEMS.fullmatch(p)
+            if m:
+                compound[p] = [m[1], *(_FIRST + x for x in m.groups()[1:] if x)]
+            else:
+                stems.add(p)
+        stems |= self._recall({x for own in compound.values() for x in own} - stems)
+        plain = [x for x in stems if x.isascii() and x.isalpha() or _PLAIN.fullmatch(x)]
+        other = list(stems.difference(plain))
+        fresh: dict[str, bytes] = {}
+        for i in range(0, len(plain), 2000):
+            fresh.update(zip(plain[i : i + 2000], self._in_a_row(plain[i : i + 2000])))
+        fresh.update(zip(other, self._single([x[1:] if x[0:1] == _FIRST else " " + x for x in other])))
+        self.known.update(fresh)
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in set(pieces) if p not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(pieces))
-        fresh = dict(zip(new, self._encode(new)))
-        out = b"".join(fresh[p] if p in fresh else known[p] for p in pieces)
-        known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
+        known.update({p: b"".join([known[x] for x in own]) for p, own in compound.items()})
+        return stems.union(compound)
+
+    def _recall(self, keys: set[str]) -> set[str]:
+        """The keys that no generation knows; those of the older one pass into the younger."""
+        new = keys - self.known.keys()
+        for k in new & self.older.keys():
+            self.known[k] = self.older[k]
+        return new - self.known.keys()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers."""
+        cut = []
+        for text in texts:
+            parts = text.split(" ") if _single_spaced(text) else _CUT.split(text)
+            parts[0] = _FIRST + parts[0]
+            cut.append(parts if text.find(" " + _FIRST) < 0 else [_FIRST + text])
+        fresh = self._encode(self._recall(set().union(*cut)))
+        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        for p in fresh:
+            if len(p) > LONGEST:
+                del self.known[p]
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
         return out
 
 
@@ -100,17 +160,27 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
     tail = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(local_path(tokenizer))
+        encode = encoder(local_path(tokenizer)).many
         so_far: dict[int, int] = {}
+
+        def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encoded = iter(encode([t for b in held for t in b.column("text").to_pylist()]))
+            for b in held:
+                ids, before, sizes = [x + tail for x in islice(encoded, b.num_rows)], [], []
+                for x, q in zip(ids, b.column("queue").to_pylist()):
+                    sizes.append(len(x) // 2)
+                    before.append(so_far.get(q, 0))
+                    so_far[q] = before[-1] + sizes[-1]
+                columns = [b.column("part"), b.column("id"), b.column("queue"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "queue", "before", "n_tokens", "ids"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            ids, before, sizes = [], [], []
-            for text, q in zip(b.column("text").to_pylist(), b.column("queue").to_pylist()):
-                ids.append(encode(text) + tail)
-                sizes.append(len(ids[-1]) // 2)
-                before.append(so_far.get(q, 0))
-                so_far[q] = before[-1] + sizes[-1]
-            columns = [b.column("part"), b.column("id"), b.column("queue"), pa.array(before, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "queue", "before", "n_tokens", "ids"])
+            held.append(b)
+            if sum(x.nbytes for x in held) >= TOGETHER:
+                yield from finished(held)
+                held = []
+        yield from finished(held)
 
     return stored(dealt.mapInArrow(run, f"part int, id {kind}, queue int, before bigint, n_tokens bigint, ids binary"), "tokens")
 

@@ -12,13 +12,18 @@ from codeatlas.llm import huffman, packing, tokens
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_the_library(name, rows):
+def test_encoder_equals_the_library(name, rows, monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
-    encode = tokens.encoder(tokens.local_path(name))
+    encoder = tokens.Encoder(tokens.local_path(name))
+    monkeypatch.setattr(tokens, "CACHE", 60)
     odd = ["a  b", " a", "a ", "a \n b", "x\n\n y", "it's 12 'quoted' 　z", "é ́x", "a\tb c", "İx ΣΑΣ Σ b", "<|endoftext|> x", "a\x1c b", " ", "\n"]
-    for text in odd + [r[1] or "" for r in rows]:
-        assert np.frombuffer(encode(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
+    odd += ["word, word. end.\nNext one,\nand Éa éa. x² ²,", "first,\nsecond. \0zero \0", "\0", "don't, can't. x.y,z a,b", "end. ", "ŉ ŀ ǆ, Ǆ. ſ ẞ", "a\nb c\n\nd"]
+    texts = odd + [r[1] or "" for r in rows]
+    for k in (1, 7, len(texts)):
+        got = [ids for i in range(0, len(texts), k) for ids in encoder.many(texts[i : i + k])]
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 @given(st.lists(st.integers(0, 40), max_size=900), st.integers(0, 3))
