@@ -15,6 +15,8 @@ from .common import stored, tune, utf8
 #: A repeat has REPEAT bytes at least; a trigger is a string of TRIGGER bytes.
 REPEAT = 100
 TRIGGER = 32
+#: Contexts of one trigger that are compared in one place; the windows of more are grouped one by one.
+CROWDED = 256
 _WINDOW = REPEAT - TRIGGER + 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -89,13 +91,11 @@ class Parse:
         reach = (before << 8 | after).astype(np.uint64)
         return self.keys[self.at], mixed(h ^ reach * np.uint64(0x94D049BB133111EB)), self.at, before, after
 
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Starts of the strings of REPEAT bytes whose least trigger is (or equals) one of those at these places."""
-        wanted = np.zeros(len(self.least), bool)
-        for place in at.tolist():
-            low, high = max(0, place - _WINDOW + 1), min(len(self.least), place + 1)
-            wanted[low:high] |= self.least[low:high] == self.keys[place]
-        return np.flatnonzero(wanted)
+    def own_windows(self, at: np.ndarray) -> np.ndarray:
+        """Per trigger at these places, for each number of bytes before it (0 to REPEAT - TRIGGER), whether the string of REPEAT bytes that begins there has this trigger (or an equal one) as its least."""
+        start = at[:, None] - np.arange(_WINDOW)[None, :]
+        inside = (start >= 0) & (start < len(self.least))
+        return inside & (self.least[np.clip(start, 0, len(self.least) - 1)] == self.keys[at][:, None])
 
 
 def spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +121,109 @@ def triggers(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "raw").mapInArrow(run, "key bigint, ctx bigint, doc bigint, at bigint, reach int")
 
 
-def window_hashes(docs: DataFrame) -> DataFrame:
-    """h1, h2, doc, start for every window of the triggers listed in open (columns doc, raw, open)."""
+def open_contexts(docs: DataFrame) -> DataFrame:
+    """key, doc, at, bytes and own for each trigger listed in open (columns doc, raw, open): what its windows can reach, padded, and which windows are its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, raw, at in zip(*(b.column(k).to_pylist() for k in range(3))):
-                starts = Parse(raw).windows(np.array(at))
-                one, two = (Roller(raw, seed).hashes(starts, starts + REPEAT).view(np.int64) for seed in (1, 2))
-                for k in range(0, len(starts), 1 << 18):
-                    s = slice(k, k + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), pa.array(np.full(len(one[s]), doc, np.int64)), pa.array(starts[s])], names=["h1", "h2", "doc", "start"])
+            got = []
+            for doc, raw, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+                parse, at = Parse(raw), np.array(places)
+                padded = np.concatenate([np.zeros(_WINDOW - 1, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(REPEAT, np.uint8)])
+                near = padded[at[:, None] + np.arange(_WINDOW - 1 + REPEAT)[None, :]]
+                own = np.packbits(parse.own_windows(at), axis=1)
+                got.append((parse.keys[at].view(np.int64), np.full(len(at), doc, np.int64), at, near, own))
+            key, doc, at, near, own = (np.concatenate(x) for x in zip(*got))
+            for k in range(0, len(at), 4096):
+                s = slice(k, k + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(doc[s]), pa.array(at[s].astype(np.int64)), _rows(near[s]), _rows(own[s])], names=["key", "doc", "at", "bytes", "own"])
+
+    return docs.select("doc", "raw", "open").mapInArrow(run, "key bigint, doc bigint, at bigint, bytes binary, own binary")
+
+
+def _rows(table: np.ndarray) -> pa.Array:
+    """The rows of a table of bytes as binary values."""
+    n, width = table.shape
+    offsets = np.arange(0, n * width + 1, width, dtype=np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _table(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def context_windows(near: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the windows of padded contexts, a row per context and a column per number of bytes before the trigger."""
+    values = np.random.default_rng(seed).integers(0, 1 << 64, 256, np.uint64)
+    width = near.shape[1]
+    Roller._grow(width + 1)
+    sums = np.zeros((len(near), width + 1), np.uint64)
+    np.cumsum(values[near] * Roller._powers[:width], axis=1, out=sums[:, 1:])
+    start = _WINDOW - 1 - np.arange(_WINDOW)
+    return mixed((sums[:, start + REPEAT] - sums[:, start]) * Roller._inverse[start])
+
+
+def first_windows(contexts: DataFrame) -> DataFrame:
+    """doc, at, stay: of the own windows of contexts that share a key, those that no earlier one (by doc, at) has."""
+    spark = contexts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = contexts.repartition(parts, "key").sortWithinPartitions("key", "doc", "at")
+
+    def judged(b: pa.Table) -> pa.RecordBatch:
+        near, own = _table(b.column("bytes").combine_chunks(), _WINDOW - 1 + REPEAT), _table(b.column("own").combine_chunks(), -(-_WINDOW // 8))
+        own = np.unpackbits(own, axis=1)[:, :_WINDOW].astype(bool)
+        key = b.column("key").to_numpy().view(np.uint64)
+        row, before = np.nonzero(own)
+        one = context_windows(near, 1)[row, before] ^ mixed(key + np.uint64(1))[row]
+        two = mixed(context_windows(near, 2)[row, before] + before.astype(np.uint64))
+        order = np.lexsort((row, two, one))
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        first = np.zeros(own.shape, bool)
+        lead = order[np.concatenate([[True], ~same])] if len(order) else order
+        first[row[lead], before[lead]] = True
+        return pa.RecordBatch.from_arrays([b.column("doc").combine_chunks(), b.column("at").combine_chunks(), _rows(np.packbits(first, axis=1))], names=["doc", "at", "stay"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            keys = held.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
+            if whole >= 4096:
+                yield judged(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield judged(held)
 
-    return docs.select("doc", "raw", "open").mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, start bigint")
+    return dealt.mapInArrow(run, "doc bigint, at bigint, stay binary")
+
+
+def first_common_windows(contexts: DataFrame) -> DataFrame:
+    """As first_windows() for keys of very many contexts: a row per window, whose first place is found by aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near, own = _table(b.column("bytes"), _WINDOW - 1 + REPEAT), _table(b.column("own"), -(-_WINDOW // 8))
+            row, before = np.nonzero(np.unpackbits(own, axis=1)[:, :_WINDOW])
+            one, two = (context_windows(near, seed)[row, before].view(np.int64) for seed in (1, 2))
+            for k in range(0, len(row), 1 << 17):
+                s = slice(k, k + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(one[s]), pa.array(two[s]), b.column("doc").take(pa.array(row[s])), b.column("at").take(pa.array(row[s])), pa.array(before[s].astype(np.int32))], names=["h1", "h2", "doc", "at", "before"])
+
+    windows = contexts.mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, at bigint, before int")
+    # Of equal windows the first place counts; equal ones have their triggers equally far on, so order by doc and at is order by start.
+    first = windows.groupBy("h1", "h2", "before").agg(F.min(F.struct("doc", "at")).alias("f"))
+    return first.groupBy("f.doc", "f.at").agg(F.collect_list("before").alias("stays"))
+
+
+def _distinguished(rows: DataFrame) -> DataFrame:
+    """rows, with doc numbered anew in its order where rows of one id have different texts."""
+    sums = rows.select("doc", F.xxhash64("raw").alias("text"))
+    if sums.groupBy("doc").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").isEmpty():
+        return rows
+    order = sums.distinct().repartitionByRange("doc", "text").sortWithinPartitions("doc", "text")
+    numbers = stored(order.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    return rows.withColumn("text", F.xxhash64("raw")).join(numbers, ["doc", "text"]).select("id", F.col("number").alias("doc"), "raw")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
@@ -146,44 +236,56 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Equal strings share a trigger (see Parse), so the corpus is ordered by triggers and their
     contexts, not byte by byte. A trigger seen once holds no repeat. All occurrences of a
     context but the first are repeats from end to end. Where a trigger has several contexts,
-    the first occurrence of each is open: its windows are ordered by their own hashes (128
-    bits), and all but the first of equal ones are repeats.
-
-    Null texts are empty; null ids come last; rows that share an id are versions of one
-    document, and a string does not repeat itself at the same start; other columns are not
-    read; an empty table gives an empty one. Ids are integers.
+    the first occurrence of each is open: the windows whose least trigger it is are compared
+    by their own hashes (128 bits) with those of the key's other contexts, and all but the
+    first of equal ones are repeats. Contexts of a key are few and meet in order of place; for
+    keys with over CROWDED of them each window is a row, and equal ones are aggregated.
+
+    Null texts are empty; null ids come last; rows that share an id but not the text are
+    ordered by a hash of it, and rows that share both are one document; other columns are
+    not read; an empty table gives an empty one. Ids are integers.
     """
     spark = tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     last = (1 << 63) - 1
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(last)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("raw"))
+    rows = _distinguished(rows)
     found = triggers(rows)
     repeated = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("n > 1").select("key", (F.col("a") != F.col("b")).alias("several"))
     seen = stored(triggers(rows).join(repeated, "key"), "repeated")
-    first = seen.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"))
-    marked = seen.join(first, ["key", "ctx"]).withColumn("is_first", (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))).filter("several or not is_first")
+    first = stored(seen.groupBy("key", "ctx").agg(F.min(F.struct("doc", "at")).alias("first"), F.first("several").alias("several")), "contexts")
+    crowded = first.filter("several").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded"))
+    marked = seen.drop("several").join(first, ["key", "ctx"]).withColumn("is_first", (F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))).filter("several or not is_first")
     place = F.col("at") * 65536 + F.col("reach")
     lists = marked.groupBy("doc").agg(F.collect_list(F.when(~F.col("is_first"), place)).alias("whole"), F.collect_list(F.when(F.col("is_first"), F.col("at"))).alias("open"))
     lists = stored(lists, "lists")
-    open_ = rows.join(lists.filter(F.size("open") > 0), "doc")
-    firsts = window_hashes(open_).groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("first")).groupBy("first.doc").agg(F.collect_list("first.start").alias("stay"))
-    firsts = stored(firsts.withColumnRenamed("first.doc", "doc"), "stay")
-    plan = lists.join(firsts, "doc", "left")
-    ready = rows.join(plan, "doc", "left").select("id", "raw", "whole", "open", "stay")
+    contexts = open_contexts(rows.join(lists.filter(F.size("open") > 0), "doc"))
+    contexts = stored(contexts.join(stored(crowded, "crowded"), "key", "left"), "open")
+    stay = first_windows(contexts.filter("crowded is null").drop("crowded")).select("doc", F.struct("at", "stay").alias("s"))
+    stay = stay.groupBy("doc").agg(F.collect_list("s").alias("stay"))
+    common = first_common_windows(contexts.filter("crowded").drop("crowded")).groupBy("doc").agg(F.collect_list(F.struct("at", "stays")).alias("common"))
+    plan = stored(lists.join(stay, "doc", "left").join(common, "doc", "left"), "plan")
+    ready = rows.join(plan, "doc", "left").select("id", "raw", "whole", "open", "stay", "common")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw, whole, at, stay in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+            for raw, whole, at, stay, common in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
                 covered = np.zeros(len(raw), bool)
                 for p in whole or ():
                     place, reach = p >> 16, p & 0xFFFF
                     covered[place - (reach >> 8) : place + (reach & 0xFF)] = True
                 if at:
-                    starts = np.setdiff1d(Parse(raw).windows(np.array(at)), np.array(stay or [], np.int64))
+                    at = np.sort(np.array(at))
+                    gone = Parse(raw).own_windows(at)
+                    for s in stay or ():
+                        gone[np.searchsorted(at, s["at"])] &= ~np.unpackbits(np.frombuffer(s["stay"], np.uint8))[:_WINDOW].astype(bool)
+                    for s in common or ():
+                        gone[np.searchsorted(at, s["at"]), s["stays"]] = False
+                    row, before = np.nonzero(gone)
                     steps = np.zeros(len(raw) + 1, np.int32)
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, starts + REPEAT, -1)
+                    np.add.at(steps, at[row] - before, 1)
+                    np.add.at(steps, at[row] - before + REPEAT, -1)
                     covered |= np.cumsum(steps[:-1]) > 0
                 left = np.frombuffer(raw, np.uint8)[~covered].tobytes()
                 out.append((len(raw), int(covered.sum()), len(spans(covered)[0]), hashlib.sha256(left).hexdigest(), left))

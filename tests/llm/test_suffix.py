@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from codeatlas.llm import suffix
 
 
@@ -30,9 +32,12 @@ def test_removal_matches_brute_force(docs, rows):
     assert sum(g.n_removed > 0 for g in got) > 5
 
 
-def test_many_overlapping_passages(spark):
+@pytest.mark.parametrize("crowded", [256, 3, 0])
+def test_many_overlapping_passages(spark, monkeypatch, crowded):
     import random
 
+    monkeypatch.setattr(suffix, "CROWDED", crowded)
+
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcd ") for _ in range(7))
     pool = ["".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(12)]
@@ -43,3 +48,11 @@ def test_many_overlapping_passages(spark):
 
 def test_empty(empty):
     assert suffix.remove_repeats(empty).count() == 0
+
+
+def test_shared_and_null_ids(spark):
+    text = "".join(chr(97 + i * i % 23) + str(i % 7) for i in range(90))
+    rows = [(3, text), (3, "other " + text), (3, text), (None, text + "!"), (None, None), (1, "short")]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and sum(g.n_removed > 0 for g in got) in (2, 3)
+    assert [g.n_removed for g in got if g.doc_id is None and g.n_bytes] == [180]
