@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import BLANK, scratch
+from .common import BLANK, scratch, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -90,7 +90,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fed = feed(docs, id_col, text_col)
     fed.write.parquet(source)
     stream = spark.readStream.schema(fed.schema).parquet(source)
-    states = retain(stream, state or scratch(spark, "state"), scratch(spark, "states"))
+    states = stored(retain(stream, state or scratch(spark, "state"), scratch(spark, "states")), "digests")
     if not collisions(docs, text_col).isEmpty():
         raise ValueError("two texts share a SHA-256 digest")
     rows = spark.read.schema(fed.schema).parquet(source)

@@ -14,7 +14,7 @@ from .tokens import encoded, placed
 
 #: The longest code, ids in a block (a document is never split over blocks), and ids between two checkpoints.
 LIMIT = 18
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 STRIDE = 128
 
 
@@ -56,48 +56,54 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decoding_table(lengths: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of the next limit bits, the symbol and its length."""
+def decoding_table(lengths: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """For each value of the next limit bits, the symbol times 256 and its length."""
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     spans = 1 << (limit - lengths[order].astype(np.int64))
-    symbols, sizes = np.zeros(1 << limit, np.uint16), np.ones(1 << limit, np.uint8)
-    filled = int(spans.sum())
-    symbols[:filled] = np.repeat(order, spans)
-    sizes[:filled] = np.repeat(lengths[order], spans)
-    return symbols, sizes
+    table = np.ones(1 << limit, np.uint32)
+    table[: int(spans.sum())] = np.repeat(order.astype(np.uint32) << 8 | lengths[order], spans)
+    return table
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+def encoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol its code at the left end of 64 bits, and its length."""
+    size = lengths.astype(np.int64)
+    return np.where(size > 0, canonical(lengths) << (64 - np.maximum(size, 1)).astype(np.uint64), np.uint64(0)), size
+
+
+def pack(ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of ids, and the bit offset of every STRIDE-th id."""
     if not len(ids):
         return b"", np.zeros(0, np.int64)
-    size = lengths[ids].astype(np.int64)
+    size = sizes[ids]
     end = np.cumsum(size)
     start = end - size
     word = start >> 5
-    bits = codes[ids] << (64 - size - (start & 31)).astype(np.uint64)
-    first = np.flatnonzero(np.diff(word, prepend=-1))
+    bits = codes[ids] >> (start & 31).astype(np.uint64)
+    first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    # The codes that begin in a 32-bit word fill it and part of the next, and share no bit.
+    sums, at = np.add.reduceat(bits, first), word[first]
     out = np.zeros(int(end[-1] >> 5) + 2, np.uint64)
-    out[word[first]] += np.add.reduceat(bits >> np.uint64(32), first)
-    out[word[first] + 1] += np.add.reduceat(bits & np.uint64(0xFFFFFFFF), first)
+    out[at] += sums >> np.uint64(32)
+    out[at + 1] += sums & np.uint64(0xFFFFFFFF)
     return out.astype(">u4").tobytes()[: int(end[-1] + 7) >> 3], start[::STRIDE]
 
 
-def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbols: np.ndarray, sizes: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """The n ids of a block: all stretches between checkpoints are decoded side by side, an id of each at a time."""
     if not n:
         return np.zeros(0, np.uint16)
-    raw = np.frombuffer(payload + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    # The last stretch may be short and is decoded past its end.
+    raw = np.frombuffer(payload + bytes(STRIDE * limit // 8 + 8), np.uint8).astype(np.uint32)
     words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    at = np.asarray(checkpoints, np.int64).copy()
-    out = np.zeros((len(at), STRIDE), np.uint16)
-    last = len(words) - 1
+    at, mask = np.asarray(checkpoints, np.int64).copy(), np.uint32((1 << limit) - 1)
+    out = np.zeros((STRIDE, len(at)), np.uint16)
     for k in range(STRIDE):
-        peek = words[np.minimum(at >> 3, last)] >> (32 - limit - (at & 7)).astype(np.uint32) & np.uint32((1 << limit) - 1)
-        out[:, k] = symbols[peek]
-        at += sizes[peek]
-    return out.reshape(-1)[:n]
+        found = table[words[at >> 3] >> (32 - limit - (at & 7)).astype(np.uint32) & mask]
+        out[k] = found >> 8
+        at += found & 255
+    return out.T.reshape(-1)[:n]
 
 
 def _counts(tokens: DataFrame) -> np.ndarray:
@@ -134,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, id_col: s
     lengths = code_lengths(_counts(tokens))
     used = [int(s) for s in np.flatnonzero(lengths)]
     spark.createDataFrame([(s, int(lengths[s])) for s in used], "symbol int, length int").coalesce(1).write.parquet(f"{path}/codes")
-    shared = spark.sparkContext.broadcast((canonical(lengths), lengths))  # at most 65,536 entries
+    shared = spark.sparkContext.broadcast(encoding_table(lengths))  # at most 65,536 entries
     rows, _ = placed(tokens)
     kind = rows.schema["id"].dataType.simpleString()
     names = ["part", "ids", "sizes", "start", "n_ids", "checkpoints", "payload"]
@@ -177,12 +183,12 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint", ids: bo
     blocks = spark.read.schema(schema).parquet(f"{path}/blocks").drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, sizes_of = decoding_table(shared.value)
+        table = decoding_table(shared.value)
         for b in batches:
             for k in range(b.num_rows):
                 names, sizes = b.column("ids")[k].values, b.column("sizes")[k].values.to_numpy()
                 marks = b.column("checkpoints")[k].values.to_numpy()
-                decoded = unpack(b.column("payload")[k].as_py(), marks, b.column("n_ids")[k].as_py(), symbols, sizes_of).astype("<u4")
+                decoded = unpack(b.column("payload")[k].as_py(), marks, b.column("n_ids")[k].as_py(), table).astype("<u4")
                 ends = np.cumsum(sizes)
                 pieces = [decoded[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
                 columns = {"id": names, "start": pa.array(b.column("start")[k].as_py() + ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in pieces], pa.int64())}

@@ -86,7 +86,7 @@ def _flyer(schema: T.StructType, seed: int, level: int, last: bool):
     """The flight of one block; the last level lands what stays open."""
 
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "size"], ignore_index=True)
+        rows = rows.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)  # small units settle last, so little is left to land
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         size, p = rows["size"].to_numpy(float), rows["p"].to_numpy()
         p = flight(p, np.column_stack([size * p, p]), rng)
@@ -96,7 +96,7 @@ def _flyer(schema: T.StructType, seed: int, level: int, last: bool):
     return fly
 
 
-def balanced(units: DataFrame, per_block: int = 20_000, seed: int = 42) -> DataFrame:
+def balanced(units: DataFrame, per_block: int = 2_000, seed: int = 42) -> DataFrame:
     """Choose units to 0 or 1 by their probability p, balancing size and count in each source.
 
     units: source_no, key, size, p (no nulls; key orders and spreads the units). Blocks of

@@ -120,7 +120,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     ruled = rows.filter(F.col("fit").isNotNull()).select("tokens", (F.col("fit.verdict") == "block").alias("block"))
     others = rows.filter(F.col("fit").isNull()).join(known, "id").select("tokens", F.col("bad").alias("block"))
     labelled = stored(ruled.unionByName(others).filter(F.col("block").isNotNull() & (F.size("tokens") > 0)), "labelled")
-    mined = matches(rows.filter(F.col("fit").isNull()), mine(labelled, **limits)) if not labelled.isEmpty() else None
+    mined = stored(matches(rows.filter(F.col("fit").isNull()), mine(labelled, **limits)), "matches") if not labelled.isEmpty() else None
     if mined is None:
         judged = rows.withColumn("mined", F.lit(None).cast("string"))
     else:

@@ -31,11 +31,11 @@ def test_encoder_equals_the_library(name, rows, monkeypatch):
 def test_huffman_round_trip(ids, skew):
     ids = np.array([i**skew for i in ids], np.uint16) if ids else np.zeros(0, np.uint16)
     lengths = huffman.code_lengths(np.bincount(ids, minlength=1 << 16))
-    payload, marks = huffman.pack(ids, huffman.canonical(lengths), lengths)
-    symbols, sizes = huffman.decoding_table(lengths)
-    assert huffman.unpack(payload, marks, len(ids), symbols, sizes).tolist() == ids.tolist()
+    payload, marks = huffman.pack(ids, *huffman.encoding_table(lengths))
+    table = huffman.decoding_table(lengths)
+    assert huffman.unpack(payload, marks, len(ids), table).tolist() == ids.tolist()
     for k in range(0, len(marks), 3):
-        assert huffman.unpack(payload, marks[k : k + 1], 1, symbols, sizes)[0] == ids[k * huffman.STRIDE]
+        assert huffman.unpack(payload, marks[k : k + 1], 1, table)[0] == ids[k * huffman.STRIDE]
 
 
 def test_code_lengths_are_limited_and_optimal():
