@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +19,14 @@ from .common import stored, tune
 #: two such places is encoded alone. Texts with other runs of white space are cut by the pattern.
 _RUN = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A piece of letters, then dots or commas, and perhaps both again after a line end: tokens cross none of these borders either.
-_STEMS = re.compile(r"([^\W\d_]+)([.,]+)(?:(\n)([^\W\d_]+)([.,]*))?")
 #: Letters that normal forms and lower case leave letters: words of them can be encoded in a row and told apart afterwards.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_ENDS_IN_LETTER = rf"[{_LETTERS}]\z"
+#: Marks that tokens never share with such a letter before them (ASCII punctuation but the apostrophe, which contractions hold).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A piece of letters, perhaps marks, a line end and perhaps letters again: tokens cross none of these borders.
+_STEMS = re.compile(rf"([^\W\d_]*[{_LETTERS}])([{re.escape(_MARKS)}]*)(\n)([^\W\d_]*)")
 #: Encoded pieces in each of a worker's two generations, and the longest piece among them.
 CACHE = 400_000
 LONGEST = 48
@@ -38,6 +43,34 @@ def _single_spaced(text: str) -> bool:
     return not _RUN.search(text)
 
 
+def _cut(text: str) -> list[str]:
+    """The pieces of a text with other white space; one that the first piece's mark could confuse stays whole."""
+    if " " + _FIRST in text:
+        return [_FIRST + text]
+    first, *rest = _CUT.split(text)
+    return [_FIRST + first, *rest]
+
+
+def _parted(pieces: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray]:
+    """Each piece without the marks that end it, where a letter is before them, and those marks."""
+    bare = pc.utf8_rtrim(pieces, _MARKS)
+    bare = pc.if_else(pc.match_substring_regex(bare, _ENDS_IN_LETTER), bare, pieces)
+    n = len(pieces)
+    if not n:
+        return pieces, pieces
+    at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + n + 1]
+    cuts = np.column_stack([at[:-1], at[:-1] + pc.binary_length(bare).to_numpy()]).reshape(-1)
+    both = pa.StringArray.from_buffers(2 * n, pa.py_buffer(np.append(cuts, at[-1]).astype(np.int32)), pieces.buffers()[2])
+    return both.take(pa.array(np.arange(0, 2 * n, 2))), both.take(pa.array(np.arange(1, 2 * n, 2)))
+
+
+def _every_two(values: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """The values joined in twos."""
+    n = len(values) // 2
+    at = np.frombuffer(values.buffers()[1], np.int64)[: 2 * n + 1 : 2] if n else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(at)), values.buffers()[2]])
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library; ids fit 16 bits.
 
@@ -58,24 +91,30 @@ class Encoder:
         self.begins, self.ends = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         for name, i in names.items():
             self.begins[i], self.ends[i] = name.startswith("Ġ"), name.endswith("</w>")
+        self.line_end = names.get("Ċ", -1)  # a token of white space where it is kept
 
     def _single(self, pieces: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _in_a_row(self, words: list[str]) -> list[bytes]:
-        """Plain words, each after a space: encoded together and parted where a word begins or ends."""
+    def _in_a_row(self, words: list[str], apart: str) -> list[bytes]:
+        """Plain words, each after a space or, if line ends set them apart, after none: encoded together and parted where a word begins or ends."""
         if not words:
             return []
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-        cuts = np.flatnonzero(self.begins[ids])
-        if len(cuts) == len(words) and cuts[0] == 0:
-            cuts = np.append(cuts, len(ids))
+        lead = apart if apart == " " else ""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([lead + apart.join(words)], add_special_tokens=False)[0].ids, "<u2")
+        gaps = np.flatnonzero(ids == self.line_end) if apart == "\n" else ids[:0]
+        if len(gaps):
+            starts, stops = np.append(0, gaps + 1), np.append(gaps, len(ids))
+        elif apart == " " and self.begins[ids[:1]].all() and self.begins[ids].any():
+            starts = np.flatnonzero(self.begins[ids])
+            stops = np.append(starts[1:], len(ids))
         else:
-            cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-            if len(cuts) != len(words) + 1 or cuts[-1] != len(ids):
-                return self._single([" " + w for w in words])
-        raw, cuts = ids.tobytes(), (2 * cuts).tolist()
-        return [raw[i:k] for i, k in zip(cuts, cuts[1:])]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            starts = np.append(0, stops[:-1])
+        if len(starts) != len(words) or len(stops) != len(words) or stops[-1] != len(ids):
+            return self._single([lead + w for w in words])
+        raw = ids.tobytes()
+        return [raw[i:k] for i, k in zip((2 * starts).tolist(), (2 * stops).tolist())]
 
     def _encode(self, pieces: set[str]) -> set[str]:
         """The ids of pieces (keys: without their space, or with the mark of a first piece)."""
@@ -89,10 +128,14 @@ class Encoder:
                 stems.add(p)
         stems |= self._recall({x for own in compound.values() for x in own} - stems)
         plain = [x for x in stems if x.isascii() and x.isalpha() or _PLAIN.fullmatch(x)]
-        other = list(stems.difference(plain))
+        other = stems.difference(plain)
+        first = [x[1:] for x in other if x[0:1] == _FIRST and _PLAIN.fullmatch(x, 1)]
+        other = list(other.difference([_FIRST + x for x in first]))
         fresh: dict[str, bytes] = {}
         for i in range(0, len(plain), 2000):
-            fresh.update(zip(plain[i : i + 2000], self._in_a_row(plain[i : i + 2000])))
+            fresh.update(zip(plain[i : i + 2000], self._in_a_row(plain[i : i + 2000], " ")))
+        for i in range(0, len(first), 2000):
+            fresh.update(zip([_FIRST + x for x in first[i : i + 2000]], self._in_a_row(first[i : i + 2000], "\n")))
         fresh.update(zip(other, self._single([x[1:] if x[0:1] == _FIRST else " " + x for x in other])))
         self.known.update(fresh)
         known = self.known
@@ -107,20 +150,33 @@ class Encoder:
         return new - self.known.keys()
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers."""
-        cut = []
-        for text in texts:
-            parts = text.split(" ") if _single_spaced(text) else _CUT.split(text)
-            parts[0] = _FIRST + parts[0]
-            cut.append(parts if text.find(" " + _FIRST) < 0 else [_FIRST + text])
-        fresh = self._encode(self._recall(set().union(*cut)))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        """The ids of each text as little-endian unsigned 16-bit integers.
+
+        Arrow cuts the texts and finds their distinct pieces; Python sees those alone. The ids
+        of all pieces in a row are one buffer, and a text's ids a stretch of it.
+        """
+        plain = [_single_spaced(t) and " " + _FIRST not in t for t in texts]
+        spaced = pc.split_pattern(pa.array([_FIRST + t for t, p in zip(texts, plain) if p], pa.string()), " ")
+        others = pa.array([_cut(t) for t, p in zip(texts, plain) if not p], pa.list_(pa.string()))
+        sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (spaced, others)])
+        pieces = pa.concat_arrays([spaced.flatten(), others.flatten()]).dictionary_encode()
+        stems, tails = (x.dictionary_encode() for x in _parted(pieces.dictionary))
+        known_stems, known_tails = stems.dictionary.to_pylist(), [_FIRST + x if x else "" for x in tails.dictionary.to_pylist()]
+        fresh = self._encode(self._recall(set(known_stems).union(filter(None, known_tails))))
+        found = [self.known[x] for x in known_stems] + [self.known[x] if x else b"" for x in known_tails]
+        both = np.column_stack([stems.indices.to_numpy(), tails.indices.to_numpy() + len(known_stems)]).reshape(-1)
+        ids = _every_two(pa.array(found, pa.large_binary()).take(pa.array(both))).take(pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        bounds = at[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        stretches = [bytes(data[a:b]) for a, b in zip(bounds, bounds[1:])]
         for p in fresh:
             if len(p) > LONGEST:
                 del self.known[p]
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
-        return out
+        ahead, behind = iter(stretches[: len(spaced)]), iter(stretches[len(spaced) :])
+        return [next(ahead if p else behind) for p in plain]
 
 
 _ENCODERS: dict[str, Encoder] = {}

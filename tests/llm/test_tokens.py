@@ -19,6 +19,7 @@ def test_encoder_equals_the_library(name, rows, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 60)
     odd = ["a  b", " a", "a ", "a \n b", "x\n\n y", "it's 12 'quoted' 　z", "é ́x", "a\tb c", "İx ΣΑΣ Σ b", "<|endoftext|> x", "a\x1c b", " ", "\n"]
     odd += ["word, word. end.\nNext one,\nand Éa éa. x² ²,", "first,\nsecond. \0zero \0", "\0", "don't, can't. x.y,z a,b", "end. ", "ŉ ŀ ǆ, Ǆ. ſ ẞ", "a\nb c\n\nd"]
+    odd += ["İ. İ, \u05e9\u05c1. \ufb2a. a½. ab… it's. A_ word*** $$$ it'*", "q.\nab.\ncd* x", "\nend", "Alone", "A,"]
     texts = odd + [r[1] or "" for r in rows]
     for k in (1, 7, len(texts)):
         got = [ids for i in range(0, len(texts), k) for ids in encoder.many(texts[i : i + k])]
