@@ -23,16 +23,21 @@ COLD = 256
 CELL = 2048
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """64-bit SimHash: bit b is set if over half of the shingle hashes have it; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """64-bit hashes of all shingles of a text; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined, k = b" ".join(words), min(shingle, len(words))
     length = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(length + 1) - 1
     starts = (ends - length)[: len(words) - k + 1].tolist()
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), "<u8", len(starts))
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist())), "<u8", len(starts))
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """64-bit SimHash: bit b is set if over half of the shingle hashes have it; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
