@@ -29,6 +29,9 @@ TEMPLATES = (
 _PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: A region ends where this many words in a row are in no template.
 GAP = 12
+#: Words that tell a template from its siblings: all that a template has must be matched, and no RIVALS that it lacks may stand between.
+NAMING = frozenset(b"mit apache general mozilla cc by nc nd sa lesser affero later 1 2 3 4".split())
+RIVALS = frozenset(b"lesser affero nc nd sa".split())
 #: Gaps without anchors are aligned by their longest common subsequence up to this many cells, else by halves.
 CELLS = 250_000
 
@@ -57,15 +60,16 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists."""
+def common(a: list, b: list, heavy: frozenset = frozenset()) -> list[tuple[int, int]]:
+    """A longest common subsequence of two short lists, of those with the most heavy words."""
+    weight = {w: 1 + (len(b) + 1) * (w in heavy) for w in b}
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + weight[b[j]] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + weight[b[j]]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
@@ -110,6 +114,7 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]) -> None:
         self.templates = [(name, words_of(text.encode())) for name, text in templates]
         self.counts = [Counter(words) for _, words in self.templates]
+        self.naming = [Counter(w for w in words if w in NAMING) for _, words in self.templates]
         self.vocabulary = {w for _, words in self.templates for w in words}
 
     def regions(self, words: list[bytes]) -> list[list[int]]:
@@ -134,15 +139,12 @@ class Scanner:
             for k, (_, template) in enumerate(self.templates):
                 if sum(min(n, counts[w]) for w, n in self.counts[k].items()) < least * len(template):
                     continue
-                for a, b in self._runs(have, template):
-                    pairs = [(i, j) for i, j in align(have[a:b], template)]
-                    cover = len(pairs) / len(template)
-                    if cover < least:
+                for a, b in self._runs(places, have, k, least):
+                    pairs = self._pairs(words, places, have, a, b, k, least)
+                    if not pairs:
                         continue
-                    first, last = a + pairs[0][0], a + pairs[-1][0]
-                    if places[last] - places[first] + 1 > 2 * len(template) + GAP:
-                        continue
-                    rank = (len(pairs) * cover, cover, -k, -first)
+                    cover, first, last = len(pairs) / len(template), pairs[0][0], pairs[-1][0]
+                    rank = (len(pairs) * cover, cover, -k, places[first] - places[last], -first)
                     if best is None or rank > best[0]:
                         best = (rank, k, cover, first, last, len(pairs))
             if best:
@@ -151,20 +153,35 @@ class Scanner:
                 work += [p for p in (places[:first], places[last + 1 :]) if p]
         return sorted(found, key=lambda f: (f[2], f[0]))
 
-    @staticmethod
-    def _runs(have: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
-        """Stretches of a region to align: from each word like the template's first matching words, twice its length on."""
-        span = 2 * len(template) + GAP
-        if len(have) <= span:
-            return [(0, len(have))]
-        ahead = set(template[: max(1, len(template) // 4)])
-        starts = [i for i, w in enumerate(have) if w in ahead]
-        out, last = [], -1
-        for i in starts:
-            if i > last:
-                out.append((i, min(len(have), i + span)))
-                last = i + len(template) // 4
-        return out
+    def _runs(self, places: list[int], have: list[bytes], k: int, least: float) -> Iterator[tuple[int, int]]:
+        """Stretches of a region to align: from each word of the template on, as far as a notice may reach, if enough of its words are in it."""
+        counts, template = self.counts[k], self.templates[k][1]
+        span, need = 2 * len(template) + GAP, least * len(template)
+        inside: Counter = Counter()
+        met = b = 0
+        for a, w in enumerate(have):
+            while b < len(have) and places[b] - places[a] < span:
+                inside[have[b]] += 1
+                met += inside[have[b]] <= counts[have[b]]
+                b += 1
+            if w in counts and met >= need and all(inside[x] >= n for x, n in self.naming[k].items()):
+                yield a, b
+            met -= inside[w] <= counts[w]
+            inside[w] -= 1
+
+    def _pairs(self, words: list[bytes], places: list[int], have: list[bytes], a: int, b: int, k: int, least: float) -> list[tuple[int, int]]:
+        """The matched words of a notice in have[a:b]: by patience alignment, or where that falls short by the longest common subsequence."""
+        template = self.templates[k][1]
+        for pairs in (align(have[a:b], template), None):
+            if pairs is None:
+                pairs = common(have[a:b], template, NAMING)
+            if len(pairs) < least * len(template) or Counter(template[j] for _, j in pairs if template[j] in NAMING) != self.naming[k]:
+                continue
+            between = words[places[a + pairs[0][0]] : places[a + pairs[-1][0]] + 1]
+            if any(w in RIVALS and w not in self.naming[k] for w in between):
+                continue
+            return [(a + i, j) for i, j in pairs]
+        return []
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,3 +38,31 @@ def test_notices_are_found(spark, docs, rows, empty):
     assert got[n + 1].licenses == ["Apache-2.0", "MIT"] and got[n + 1].n_notices == 3
     assert got[n + 2].license == "MIT" and [got[n + k].n_notices for k in (3, 4, 5)] == [0, 0, 0]
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(empty).count() == 0
+
+
+def test_notices_in_long_prose():
+    """A notice is found wherever it stands, and a sibling's is not taken for it."""
+    scan = licenses.Scanner(licenses.TEMPLATES).scan
+    name = lambda text: [licenses.TEMPLATES[f[0]][0] for f in scan(text.encode(), 0.8)]
+    prose = "the use of the work and the terms of the form to any person or the source of it " * 12
+    for notice, want in (
+        ("Licensed under the MIT License", ["MIT"]),
+        ("Licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+        ("is licensed under the GNU General Public License version 3", ["GPL-3.0"]),
+        ("Released under the BSD License", []),
+        ("Released under the Apache License", []),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", []),
+        ("Licensed under CC BY-ND 4.0", []),
+        ("Licensed under CC BY 3.0", []),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+    ):
+        for text in (notice, prose + notice, notice + " " + prose, prose + notice + " " + prose):
+            assert name(text) == want, (notice, len(text), name(text))
+
+
+def test_an_early_word_hides_no_notice():
+    text = "released " + "of the work and any terms " * 3 + "licensed under the MIT License"
+    assert [licenses.TEMPLATES[f[0]][0] for f in licenses.Scanner(licenses.TEMPLATES).scan(text.encode(), 0.8)] == ["MIT"]
