@@ -60,7 +60,7 @@ def line_passes(line: str, n: int) -> bool:
         return False
     if n <= 20 and _FURNITURE.search(line.lower()):
         return False
-    if line[:64].isupper():
+    if sum(map(str.isupper, line)) > 14:  # fewer are not over 7 of 10 of 20 letters
         letters = [c for c in line if c.isalpha()]
         return len(letters) < 20 or 10 * sum(map(str.isupper, letters)) <= 7 * len(letters)
     return True

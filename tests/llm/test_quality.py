@@ -42,3 +42,10 @@ def test_documents_that_lose_too_much_go():
     assert quality.judge(good)[6] and quality.judge(good + "\nHome | News | Sport")[6]
     assert not quality.judge(noise + "\n" + good[:300])[6]
     assert quality.judge(good + "\nHome | News | Sport")[10] == good
+
+
+def test_capitals_are_counted_in_the_whole_line():
+    ok = lambda line: quality.line_passes(line, len(line.split()))
+    assert not ok("BUY NOW AND SAVE on ALL SHOES, BAGS AND COATS")
+    assert not ok("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 THIS LINE IS ALL CAPITALS")
+    assert ok("ABCDEFGHIJKLMN abcdef") and not ok("ABCDEFGHIJKLMNO abcde") and ok("SHORT AND LOUD LINE")
