@@ -12,7 +12,7 @@ from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-#: Most association rules that are shared with all executors; finer support or confidence limits must keep under it.
+#: Most association rules whose index is shared with all executors; more are joined by shuffle.
 MOST_RULES = 20_000
 
 
@@ -70,35 +70,43 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
     """Rules tokens -> block from labelled URLs (columns tokens, block): FP-growth, pruned by support, confidence and lift.
 
     Returns rule_id, tokens (the antecedent, sorted), confidence and support. A rule is left
-    out if one with fewer of its tokens is as sure. FP-growth spreads the conditional trees
-    over the executors; rules are few, for each holds min_support of all labelled rows.
+    out if one with fewer of its tokens is as sure; each is looked for under its rarest token
+    alone. FP-growth spreads the conditional trees over the executors.
     """
     baskets = labelled.select(F.array_union("tokens", F.array(F.when(F.col("block"), F.lit("=block")).otherwise(F.lit("=allow")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit("=block"))) & (F.col("lift") > 1) & (F.size("antecedent") <= longest))
+    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit("=block"))) & (F.col("lift") > 1))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
-    if rules.count() > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules; raise min_support or min_confidence")
-    parts = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("small"), F.col("confidence").alias("sure"))
+    parts = keyed(rules).select("token", F.col("tokens").alias("small"), F.col("confidence").alias("sure"))
     within = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(parts, "token")
     within = within.filter((F.size("small") < F.size("tokens")) & (F.size(F.array_except("small", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")))
     pruned = rules.join(within.select("tokens").distinct(), "tokens", "left_anti")
     return pruned.withColumn("rule_id", F.xxhash64("tokens"))
 
 
+def keyed(rules: DataFrame) -> DataFrame:
+    """rules with token, that of its tokens which the fewest rules hold."""
+    each = rules.select("tokens", F.explode("tokens").alias("token"))
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(held, "token").groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("least"))
+    return rules.join(rarest.select("tokens", F.col("least.token").alias("token")), "tokens")
+
+
 def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """For each distinct token set (column tokens) that holds a whole rule, its surest one: tokens, mined.
 
-    The rules' inverted index, token to rule, is broadcast (at most MOST_RULES rules); a rule
-    fires for a set that meets as many of its entries as it has tokens.
+    The rules' inverted index, rarest token to rule, is broadcast up to MOST_RULES rules and joined by
+    shuffle beyond; a rule fires for a set that holds all its tokens.
     """
-    index = rules.select("rule_id", F.col("tokens").alias("needs"), "confidence", F.explode("tokens").alias("token"))
-    hits = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-    full = hits.groupBy("tokens", "rule_id", "needs", "confidence").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") == F.size("needs"))
+    rules = stored(rules.select("tokens", "confidence"), "pruned")
+    index = stored(keyed(rules).select("token", F.col("tokens").alias("needs"), "confidence"), "index")
+    index = F.broadcast(index) if index.count() <= MOST_RULES else index.hint("shuffle_merge")
+    hits = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    full = hits.filter(F.size(F.array_except("needs", "tokens")) == 0)
     return full.groupBy("tokens").agg(F.max(F.struct("confidence", F.concat_ws(" ", "needs").alias("mined"))).alias("best")).select("tokens", "best.mined")
 
 

@@ -41,3 +41,15 @@ def test_mined_rules_match_brute_force(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urlrules.judge_urls(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_rules_of_four_tokens_and_beyond_the_broadcast(spark, monkeypatch):
+    tokens = lambda i: [w for k, w in enumerate(("aaa", "bbb", "ccc", "ddd")) if i >> k & 1]
+    rows = [(i, f"http://site.org/{'/'.join(tokens(i))}") for i in range(320)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(len(tokens(i)) < 4), 0) for i in range(320)], "doc_id long, quality int, toxic int")
+    for most in (20_000, 0):
+        monkeypatch.setattr(urlrules, "MOST_RULES", most)
+        got = {r.page_id: r for r in urlrules.judge_urls(pages, labels, min_support=0.05).collect()}
+        assert {i: got[i].verdict for i, _ in rows} == {i: "block" if len(tokens(i)) == 4 else "allow" for i, _ in rows}
+        assert got[15].mined == "p:aaa p:bbb p:ccc p:ddd"
