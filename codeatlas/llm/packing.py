@@ -7,13 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 from .tokens import encoded, placed
 
 LENGTH = 2048
+#: Most sources whose queues are found by an expression; more are found by a join.
 QUEUES = 256
+#: Rounds times queues that are worked out at once.
+CELLS = 1 << 18
 
 
 class Rounds:
@@ -40,6 +44,20 @@ class Rounds:
         """The round that takes the id at place k of queue q."""
         return self.rounds * (2 * k + 1) // (2 * self.totals[q])
 
+    def base(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """The ids that all queues have given when queue q's turn in round r comes: those before q have had theirs."""
+        out = np.zeros(len(r), self.kind)
+        rounds, of = np.unique(r, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        step = max(1, CELLS // len(self.totals))
+        for k in range(0, len(rounds), step):
+            some = rounds[k : k + step, None]
+            before, after = self.first(slice(None), some), self.first(slice(None), some + 1)
+            given = np.cumsum(after - before, axis=1) - (after - before)
+            own = order[slice(*np.searchsorted(of[order], [k, k + step]))]
+            out[own] = before.sum(axis=1)[of[own] - k] + given[of[own] - k, q[own]]
+        return out
+
     def pieces(self, q: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cut documents (queue, place in it, size) by rounds and windows: document, start in it, length, window, offset."""
         q, place, size = np.asarray(q, np.int64), np.asarray(place).astype(self.kind), np.asarray(size).astype(self.kind)
@@ -48,10 +66,7 @@ class Rounds:
         own = q[doc]
         start_of_round, end_of_round = self.first(own, r), self.first(own, r + 1)
         a, b = np.maximum(place[doc], start_of_round), np.minimum(place[doc] + size[doc], end_of_round)
-        base = np.zeros(len(r), self.kind)
-        for other in range(len(self.totals)):
-            base = base + self.first(other, r + (other < own))
-        at = base + a - start_of_round
+        at = self.base(own, r) + a - start_of_round
         low, high = at // self.length, (at + b - a - 1) // self.length
         piece, window = _ranges(low, high)
         begin, end = np.maximum(at[piece], window * self.length), np.minimum(at[piece] + (b - a)[piece], (window + 1) * self.length)
@@ -65,15 +80,18 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, low[i] + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
 
 
-def queue_of(docs: DataFrame, source_col: str, most: int = QUEUES) -> Column:
-    """The queue of a row: its source's rank, null last. Beyond most sources they share most queues by hash."""
+def with_queues(docs: DataFrame, source_col: str, most: int = QUEUES) -> tuple[DataFrame, Column]:
+    """docs, joined with what it takes, and the queue of a row: its source's rank, null last."""
     names = [r[0] for r in docs.select(source_col).distinct().limit(most + 1).collect()]
     if len(names) > most:
-        return F.pmod(F.xxhash64(docs[source_col]), F.lit(most))
+        names = docs.select(docs[source_col].alias("__source")).distinct()
+        rank = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
+        ranked = stored(names.select("__source", rank.alias("__queue")), "sources")
+        return docs.join(ranked, docs[source_col].eqNullSafe(ranked["__source"])), F.col("__queue")
     known = sorted(n for n in names if n is not None)
     if not known:
-        return F.lit(0)
-    return F.coalesce(F.create_map(*(F.lit(x) for i, n in enumerate(known) for x in (n, i)))[docs[source_col]], F.lit(len(known)))
+        return docs, F.lit(0)
+    return docs, F.coalesce(F.create_map(*(F.lit(x) for i, n in enumerate(known) for x in (n, i)))[docs[source_col]], F.lit(len(known)))
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, ids: bool = False, parts: int | None = None) -> DataFrame:
@@ -86,7 +104,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
     are not read; an empty table gives an empty one. The driver holds one number per queue.
     """
     spark = docs.sparkSession
-    tokens = encoded(docs, tokenizer, end, id_col, text_col, queue=queue_of(docs, source_col), parts=parts)
+    docs, queue = with_queues(docs, source_col)
+    tokens = encoded(docs, tokenizer, end, id_col, text_col, queue=queue, parts=parts)
     rows, totals = placed(tokens)
     rounds = Rounds([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)], length)
     shared = spark.sparkContext.broadcast(rounds)

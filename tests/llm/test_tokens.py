@@ -129,3 +129,27 @@ def test_empty(spark, empty, tmp_path):
     assert packing.pack(empty, "word_bpe_49k.json", end=1).count() == 0
     huffman.write_tokens(empty, str(tmp_path / "none"), "byte_bpe_50k.json", end=2)
     assert huffman.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_sources_keep_their_own_queues(spark):
+    rows = [(i, f"text {i} of a source " * 3, f"s{i % 300}" if i % 300 else None) for i in range(1200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), "word_bpe_49k.json", end=1, length=64).collect()
+    queues = defaultdict(set)
+    for g in got:
+        queues[g.queue].add(rows[g.doc_id][2])
+    assert sorted(queues) == list(range(300)) and all(len(s) == 1 for s in queues.values()) and queues[299] == {None}
+    filled = defaultdict(int)
+    for g in got:
+        filled[g.sequence_id] += g.length
+    assert all(n == 64 for s, n in filled.items() if s < max(filled)) and sorted(filled) == list(range(len(filled)))
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 18])
+def test_bases_match_the_sum_over_all_queues(monkeypatch, cells):
+    monkeypatch.setattr(packing, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    for totals in (rng.integers(1, 5000, 400).tolist(), [3 * 10**13, 10**12 + 7]):
+        rounds = packing.Rounds(totals)
+        q, r = rng.integers(0, len(totals), 300), rng.integers(0, rounds.rounds, 300).astype(rounds.kind)
+        want = [sum(int(rounds.first(o, r[i : i + 1] + (o < q[i]))[0]) for o in range(len(totals))) for i in range(60)]
+        assert rounds.base(q, r)[:60].tolist() == want
