@@ -17,16 +17,24 @@ from .common import tune, utf8
 
 #: Words in a window; bytes of the dictionaries' ordinary and toxic parts.
 WINDOW = 8
+#: Bytes from which on a window is cut, so that the dictionary stays in the compressor's reach.
+LONGEST = 256
 ORDINARY_BYTES = 32_000
 TOXIC_BYTES = 4_096
 #: A window counts as a hit from this many bytes on.
 HIT = 3
 
 
-def windows(text: bytes) -> Iterator[bytes]:
+def windows(text: bytes, overlap: int = 64) -> Iterator[bytes]:
+    """WINDOW words each. A longer run of bytes than LONGEST is cut every LONGEST bytes into parts that overlap."""
     words = text.lower().split()
     for i in range(0, len(words), WINDOW):
-        yield b" ".join(words[i : i + WINDOW])
+        window = b" ".join(words[i : i + WINDOW])
+        if len(window) <= LONGEST:
+            yield window
+        else:
+            for k in range(0, max(1, len(window) - overlap), LONGEST):
+                yield window[k : k + LONGEST + overlap]
 
 
 @dataclass
@@ -42,6 +50,11 @@ class Model:
     def __post_init__(self) -> None:
         self._ready = None
 
+    @property
+    def overlap(self) -> int:
+        """The longest word of the toxic dictionary, in bytes."""
+        return max(map(len, self.toxic.strip(b"\0").split()), default=0)
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": None}
 
@@ -61,7 +74,7 @@ class Model:
     def features(self, text: bytes) -> list[float]:
         """Of the bytes that the toxic dictionary saves in each window: mean, largest three, share and number of hits."""
         plain, toxic = self.compressors()
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)] or [0], float)
+        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text, self.overlap)] or [0], float)
         top = np.sort(saved)[-3:]
         hits = float((saved >= HIT).sum())
         return [saved.mean(), top[-1], top.mean(), hits / len(saved), np.log1p(hits), np.log1p(len(saved))]

@@ -53,3 +53,15 @@ def test_calibration_separates():
     y = np.repeat([0.0, 1.0], 200)
     w = toxicity.calibrate(x, y)
     assert (((w[0] + x @ w[1:]) > 0) == y).mean() > 0.95
+
+
+def test_long_windows_are_read_to_their_end():
+    rows = sample(600)
+    model = toxicity.fit([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    junk = bytes(np.random.default_rng(1).integers(0x80, 0xC0, 150_000, np.uint8))
+    bad = "　".join(BAD * 3).encode()
+    first, last = model.features(bad + junk), model.features(junk + bad)
+    assert first[1] >= toxicity.HIT and last[1] >= 0.6 * first[1]
+    text = bytes(range(33, 127)) * 20
+    parts = list(toxicity.windows(text, 30))
+    assert all(any(text.lower()[i : i + 30] in p for p in parts) for i in range(len(text) - 29)) and max(map(len, parts)) <= 286
