@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..shared import scratch, stored
+from ..shared import discard, scratch, stored
 
-__all__ = ["BLANK", "BLANKS", "WORD", "n_words", "scratch", "stored", "tune", "utf8"]
+__all__ = ["BLANK", "BLANKS", "WORD", "discard", "n_words", "scratch", "sliced", "stored", "utf8"]
 
 #: The six ASCII white-space characters that end a word, and a word, as patterns.
 BLANK = r"[\x20\x09-\x0D]"
@@ -16,10 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\v\f\r"
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches: whole texts travel to Python, and a few of them may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    return spark
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows: Spark bounds their bytes, this the objects that Python makes of them at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def n_words(text: Column) -> Column:

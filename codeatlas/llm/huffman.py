@@ -196,6 +196,4 @@ def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint", ids: bo
                     columns["token_ids"] = pa.array([x.tolist() for x in pieces], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16" if int(before) > 16 else before)
     return blocks.mapInArrow(run, f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", token_ids array<int>" * ids)

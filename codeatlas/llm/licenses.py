@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tune, utf8
+from .common import sliced, utf8
 
 #: Notices and grants as licenses print them. A name may have several templates.
 TEMPLATES = (
@@ -194,13 +194,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     ids stay null; repeated rows are scanned each; other columns are not read; an empty table
     gives an empty one.
     """
-    tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_notices bigint, license string, coverage double, n_matched bigint, first_word bigint, last_word bigint, licenses array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for b in batches:
+        for b in sliced(batches):
             columns = defaultdict(list)
             for text in utf8(b.column(1)):
                 found = scanner.scan(text or b"", least)

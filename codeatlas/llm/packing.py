@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced
 from .tokens import encoded, placed
 
 LENGTH = 2048
@@ -23,30 +23,53 @@ CELLS = 1 << 18
 class Rounds:
     """Deficit round-robin over queues of known totals.
 
-    Every window of LENGTH ids is a round. A round adds the quantum total / rounds to a queue's
-    deficit, and the queue gives as many whole ids as the deficit holds (rounded); the rest is
-    carried to the next round. So queue q has given first(q, r) ids before round r, all queues
-    end together, and every partition knows the deficits it starts with without asking another.
-    """
+    Every window of length ids is a round. A round adds a queue's share of the window, by the
+    weights of the queues that still hold ids, to the queue's deficit; the queue gives the
+    whole quanta that its deficit holds (rounded), and the rest is carried to the next
+    round. When a queue ends, the others share its part again. So the ids that queue q has
+    given before round r follow from r alone, and every partition knows the deficits that it
+    starts with without asking another. By default the weights are the totals, so that all
+    queues end together; quanta of one id keep every window within an id of its shares,
+    larger ones make fewer and longer pieces and move windows from their shares by a quantum.
 
-    def __init__(self, totals: list[int], length: int = LENGTH) -> None:
-        self.length, self.rounds = length, max(1, -(-sum(totals) // length))
-        big = 4 * self.rounds * max([1, *totals]) >= 1 << 62
-        self.kind = object if big else np.int64
-        self.totals = np.array(totals, self.kind)
+    Places are exact up to 2**53 ids in all.
+    """
 
-    def first(self, q: np.ndarray | int, r: np.ndarray) -> np.ndarray:
+    def __init__(self, totals: list[int], length: int = LENGTH, weights: list[float] | None = None, quantum: int = 1) -> None:
+        self.length, self.rounds, self.quantum = length, max(1, -(-sum(totals) // length)), quantum
+        if sum(totals) >= 1 << 53:
+            raise ValueError("more than 2**53 ids")
+        self.totals = np.array(totals, np.int64)
+        self.weights = np.array(totals if weights is None else weights, float)
+        if (self.weights[self.totals > 0] <= 0).any():
+            raise ValueError("weights of queues that hold ids must be positive")
+        # A queue ends at the level total / weight; below it every queue has given weight * level ids.
+        used = self.totals > 0
+        ends = np.unique(self.totals[used] / self.weights[used])
+        self.levels = np.concatenate([[0.0], ends])
+        self.given = np.array([np.minimum(self.totals[used], self.weights[used] * x).sum() for x in self.levels])
+
+    def level(self, r: np.ndarray) -> np.ndarray:
+        return np.interp(np.asarray(r, float) * self.length, self.given, self.levels)
+
+    def first(self, q: np.ndarray | int | slice, r: np.ndarray) -> np.ndarray:
         """The place in queue q of the first id that round r takes."""
-        n = self.rounds
-        return np.clip(-((n - 2 * self.totals[q] * r) // (2 * n)), 0, self.totals[q])
+        quanta = np.floor(self.weights[q] * self.level(r) / self.quantum + 0.5).astype(np.int64)
+        return np.where(np.asarray(r) >= self.rounds, self.totals[q], np.minimum(quanta * self.quantum, self.totals[q]))
 
     def round_of(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
         """The round that takes the id at place k of queue q."""
-        return self.rounds * (2 * k + 1) // (2 * self.totals[q])
+        level = (k // self.quantum + 0.5) * self.quantum / self.weights[q]
+        r = np.clip(np.interp(level, self.levels, self.given) // self.length, 0, self.rounds - 1).astype(np.int64)
+        while (late := self.first(q, r) > k).any():
+            r = r - late
+        while (early := self.first(q, r + 1) <= k).any():
+            r = r + early
+        return r
 
     def base(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         """The ids that all queues have given when queue q's turn in round r comes: those before q have had theirs."""
-        out = np.zeros(len(r), self.kind)
+        out = np.zeros(len(r), np.int64)
         rounds, of = np.unique(r, return_inverse=True)
         order = np.argsort(of, kind="stable")
         step = max(1, CELLS // len(self.totals))
@@ -60,7 +83,7 @@ class Rounds:
 
     def pieces(self, q: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """Cut documents (queue, place in it, size) by rounds and windows: document, start in it, length, window, offset."""
-        q, place, size = np.asarray(q, np.int64), np.asarray(place).astype(self.kind), np.asarray(size).astype(self.kind)
+        q, place, size = (np.asarray(x, np.int64) for x in (q, place, size))
         low, high = self.round_of(q, place), self.round_of(q, place + size - 1)
         doc, r = _ranges(low, high)
         own = q[doc]
@@ -80,39 +103,51 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, low[i] + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
 
 
-def with_queues(docs: DataFrame, source_col: str, most: int = QUEUES) -> tuple[DataFrame, Column]:
-    """docs, joined with what it takes, and the queue of a row: its source's rank, null last."""
-    names = [r[0] for r in docs.select(source_col).distinct().limit(most + 1).collect()]
+def with_queues(docs: DataFrame, columns: dict[str, Column], source: Column, most: int = QUEUES) -> tuple[DataFrame, Column, list]:
+    """columns and queue of each row of docs, where queue is its source's rank, null last; and the sources by rank.
+
+    Up to most sources are found by an expression, more by a join with their ranks, which Spark
+    broadcasts only if they are small.
+    """
+    rows = docs.select(*(c.alias(n) for n, c in columns.items()), source.alias("source"))
+    names = [r[0] for r in rows.select("source").distinct().collect()]  # one value per queue, as the driver's totals hold
+    known = sorted((n for n in names if n is not None), key=lambda n: n.encode() if isinstance(n, str) else n)
+    ranked = known + [None] * (None in names)
     if len(names) > most:
-        names = docs.select(docs[source_col].alias("__source")).distinct()
-        rank = F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1
-        ranked = stored(names.select("__source", rank.alias("__queue")), "sources")
-        return docs.join(ranked, docs[source_col].eqNullSafe(ranked["__source"])), F.col("__queue")
-    known = sorted(n for n in names if n is not None)
-    if not known:
-        return docs, F.lit(0)
-    return docs, F.coalesce(F.create_map(*(F.lit(x) for i, n in enumerate(known) for x in (n, i)))[docs[source_col]], F.lit(len(known)))
+        kind = rows.schema["source"].dataType.simpleString()
+        ranks = docs.sparkSession.createDataFrame(list(enumerate(ranked)), f"queue int, name {kind}")
+        rows = rows.join(ranks, F.col("source").eqNullSafe(F.col("name")))
+        return rows.drop("name", "source"), F.col("queue"), ranked
+    queue = F.lit(len(known))
+    if known:
+        queue = F.coalesce(F.create_map(*(F.lit(x) for i, n in enumerate(known) for x in (n, i)))[F.col("source")], queue)
+    return rows.withColumn("queue", queue).drop("source"), F.col("queue"), ranked
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, ids: bool = False, parts: int | None = None) -> DataFrame:
-    """Pack all rows of docs into sequences of length ids; every sequence holds each source in the proportion of its ids.
+def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, ids: bool = False, parts: int | None = None, weights: dict | None = None, quantum: int = 1) -> DataFrame:
+    """Pack all rows of docs into sequences of length ids; every sequence holds each source in its target proportion.
 
     Returns a row per piece: id, start (the document's ids before it), length, ids_crc32,
     doc_tokens, sequence_id, offset, queue and, if ids is true, token_ids. All sequences but
     the last are full. Every id lies in one piece. Null texts are empty and hold the end id
     alone; null sources are a queue of their own; repeated rows are packed each; other columns
     are not read; an empty table gives an empty one. The driver holds one number per queue.
+
+    weights gives the target of each source (by default the number of its ids, so that all
+    sources end together); a source that ends early leaves its part to the others. quantum is
+    the number of ids a source gives at least when its turn comes (see Rounds).
     """
     spark = docs.sparkSession
-    docs, queue = with_queues(docs, source_col)
-    tokens = encoded(docs, tokenizer, end, id_col, text_col, queue=queue, parts=parts)
+    rows, queue, sources = with_queues(docs, {"id": docs[id_col], "text": docs[text_col]}, docs[source_col])
+    tokens = encoded(rows, tokenizer, end, "id", "text", queue=queue, parts=parts)
     rows, totals = placed(tokens)
-    rounds = Rounds([totals.get(q, 0) for q in range(max(totals, default=-1) + 1)], length)
+    goal = [weights[s] for s in sources] if weights else None
+    rounds = Rounds([totals.get(q, 0) for q in range(len(sources))], length, goal, quantum)
     shared = spark.sparkContext.broadcast(rounds)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4096):
             q, place, size = (b.column(c).to_numpy() for c in ("queue", "place", "n_tokens"))
             if not len(q):
                 continue

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLANKS, tune
+from .common import BLANKS, sliced
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture, in lower case.
@@ -101,13 +101,12 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated ids are judged row by row; other columns of docs are not read; an empty table
     gives an empty one. Memory: one Arrow batch and the windows of one text.
     """
-    tune(docs.sparkSession)
     fields = BASE + [f for f in VERDICT if texts or f[0] != "clean_text"]
     names = {"int64": "bigint", "bool": "boolean", "string": "string"}
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [judge(t, min_words, least_left) for t in b.column(1).to_pylist()]
             columns = list(zip(*rows)) if rows else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, fields))], names=["id", *(n for n, _ in fields)])

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import sliced, stored
 
 #: A space between two characters that are not white space: tokens never cross it, so what stands between
 #: two such places is encoded alone. Texts with other runs of white space are cut by the pattern.
@@ -32,6 +32,8 @@ CACHE = 400_000
 LONGEST = 48
 #: Bytes of texts that are encoded together, so that a piece in many of them is looked up once.
 TOGETHER = 12_000_000
+#: Most sums of parts and queues that are broadcast; more are joined by shuffle.
+MOST_SUMS = 500_000
 #: Marks the first piece of a text, which no space precedes.
 _FIRST = "\0"
 
@@ -76,7 +78,8 @@ class Encoder:
 
     Texts are cut at single spaces and each distinct piece is encoded by the library once, as
     long as the bounded cache holds it: what is used stays, as one generation of pieces passes
-    into the next. The result is that of encode() on the whole text.
+    into the next. A text that holds a string of the file's added tokens is encoded whole. The
+    result is that of encode(text, add_special_tokens=False).
     """
 
     def __init__(self, path: str) -> None:
@@ -84,7 +87,9 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added if not t.normalized]
+        self.all_whole = any(t.normalized for t in added)  # such are found in the normal form of a text, not in the text
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         names = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -155,6 +160,12 @@ class Encoder:
         Arrow cuts the texts and finds their distinct pieces; Python sees those alone. The ids
         of all pieces in a row are one buffer, and a text's ids a stretch of it.
         """
+        whole = [k for k, t in enumerate(texts) if self.all_whole or any(x in t for x in self.added)]
+        if whole:
+            out = self.many(["" if k in set(whole) else t for k, t in enumerate(texts)]) if len(whole) < len(texts) else [b""] * len(texts)
+            for k in whole:
+                out[k] = self._single([texts[k]])[0]
+            return out
         plain = [_single_spaced(t) and " " + _FIRST not in t for t in texts]
         spaced = pc.split_pattern(pa.array([_FIRST + t for t, p in zip(texts, plain) if p], pa.string()), " ")
         others = pa.array([_cut(t) for t, p in zip(texts, plain) if not p], pa.list_(pa.string()))
@@ -206,7 +217,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
     rows are one queue by default). Only texts are shuffled, and encoding follows once. parts
     is the number of ranges (the session's shuffle partitions by default).
     """
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     queue = F.lit(0) if queue is None else queue
     rows = docs.select(docs[id_col].alias("id"), queue.cast("int").alias("queue"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -231,7 +242,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "id", "queue", "before", "n_tokens", "ids"])
 
         held: list[pa.RecordBatch] = []
-        for b in batches:
+        for b in sliced(batches):
             held.append(b)
             if sum(x.nbytes for x in held) >= TOGETHER:
                 yield from finished(held)
@@ -245,12 +256,14 @@ def placed(tokens: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """tokens with place, the ids of all earlier rows of its queue, and the total of each queue.
 
     The sums by part and queue are a small table; its running sums are found in Spark, a
-    queue apart from the others, and it is broadcast only while its count allows.
+    queue apart from the others, and it is broadcast only while its count allows. Either way
+    the rows of a part stay in one partition and in their order.
     """
     sums = stored(tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n")), "parts")
     earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    if sums.count() <= 500_000:
-        bases = F.broadcast(bases)
+    few = sums.count() <= MOST_SUMS
     totals = {r[0]: r[1] for r in sums.groupBy("queue").agg(F.sum("n")).collect()}
-    return tokens.join(bases, ["part", "queue"]).withColumn("place", F.col("base") + F.col("before")).drop("base", "before"), totals
+    rows = tokens.join(F.broadcast(bases) if few else bases.hint("shuffle_merge"), ["part", "queue"])
+    rows = rows.withColumn("place", F.col("base") + F.col("before")).drop("base", "before")
+    return rows if few else rows.repartition("part").sortWithinPartitions("part", "place"), totals

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune, utf8
+from .common import sliced, utf8
 
 #: Words in a window; bytes of the dictionaries' ordinary and toxic parts.
 WINDOW = 8
@@ -163,12 +163,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null texts count as empty and empty texts get a score like others; null ids stay null;
     repeated rows get equal scores; other columns are not read; an empty table gives an empty one.
     """
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)  # under 40 kB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             s = shared.value.scores([t or b"" for t in utf8(b.column(1))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
@@ -178,13 +178,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs without the documents that score threshold or more; its columns are unchanged."""
-    spark = tune(docs.sparkSession)
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     place = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             s = shared.value.scores([t or b"" for t in utf8(b.column(place))])
             yield b.filter(pa.array(s < threshold))
 

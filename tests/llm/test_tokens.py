@@ -14,11 +14,11 @@ from codeatlas.llm import huffman, packing, tokens
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name, rows, monkeypatch):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     encoder = tokens.Encoder(tokens.local_path(name))
     monkeypatch.setattr(tokens, "CACHE", 60)
     odd = ["a  b", " a", "a ", "a \n b", "x\n\n y", "it's 12 'quoted' 　z", "é ́x", "a\tb c", "İx ΣΑΣ Σ b", "<|endoftext|> x", "a\x1c b", " ", "\n"]
     odd += ["word, word. end.\nNext one,\nand Éa éa. x² ²,", "first,\nsecond. \0zero \0", "\0", "don't, can't. x.y,z a,b", "end. ", "ŉ ŀ ǆ, Ǆ. ſ ẞ", "a\nb c\n\nd"]
+    odd += ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>\nB  <|startoftext|><|endoftext|> c", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|>" * 3]
     odd += ["İ. İ, \u05e9\u05c1. \ufb2a. a½. ab… it's. A_ word*** $$$ it'*", "q.\nab.\ncd* x", "\nend", "Alone", "A,"]
     texts = odd + [r[1] or "" for r in rows]
     for k in (1, 7, len(texts)):
@@ -76,6 +76,18 @@ def test_files_hold_every_id(spark, docs, rows, tmp_path):
         at += len(ids)
 
 
+def test_many_parts_keep_their_order(spark, docs, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_SUMS", 0)
+    path = str(tmp_path / "files")
+    huffman.write_tokens(docs, path, "byte_bpe_50k.json", end=2)
+    got = huffman.read_tokens(spark, path).collect()
+    assert {(g.id, tuple(g.token_ids)) for g in got} == {(i, tuple(ids)) for i, ids in expected_ids(rows, "byte_bpe_50k.json", 2).items()}
+    starts = sorted((g.start, g.id) for g in got)
+    assert [i for _, i in starts] == sorted(r[0] for r in rows)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.count() == blocks.select("part").distinct().count()
+
+
 def test_packing_places_every_id_once(docs, rows):
     got = packing.pack(docs, "word_bpe_49k.json", end=1, ids=True, length=256).collect()
     want = expected_ids(rows, "word_bpe_49k.json", 1)
@@ -120,7 +132,6 @@ def test_windows_follow_the_mix():
 
 def test_large_totals_stay_exact():
     rounds = packing.Rounds([3 * 10**13, 10**12 + 7])
-    assert rounds.kind is object
     doc, start, n, w, offset = rounds.pieces(np.array([0, 1]), np.array([10**13, 10**11]), np.array([5000, 400]))
     assert n.sum() == 5400 and (offset + n <= packing.LENGTH).all()
 
@@ -150,6 +161,43 @@ def test_bases_match_the_sum_over_all_queues(monkeypatch, cells):
     rng = np.random.default_rng(3)
     for totals in (rng.integers(1, 5000, 400).tolist(), [3 * 10**13, 10**12 + 7]):
         rounds = packing.Rounds(totals)
-        q, r = rng.integers(0, len(totals), 300), rng.integers(0, rounds.rounds, 300).astype(rounds.kind)
+        q, r = rng.integers(0, len(totals), 300), rng.integers(0, rounds.rounds, 300)
         want = [sum(int(rounds.first(o, r[i : i + 1] + (o < q[i]))[0]) for o in range(len(totals))) for i in range(60)]
         assert rounds.base(q, r)[:60].tolist() == want
+
+
+@pytest.mark.parametrize("quantum", [1, 100])
+def test_windows_follow_given_weights_and_share_again_when_a_queue_ends(quantum):
+    totals, weights, length = [50_000, 20_000, 3_000, 0], [1.0, 2.0, 1.0, 0.0], 256
+    rounds = packing.Rounds(totals, length, weights, quantum)
+    window = defaultdict(lambda: [0] * 4)
+    for q, total in enumerate(totals):
+        place = np.arange(0, total, 97)
+        size = np.minimum(97, total - place)
+        doc, start, n, w, offset = rounds.pieces(np.full(len(place), q), place, size)
+        assert n.sum() == total and (offset + n <= length).all()
+        for k, m in zip(w.tolist(), n.tolist()):
+            window[k][q] += m
+    full = [window[k] for k in range(len(window) - 1)]
+    assert all(sum(w) == length for w in full)
+    left = np.array(totals, float)
+    for w in full:  # brute force: shares by weight of what is left, window by window
+        share, open_ = np.zeros(4), left > 0
+        room = float(length)
+        while room > 1e-6 and open_.any():
+            part = np.where(open_, np.array(weights), 0)
+            step = min(room / part.sum(), ((left - share)[open_] / part[open_]).min())
+            share += step * part
+            room -= step * part.sum()
+            open_ &= left - share > 1e-6
+        left -= share
+        assert np.abs(np.array(w) - share).max() <= 3 * quantum + 3
+
+
+def test_weights_by_source(spark):
+    rows = [(i, "some words of text " * 20, "a" if i % 4 else "b") for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), "word_bpe_49k.json", end=1, length=128, weights={"a": 1, "b": 3}).collect()
+    share = defaultdict(lambda: [0, 0])
+    for g in got:
+        share[g.sequence_id][g.queue] += g.length
+    assert all(abs(share[s][1] - 96) <= 3 for s in range(20)) and share[max(share) - 1][1] == 0
