@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,14 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import stored, tune, utf8
+from .common import sliced, stored, utf8
 from .components import connected_components
 
-#: First bit, width and searched radius of the segments. Two fingerprints that differ in at most 4 bits differ
-#: in at most 1 bit of one of the first two segments or in none of the third: else they would differ in 2 + 2 + 1.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 DISTANCE = 4
-#: Table matches and probes of a bucket that meet in one place; larger buckets are dealt out in cells.
+#: First bit, width and searched radius of the segments, by the most fingerprints that they are for. Two
+#: fingerprints that differ in at most DISTANCE bits lie within the radius in one segment at least: else they would
+#: differ in 2 + 2 + 1 bits, or in 3 + 2. Wider segments keep a bucket's entries few where there are more fingerprints.
+SEGMENTS = (
+    (1 << 27, ((0, 21, 1), (21, 21, 1), (42, 22, 0))),
+    (1 << 64, ((0, 32, 2), (32, 32, 1))),
+)
+#: Table entries of a bucket, and entries that its probes come from, up to which they meet in one place; others are dealt out in cells.
 COLD = 256
 CELL = 2048
 
@@ -46,32 +51,44 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """id and fp (the fingerprint as a signed long) for every row of docs."""
-    tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t or b"", shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-def _keys() -> tuple[Column, Column]:
-    """The table keys of fp and the keys that it looks up: its segment balls, tagged with the segment.
+def _masks(width: int, radius: int) -> list[tuple[int, int]]:
+    """Each way to flip 1 to radius bits of width, with the highest bit that it flips."""
+    return [(sum(1 << b for b in bits), 1 << bits[-1]) for n in range(1, radius + 1) for bits in combinations(range(width), n)]
 
-    A pair that differs in one bit of a segment is found from the side where that bit is 0, and
-    a pair with equal segments from the side with the smaller fingerprint, so half a ball does.
+
+def _segments(points: int) -> tuple:
+    return next(s for most, s in SEGMENTS if points <= most)
+
+
+def _neighbours(key: Column, segments: tuple) -> Column:
+    """The keys of key's segment that a fingerprint with this key looks up beside it.
+
+    Of two segments that differ, the one with 0 in the highest bit that differs looks up the
+    other, so half a ball does.
     """
-    own, ball = [], []
-    for k, (first, width, radius) in enumerate(SEGMENTS):
-        part = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
-        key = part.bitwiseOR(F.lit(k << 32))
-        own.append(key)
-        ball.append(F.struct(key.alias("key"), F.lit(False).alias("flip")))
-        for b in range(width if radius else 0):
-            ball.append(F.when(part.bitwiseAND(F.lit(1 << b)) == 0, F.struct(key.bitwiseOR(F.lit(1 << b)).alias("key"), F.lit(True).alias("flip"))))
-    return F.array(*own), F.filter(F.array(*ball), lambda x: x.isNotNull())
+    out = F.array().cast("array<bigint>")
+    for k, (_, width, radius) in enumerate(segments):
+        if radius:
+            masks = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(top).cast("long").alias("top")) for m, top in _masks(width, radius)))
+            ball = F.transform(F.filter(masks, lambda x: key.bitwiseAND(x["top"]) == 0), lambda x: key.bitwiseXOR(x["m"]))
+            out = F.when(F.shiftrightunsigned(key, 32) == k, ball).otherwise(out)
+    return out
+
+
+def _own_keys(segments: tuple) -> Column:
+    """The table keys of fp: the bits of each segment, tagged with its number."""
+    parts = (F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(k << 32)) for k, (first, width, _) in enumerate(segments))
+    return F.array(*parts)
 
 
 def cell_links(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -96,27 +113,40 @@ def links(points: DataFrame) -> DataFrame:
     """Edges u, v over the distinct fingerprints of points (column fp) whose components are those of all pairs within DISTANCE.
 
     Each fingerprint is in the table of each segment once and looks up its half balls there; a
-    match counts if the whole fingerprints are near. Where a bucket holds more than COLD
-    entries, its entries and probes are dealt into cells of about CELL x CELL that find their
-    pairs apart and return stars, so a bucket's rows stay in proportion to its members.
+    match counts if the whole fingerprints are near. Buckets of over COLD entries, and those
+    that such a bucket's entries look up, are dealt out: entries and probes in cells of about
+    CELL x CELL, which find their pairs apart and return stars. So a bucket's rows stay in
+    proportion to its members, on either side.
     """
-    own, ball = _keys()
-    table = points.select("fp", F.explode(own).alias("key"))
-    probe = points.select(F.col("fp").alias("fp2"), F.explode(ball).alias("b")).select("fp2", "b.*")
-    crowded = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COLD)
-    crowded = stored(crowded.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "crowded")
-    found = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE
-    cold = table.join(crowded, "key", "left_anti").join(probe, "key").filter(found & (F.col("flip") | (F.col("fp2") < F.col("fp")))).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
-    if crowded.isEmpty():
-        return cold
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    hot_table = table.join(crowded, "key").select("key", "fp", block.alias("i"), others.alias("j"))
-    hot_probe = probe.join(crowded, "key").select("key", F.col("fp2").alias("fp"), "blocks").select("key", "fp", block.alias("j"), others.alias("i"))
+    segments = _segments(points.count())
+    table = points.select("fp", F.explode(_own_keys(segments)).alias("key"))
+    near = table.select(F.col("fp").alias("fp2"), F.explode(_neighbours(F.col("key"), segments)).alias("key"), F.lit(True).alias("flip"))
+    probe = table.select(F.col("fp").alias("fp2"), "key", F.lit(False).alias("flip")).unionByName(near)
+    full = stored(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COLD), "crowded")
+    found = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE) & (F.col("flip") | (F.col("fp2") < F.col("fp")))
+    pairs = [F.col("fp").alias("u"), F.col("fp2").alias("v")]
+    if full.isEmpty():
+        return table.join(probe, "key").filter(found).select(pairs)
+    # What may come to a bucket: the entries of it, where it is full itself, and those of full buckets beside it.
+    come = full.select("key", F.col("n").alias("probes")).unionByName(full.select(F.explode(_neighbours(F.col("key"), segments)).alias("key"), F.col("n").alias("probes")))
+    come = come.groupBy("key").agg(F.sum("probes").alias("probes"))
+    sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(come, "key")
+    crowded = stored(sizes.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("rows"), F.ceil(F.col("probes") / CELL).cast("int").alias("columns")), "cells")
+    names = crowded.select("key")
+    cold = table.join(names, "key", "left_anti").join(probe, "key").filter(found).select(pairs)
+
+    def dealt(fp: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(fp), F.col(blocks)).cast("int")
+
+    def all_of(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    hot_table = table.join(crowded, "key").select("key", "fp", dealt("fp", "rows").alias("i"), all_of("columns").alias("j"))
+    hot_probe = probe.join(crowded, "key").select(F.col("key").alias("key"), F.col("fp2").alias("fp"), dealt("fp2", "columns").alias("j"), all_of("rows").alias("i"))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pairs = cell_links(left["fp"].to_numpy(np.int64), right["fp"].to_numpy(np.int64))
-        return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+        stars = cell_links(left["fp"].to_numpy(np.int64), right["fp"].to_numpy(np.int64))
+        return pd.DataFrame(stars, columns=["u", "v"], dtype="int64")
 
     cells = ["key", "i", "j"]
     hot = hot_table.groupBy(*cells).cogroup(hot_probe.groupBy(*cells)).applyInPandas(cell, "u bigint, v bigint")

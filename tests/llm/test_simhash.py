@@ -1,5 +1,6 @@
 import re
 
+import pytest
 import xxhash
 
 from codeatlas.llm import components, simhash
@@ -43,9 +44,13 @@ def test_near_groups_match_brute_force(docs, rows):
         assert g.fp % (1 << 64) == fps[g.doc_id] and g.component_id == least[label[fps[g.doc_id]]]
 
 
-def test_hot_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COLD", 8)
+@pytest.mark.parametrize("wide", [False, True])
+@pytest.mark.parametrize("cold", [8, 1_000])
+def test_hot_buckets_lose_no_link(spark, monkeypatch, wide, cold):
+    monkeypatch.setattr(simhash, "COLD", cold)
     monkeypatch.setattr(simhash, "CELL", 16)
+    if wide:
+        monkeypatch.setattr(simhash, "SEGMENTS", simhash.SEGMENTS[1:])  # as for more than 2**27 fingerprints
     import random
 
     rng = random.Random(5)
@@ -63,6 +68,36 @@ def test_hot_buckets_lose_no_link(spark, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, true.values()))
 
 
+def test_probes_of_a_small_bucket_are_dealt_out_too(spark, monkeypatch):
+    """A bucket of few entries beside a bucket of many: its probes meet in cells, not in one task."""
+    monkeypatch.setattr(simhash, "COLD", 8)
+    monkeypatch.setattr(simhash, "CELL", 16)
+    import random
+
+    rng = random.Random(6)
+    many = {rng.getrandbits(43) << 21 | 0b100 for _ in range(300)}
+    few = {p ^ 0b101 ^ (1 << rng.randrange(30, 64)) for p in list(many)[:5]}
+    points = many | few
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "fp long")
+    crowded = simhash.links(df)
+    got = {r.node % (1 << 64): r.label for r in components.connected_components(crowded).collect()}
+    label = groups_of(points)
+    assert {p for p in points if label[p] != p or sum(label[q] == p for q in points) > 1} == set(got)
+    for p in few:
+        assert sum(got.get(q) == got[p] for q in points) > 1
+
+
+def test_every_pair_within_the_distance_has_a_segment_within_its_radius():
+    from itertools import combinations
+
+    for _, segments in simhash.SEGMENTS:
+        assert sum(w for _, w, _ in segments) == 64 and sum(r + 1 for *_, r in segments) > simhash.DISTANCE
+        for _, width, radius in segments:
+            masks = simhash._masks(width, radius)
+            assert len(masks) == sum(len(list(combinations(range(width), n))) for n in range(1, radius + 1))
+            assert all(m.bit_length() == top.bit_length() and m.bit_count() <= radius for m, top in masks)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (139, 200)]
     got = {r.node: r.label for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
