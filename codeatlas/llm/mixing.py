@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,19 +13,40 @@ from .common import n_words, stored
 EPS = 1e-9
 
 
-def targets(sizes: dict, weights: dict, total: float, most: float = 3.0) -> dict:
-    """Share total by weight; no source gets more than most times its size, the excess is shared again."""
-    out, open_, left = {k: 0.0 for k in sizes}, {k for k in sizes if sizes[k] > 0}, float(total)
-    while open_:
-        unit = left / sum(weights[k] for k in open_)
-        full = {k for k in open_ if weights[k] * unit > most * sizes[k]}
-        if not full:
-            return out | {k: weights[k] * unit for k in open_}
-        for k in full:
-            out[k] = most * sizes[k]
-            left -= out[k]
-        open_ -= full
-    return out
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with source_no, the place of source (a column) in ascending order of code points, null last.
+
+    Ranges of sources are numbered side by side; only the ranges' counts meet in one place.
+    """
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = sizes.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
+    dealt = stored(dealt, "sources")
+    counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("own"), F.min("n").alias("first"))
+    earlier = F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("part", "first", earlier.alias("base"))
+    return dealt.join(bases, "part").withColumn("source_no", F.col("base") + F.col("n") - F.col("first")).drop("part", "n", "first", "base")
+
+
+def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """source, source_no, source_size, target and rate of sizes (source, source_size).
+
+    Sources share all sizes by weights, in turn. None gets more than most times its size; the
+    excess is shared again, which is a water level: it rises until no further source is full.
+    Each step is one row of sums, so the number of sources has no limit.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int")).cast("double")
+    table = stored(ranked(sizes).withColumn("weight", weight), "targets")
+    total = float(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("weight") * level >= most * F.col("source_size")  # of size 0: always
+        sums = table.agg(F.sum(F.when(full, 1).otherwise(0)), F.sum(F.when(full, most * F.col("source_size")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if sums[0] is None or sums[0] == n_full or not sums[2]:
+            break
+        n_full, level = sums[0], (total - sums[1]) / sums[2]
+    goal = F.least(most * F.col("source_size"), F.col("weight") * level) if sums[2] else most * F.col("source_size")
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    return table.withColumn("target", goal.cast("double")).withColumn("rate", rate).drop("weight")
 
 
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -68,29 +89,38 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
         held = [k for k in held if EPS < p[k] < 1 - EPS]
 
 
-def land(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The landing phase for the few open units: the choice of whole units whose sizes come nearest to the expected sum."""
+def land(p: np.ndarray, sizes: np.ndarray, goal: float, rng: np.random.Generator, flips: int = 3) -> np.ndarray:
+    """The landing phase for the few units that the flight left open.
+
+    The constraint on the count is dropped and the flight goes on with sizes alone; the one unit
+    still open then is settled, and up to flips units are changed, each that which brings the sum
+    of sizes nearest to goal.
+    """
     free = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    goal, best = float((p[free] * sizes[free]).sum()), None
-    for mask in range(1 << len(free)):
-        took = [bool(mask >> k & 1) for k in range(len(free))]
-        gap = (abs(float(sizes[free][took].sum()) - goal), abs(sum(took) - float(p[free].sum())), mask)
-        if best is None or gap < best[0]:
-            best = (gap, took)
     p = p.copy()
-    p[free] = best[1]
+    if len(free) > 1:
+        p[free] = flight(p[free], (sizes * p)[free, None], rng)
+    p = np.where(p >= 0.5, 1.0, 0.0)
+    gap = goal - float(p @ sizes)
+    for _ in range(flips):
+        left = np.abs(gap - np.where(p > 0, -sizes, sizes))
+        k = int(left.argmin())
+        if left[k] >= abs(gap):
+            break
+        gap -= -sizes[k] if p[k] > 0 else sizes[k]
+        p[k] = 1 - p[k]
     return p
 
 
-def _flyer(schema: T.StructType, seed: int, level: int, last: bool):
-    """The flight of one block; the last level lands what stays open."""
+def _flyer(schema: T.StructType, seed: int, level: int):
+    """The flight of one block; that of a source which is one block lands."""
 
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "key"], ascending=[False, True], ignore_index=True)  # small units settle last, so little is left to land
         rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
         size, p = rows["size"].to_numpy(float), rows["p"].to_numpy()
-        p = flight(p, np.column_stack([size * p, p]), rng)
-        rows["p"] = land(p, size) if last else p
+        out = flight(p, np.column_stack([size * p, p]), rng)
+        rows["p"] = land(out, size, float(size @ p), rng) if rows["blocks"].iloc[0] == 1 else out
         return rows[schema.names]
 
     return fly
@@ -104,27 +134,26 @@ def balanced(units: DataFrame, per_block: int = 2_000, seed: int = 42) -> DataFr
     meet in larger blocks, until a source is one block, which lands. A source that holds a
     third of all rows is many blocks. Equal input gives equal output, whatever the partitions.
     """
-    spark = units.sparkSession
     schema = T.StructType([f for f in units.schema if f.name in ("source_no", "key", "size", "p")])
-    done = None
-    counts = {r[0]: r[1] for r in units.groupBy("source_no").count().collect()}
-    level = 0
+    done, level = None, 0
     while True:
-        blocks = {k: -(-n // per_block) for k, n in counts.items()}
-        last = level > 0 and max(blocks.values(), default=1) == 1
-        number = spark.createDataFrame(list(blocks.items()), "source_no int, blocks long")
-        spread = units.join(F.broadcast(number), "source_no").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), "blocks")).drop("blocks")
-
-        flown = stored(spread.groupBy("source_no", "block").applyInPandas(_flyer(schema, seed, level, last), schema), "flight")
+        blocks = units.groupBy("source_no").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("blocks"))
+        spread = units.join(blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), "blocks"))
+        flown = stored(spread.groupBy("source_no", "block").applyInPandas(_flyer(schema, seed, level), schema), "flight")
         whole = flown.filter("p = 0 or p = 1")
         done = whole if done is None else done.unionByName(whole)
-        if last:
-            return done
         units = flown.filter("p > 0 and p < 1")
-        counts = {k: 2 * n for k, n in blocks.items()}
+        if units.isEmpty():
+            return done
         level += 1
 
 
+def identity(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    """128 bits that tell a row by its id, source and text; rows equal in all three are alike."""
+    rest = F.to_json(F.struct(docs[id_col].alias("i"), docs[source_col].alias("s"), docs[text_col].isNull().alias("n")))
+    return F.md5(F.concat(rest, F.lit("\n"), F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: float = 3.0, seed: int = 42, keyed: bool = False) -> DataFrame:
     """Mix the rows of docs so that each source's words come near its target.
 
@@ -135,23 +164,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     once more with the rest as probability, chosen by the cube method. Rows without words have
     size 0 and are taken by the same rule. Null texts have no words; null ids are a value like
     another; rows that are equal in id and size are spread by their number, so repeated rows
-    are each chosen for themselves; other columns are not read. The driver holds one number
-    per source; sources are dataset names, not keys of documents.
+    are each chosen for themselves; other columns are not read; an empty table gives an empty
+    one. No table of sources is held by the driver.
     """
-    spark = docs.sparkSession
-    rows = stored(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col], docs[id_col], docs[source_col]).alias("key")), "sizes")
-    sums = {r[0]: int(r[1]) for r in rows.groupBy("source").agg(F.sum("size")).collect()}
-    order = sorted((k for k in sums if k is not None)) + [None] * (None in sums)
-    goal = targets(sums, {k: weights[i % len(weights)] for i, k in enumerate(order)}, sum(sums.values()), most)
-    table = spark.createDataFrame([(i, k, sums[k], goal[k], min(most, goal[k] / sums[k]) if sums[k] else 0.0) for i, k in enumerate(order)], "source_no int, name string, source_size long, target double, rate double")
-    placed = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    rows = stored(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), identity(docs, id_col, text_col, source_col).alias("key")), "sizes")
+    table = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "goals").withColumnRenamed("source", "name")
+    placed = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     base = F.floor(F.col("rate") + F.lit(EPS)).cast("int")
     placed = placed.withColumn("base", base).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - base))
     open_ = F.col("p") > EPS
     # Rows with equal keys are alike in all that counts: a run of n of them is chosen as n units key/1 ... key/n.
     units = placed.filter(open_).groupBy("source_no", "key", "size", "p").count().select("source_no", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("nth"), "key", "size", "p")
-    units = units.select("source_no", F.concat_ws("/", F.col("key").cast("string"), "nth").alias("key"), "size", "p")
-    chosen = balanced(units, seed=seed).filter("p = 1").select("source_no", F.substring_index("key", "/", 1).cast("long").alias("key")).groupBy("source_no", "key").agg(F.count(F.lit(1)).alias("hits"))
+    units = units.select("source_no", F.concat_ws("/", "key", "nth").alias("key"), "size", "p")
+    chosen = balanced(units, seed=seed).filter("p = 1").select("source_no", F.substring_index("key", "/", 1).alias("key")).groupBy("source_no", "key").agg(F.count(F.lit(1)).alias("hits"))
     alike = placed.groupBy("source_no", "key").agg(F.count(F.lit(1)).alias("alike")).filter("alike > 1")
     out = _spread(placed, chosen, alike)
     return out if keyed else out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", "taken")
@@ -163,10 +188,10 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Rows equal in id, text and source count as one row that is taken as often as all of them.
     """
     taken = mix(docs, id_col, text_col, source_col, keyed=True, **options)
-    totals = taken.groupBy("key").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__alike")).withColumnRenamed("key", "__key")
-    rows = docs.withColumn("__key", F.xxhash64(docs[text_col], docs[id_col], docs[source_col])).join(totals, "__key")
-    rows = rows.filter("__alike = 1").unionByName(rows.filter("__alike > 1").dropDuplicates(["__key"]))
-    return rows.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("__copies").cast("int"))))).filter("__copies > 0").select(docs.columns)
+    totals = taken.groupBy("key").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("alike")).filter("copies > 0")
+    rows = docs.select(F.struct("*").alias("all"), identity(docs, id_col, text_col, source_col).alias("key")).join(totals, "key")
+    rows = rows.filter("alike = 1").unionByName(rows.filter("alike > 1").dropDuplicates(["key"]))
+    return rows.select("all", F.explode(F.sequence(F.lit(1), "copies"))).select("all.*")
 
 
 def _spread(placed: DataFrame, chosen: DataFrame, alike: DataFrame) -> DataFrame:
