@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 #: A repeat has REPEAT bytes at least; a trigger is a string of TRIGGER bytes.
 REPEAT = 100
@@ -437,26 +437,32 @@ _PHRASE, _GONE, _MAYBE, _STAYS = range(4)
 
 
 def marks(dictionary: DataFrame) -> DataFrame:
-    """doc, what, at, n and bits: which windows of the corpus are the first of their kind (dictionary: doc, start, phrase)."""
+    """doc and marks (what, at, n, bits): which windows of a text are the first of their kind (dictionary: doc, start, phrase)."""
 
     def mark(rows: DataFrame, what: int, at: str, bits: str | None = None) -> DataFrame:
         none = F.lit(None)
         return rows.select("doc", F.lit(what).alias("what"), F.col(at).alias("at"), (F.col("n") if what == _PHRASE else F.lit(0)).cast("long").alias("n"), (F.col(bits) if bits else none).cast("binary").alias("bits"))
 
     first = dictionary.select("doc", "start", (F.octet_length("phrase") - REPEAT + 1).alias("n"))
-    found = stored(contexts(dictionary.join(repeated_anchors(dictionary), ["doc", "start"])), "contexts")
+    wanted = stored(repeated_anchors(dictionary), "anchors")
+    found = stored(contexts(dictionary.join(wanted, ["doc", "start"])), "contexts")
+    discard(wanted)
     once = stored(ordered(found.filter("own is not null"), backwards=True), "backwards")
     out = mark(first, _PHRASE, "start")
     for rows in (found, once):
         out = out.unionByName(mark(rows.filter("gone is not null"), _GONE, "at", "gone"))
     crowded = once.filter("own is not null")
-    if crowded.isEmpty():
-        return out
-    twice = stored(ordered(crowded, backwards=False), "onwards")
-    out = out.unionByName(mark(twice.filter("gone is not null"), _GONE, "at", "gone"))
-    open_ = twice.filter("own is not null")
-    stays = windows(open_).groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.*")
-    return out.unionByName(mark(open_, _MAYBE, "at", "own")).unionByName(mark(stays, _STAYS, "start"))
+    used = [found, once]
+    if not crowded.isEmpty():
+        twice = stored(ordered(crowded, backwards=False), "onwards")
+        out = out.unionByName(mark(twice.filter("gone is not null"), _GONE, "at", "gone"))
+        open_ = twice.filter("own is not null")
+        stays = windows(open_).groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first")).select("first.*")
+        out = out.unionByName(mark(open_, _MAYBE, "at", "own")).unionByName(mark(stays, _STAYS, "start"))
+        used.append(twice)
+    out = stored(out.groupBy("doc").agg(F.collect_list(F.struct("what", "at", "n", "bits")).alias("marks")), "marks")
+    discard(*used)
+    return out
 
 
 def covered(n: int, what: np.ndarray, at: np.ndarray, size: np.ndarray, bits: list[bytes | None]) -> np.ndarray:
@@ -516,7 +522,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _distinguished(rows)
     first = parse(rows).groupBy("phrase").agg(F.min(F.struct("doc", "start")).alias("first"))
     dictionary = stored(first.select("first.doc", "first.start", "phrase"), "dictionary")
-    plan = marks(dictionary).groupBy("doc").agg(F.collect_list(F.struct("what", "at", "n", "bits")).alias("marks"))
+    plan = marks(dictionary)
+    discard(dictionary)
     ready = rows.join(plan, "doc", "left").select("id", "raw", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
