@@ -65,3 +65,32 @@ def test_long_windows_are_read_to_their_end():
     text = bytes(range(33, 127)) * 20
     parts = list(toxicity.windows(text, 30))
     assert all(any(text.lower()[i : i + 30] in p for p in parts) for i in range(len(text) - 29)) and max(map(len, parts)) <= 286
+
+
+def test_dictionaries_are_equal_in_size_and_thresholds_see_other_rows(monkeypatch):
+    rows = sample(600)
+    texts, marks = [t.encode() for _, t, _ in rows], [y for *_, y in rows]
+    seen = []
+    real = toxicity.Model.features
+    monkeypatch.setattr(toxicity.Model, "features", lambda self, t, pair=0: seen.append((t, pair)) or real(self, t, pair))
+    model = toxicity.fit(texts, marks)
+    assert len(model.pairs) == 2 and all(len(a) == len(b) and a != b for a, b in model.pairs)
+    assert any(w.encode() in model.pairs[0][1] for w in BAD) and not any(w.encode() in model.pairs[0][0] for w in BAD)
+    by_class = {0: [], 1: []}
+    for t, y in zip(texts, marks):
+        by_class[y].append(t)
+    trained = [{t for own in by_class.values() for t in own[k::2]} for k in (0, 1)]
+    assert len(seen) == len(texts) and all(t not in trained[pair] or t in trained[1 - pair] for t, pair in seen)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, marks: got.append((texts, marks)))
+    docs = spark.createDataFrame([(i % 50, f"text {i} " * (500 if i % 10 == 0 else 5)) for i in range(2000)] + [(7, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(50)] * 3 + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    usable = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    toxicity.train(docs, labels)
+    toxicity.train(docs, labels, sample=9)
+    toxicity.train(docs, labels, sample_bytes=3000)
+    toxicity.train(docs, labels.limit(0))
+    assert len(got[0][0]) == len(usable) and len(got[1][0]) == 9 and 0 < sum(map(len, got[2][0])) <= 3000 and got[3] == ([], [])
