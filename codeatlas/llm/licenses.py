@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from .common import sliced, utf8
 
-#: Notices and grants as licenses print them. A name may have several templates.
+#: Notices, grants and whole short licenses as they are printed. A name may have several templates.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
@@ -24,6 +25,11 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 #: ASCII bytes that are neither letters nor digits part words; other bytes belong to them.
 _PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -32,8 +38,6 @@ GAP = 12
 #: Words that tell a template from its siblings: all that a template has must be matched, and no RIVALS that it lacks may stand between.
 NAMING = frozenset(b"mit apache general mozilla cc by nc nd sa lesser affero later 1 2 3 4".split())
 RIVALS = frozenset(b"lesser affero nc nd sa".split())
-#: Gaps without anchors are aligned by their longest common subsequence up to this many cells, else by halves.
-CELLS = 250_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -60,16 +64,53 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def common(a: list, b: list, heavy: frozenset = frozenset()) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists, of those with the most heavy words."""
-    weight = {w: 1 + (len(b) + 1) * (w in heavy) for w in b}
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+def _zeros(a: list, b: list) -> Iterator[int]:
+    """Per word of a, bits of which zeros mark where the longest common subsequence with b so far grows by one (bit-parallel)."""
+    places: dict = defaultdict(int)
+    for j, w in enumerate(b):
+        places[w] |= 1 << j
+    full = v = (1 << len(b)) - 1
+    for w in a:
+        same = v & places.get(w, 0)
+        v = ((v + same) | (v - same)) & full
+        yield v
+
+
+def common_length(a: list, b: list) -> int:
+    """The length of a longest common subsequence."""
+    v = (1 << len(b)) - 1
+    for v in _zeros(a, b):
+        pass
+    return len(b) - v.bit_count()
+
+
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """A longest common subsequence of two lists, as pairs of places."""
+    rows = [(1 << len(b)) - 1, *_zeros(a, b)]
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        below = (1 << j) - 1
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif (rows[i - 1] & below).bit_count() == (rows[i] & below).bit_count():
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def common_with(a: list, b: list, heavy: frozenset) -> list[tuple[int, int]]:
+    """Of the longest common subsequences of two lists one with the most heavy words."""
+    weight = {w: 1 + 1 / (len(b) + 1) * (w in heavy) for w in b}
+    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
+        row, under = best[i], best[i + 1]
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + weight[b[j]] if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            row[j] = under[j + 1] + weight[b[j]] if a[i] == b[j] else max(under[j], row[j + 1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + weight[b[j]]:
+        if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
@@ -84,7 +125,7 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 
     Words that occur once in a and once in b are anchors; a longest increasing subsequence of
     them stands, and the gaps before, between and after them are aligned alike. A gap without
-    anchors falls to the longest common subsequence, or to halves of a where it is long.
+    anchors falls to the longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -100,21 +141,21 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
             out += anchors
             for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)]):
                 work.append((i + 1, k, j + 1, m))
-        elif (a1 - a0) * (b1 - b0) <= CELLS:
-            out += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
         else:
-            i, j = (a0 + a1) // 2, (b0 + b1) // 2
-            work += [(a0, i, b0, j), (i, a1, j, b1)]
+            out += [(a0 + i, b0 + j) for i, j in common(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
 
 class Scanner:
-    """The templates, and per template the word whose counts bound what a region can cover."""
+    """The templates, and what a stretch of text must hold to cover one."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]) -> None:
+    def __init__(self, templates: tuple[tuple[str, str], ...], least: float = 0.8) -> None:
         self.templates = [(name, words_of(text.encode())) for name, text in templates]
         self.counts = [Counter(words) for _, words in self.templates]
         self.naming = [Counter(w for w in words if w in NAMING) for _, words in self.templates]
+        self.need = [math.ceil(least * len(words) - 1e-9) for _, words in self.templates]
+        # The first word matched leaves need - 1 words behind it, so it is one of these.
+        self.starts = [frozenset(words[: len(words) - need + 1]) for (_, words), need in zip(self.templates, self.need)]
         self.vocabulary = {w for _, words in self.templates for w in words}
 
     def regions(self, words: list[bytes]) -> list[list[int]]:
@@ -123,40 +164,43 @@ class Scanner:
         cuts = [k for k in range(1, len(places)) if places[k] - places[k - 1] > GAP]
         return [places[a:b] for a, b in zip([0, *cuts], [*cuts, len(places)]) if b > a]
 
-    def scan(self, text: bytes, least: float) -> list[tuple[int, float, int, int, int]]:
-        """(template, coverage, first word, last word, matched words) of every notice that covers least of its template.
+    def scan(self, text: bytes) -> list[tuple[int, float, int, int, int]]:
+        """(template, coverage, first word, last word, matched words) of every notice that covers enough of its template.
 
-        A region can repeat a notice. After a hit, what stands before and after it is searched again.
+        A region is read once, from left to right. The first notice met competes with those
+        that begin inside it: the one with most matched words by coverage stands, what it leaves
+        before it is looked over again, and reading goes on behind it.
         """
         words = words_of(text)
         found = []
-        work = self.regions(words)
-        while work:
-            places = work.pop()
+        for places in self.regions(words):
             have = [words[i] for i in places]
-            counts = Counter(have)
-            best = None
-            for k, (_, template) in enumerate(self.templates):
-                if sum(min(n, counts[w]) for w, n in self.counts[k].items()) < least * len(template):
-                    continue
-                for a, b in self._runs(places, have, k, least):
-                    pairs = self._pairs(words, places, have, a, b, k, least)
-                    if not pairs:
-                        continue
-                    cover, first, last = len(pairs) / len(template), pairs[0][0], pairs[-1][0]
-                    rank = (len(pairs) * cover, cover, -k, places[first] - places[last], -first)
-                    if best is None or rank > best[0]:
-                        best = (rank, k, cover, first, last, len(pairs))
-            if best:
-                _, k, cover, first, last, n = best
-                found.append((k, cover, places[first], places[last], n))
-                work += [p for p in (places[:first], places[last + 1 :]) if p]
+            runs = sorted((a, k, b) for k in range(len(self.templates)) for a, b in self._runs(places, have, k))
+            work = [(0, len(have))]
+            while work:
+                begin, end = work.pop()
+                best = None
+                for x in range(bisect_left(runs, (begin,)), len(runs)):
+                    a, k, b = runs[x]
+                    if a >= end or best and a > best[1]:
+                        break
+                    pairs = self._pairs(words, places, have, a, min(b, end), k)
+                    if pairs:
+                        cover, first, last = len(pairs) / len(self.templates[k][1]), pairs[0][0], pairs[-1][0]
+                        rank = (len(pairs) * cover, cover, -k, places[first] - places[last], -first)
+                        if best is None or rank > best[2]:
+                            best = (first, last if best is None else max(best[1], last), rank, k, cover, last, len(pairs))
+                if best:
+                    first, _, _, k, cover, last, n = best
+                    found.append((k, cover, places[first], places[last], n))
+                    work += [(last + 1, end), (begin, first)]
         return sorted(found, key=lambda f: (f[2], f[0]))
 
-    def _runs(self, places: list[int], have: list[bytes], k: int, least: float) -> Iterator[tuple[int, int]]:
-        """Stretches of a region to align: from each word of the template on, as far as a notice may reach, if enough of its words are in it."""
-        counts, template = self.counts[k], self.templates[k][1]
-        span, need = 2 * len(template) + GAP, least * len(template)
+    def _runs(self, places: list[int], have: list[bytes], k: int) -> Iterator[tuple[int, int]]:
+        """Stretches of a region to align: from each word that a notice can begin with, as far as one may reach, if enough of its words are in it."""
+        counts, starts, span, need = self.counts[k], self.starts[k], 2 * len(self.templates[k][1]) + GAP, self.need[k]
+        if sum(min(n, have.count(w)) for w, n in counts.items()) < need:
+            return
         inside: Counter = Counter()
         met = b = 0
         for a, w in enumerate(have):
@@ -164,18 +208,20 @@ class Scanner:
                 inside[have[b]] += 1
                 met += inside[have[b]] <= counts[have[b]]
                 b += 1
-            if w in counts and met >= need and all(inside[x] >= n for x, n in self.naming[k].items()):
+            if met >= need and w in starts and all(inside[x] >= n for x, n in self.naming[k].items()):
                 yield a, b
             met -= inside[w] <= counts[w]
             inside[w] -= 1
 
-    def _pairs(self, words: list[bytes], places: list[int], have: list[bytes], a: int, b: int, k: int, least: float) -> list[tuple[int, int]]:
-        """The matched words of a notice in have[a:b]: by patience alignment, or where that falls short by the longest common subsequence."""
-        template = self.templates[k][1]
-        for pairs in (align(have[a:b], template), None):
-            if pairs is None:
-                pairs = common(have[a:b], template, NAMING)
-            if len(pairs) < least * len(template) or Counter(template[j] for _, j in pairs if template[j] in NAMING) != self.naming[k]:
+    def _pairs(self, words: list[bytes], places: list[int], have: list[bytes], a: int, b: int, k: int) -> list[tuple[int, int]]:
+        """The matched words of a notice that begins at have[a], within have[a:b]: by patience alignment, or where that falls short by the longest common subsequence."""
+        template, need = self.templates[k][1], self.need[k]
+        stretch = have[a:b]
+        if common_length(stretch, template) < need:
+            return []
+        for way in (align, lambda x, y: common_with(x, y, NAMING)):
+            pairs = way(stretch, template)
+            if len(pairs) < need or Counter(template[j] for _, j in pairs if template[j] in NAMING) != self.naming[k]:
                 continue
             between = words[places[a + pairs[0][0]] : places[a + pairs[-1][0]] + 1]
             if any(w in RIVALS and w not in self.naming[k] for w in between):
@@ -188,7 +234,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """Find the license notices in every whole text of docs.
 
     Returns a row per row of docs: id, n_notices, license (that of the notice with most
-    matched words, the first on a tie; null if none), coverage (matched words by the
+    matched words, on a tie the greater coverage, then the first; null if none), coverage (matched words by the
     template's), n_matched, first_word and last_word (places of the notice's ends among the
     text's words) and licenses (the names of all notices, sorted, without repeats). Null texts count as empty; null
     ids stay null; repeated rows are scanned each; other columns are not read; an empty table
@@ -198,11 +244,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     schema = f"id {kind}, n_notices bigint, license string, coverage double, n_matched bigint, first_word bigint, last_word bigint, licenses array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates)
+        scanner = Scanner(templates, least)
         for b in sliced(batches):
             columns = defaultdict(list)
             for text in utf8(b.column(1)):
-                found = scanner.scan(text or b"", least)
+                found = scanner.scan(text or b"")
                 top = max(found, key=lambda f: (f[4], f[1], -f[2]), default=None)
                 columns["n_notices"].append(len(found))
                 columns["license"].append(scanner.templates[top[0]][0] if top else None)

@@ -42,8 +42,8 @@ def test_notices_are_found(spark, docs, rows, empty):
 
 def test_notices_in_long_prose():
     """A notice is found wherever it stands, and a sibling's is not taken for it."""
-    scan = licenses.Scanner(licenses.TEMPLATES).scan
-    name = lambda text: [licenses.TEMPLATES[f[0]][0] for f in scan(text.encode(), 0.8)]
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.8).scan
+    name = lambda text: [licenses.TEMPLATES[f[0]][0] for f in scan(text.encode())]
     prose = "the use of the work and the terms of the form to any person or the source of it " * 12
     for notice, want in (
         ("Licensed under the MIT License", ["MIT"]),
@@ -65,4 +65,71 @@ def test_notices_in_long_prose():
 
 def test_an_early_word_hides_no_notice():
     text = "released " + "of the work and any terms " * 3 + "licensed under the MIT License"
-    assert [licenses.TEMPLATES[f[0]][0] for f in licenses.Scanner(licenses.TEMPLATES).scan(text.encode(), 0.8)] == ["MIT"]
+    assert [licenses.TEMPLATES[f[0]][0] for f in licenses.Scanner(licenses.TEMPLATES).scan(text.encode())] == ["MIT"]
+
+
+def lcs(a, b):
+    """The quadratic table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_subsequences_are_longest():
+    import random
+
+    rng = random.Random(4)
+    for n in range(200):
+        a, b = ([rng.choice("abcdef"[: 2 + n % 5]) for _ in range(rng.randrange(40))] for _ in range(2))
+        for pairs in (licenses.common(a, b), licenses.common_with(a, b, frozenset("ab"))):
+            assert len(pairs) == lcs(a, b) == licenses.common_length(a, b)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:]))
+
+
+def test_scan_against_brute_force():
+    """A notice is found if and only if some stretch of words has enough of a template in order."""
+    import math
+    import random
+
+    rng = random.Random(11)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    hits = 0
+    for _ in range(300):
+        templates = [(f"t{k}", " ".join(rng.choice(words) for _ in range(rng.randrange(5, 9)))) for k in range(2)]
+        text = [rng.choice(words) if rng.random() < 0.7 else "x" for _ in range(rng.randrange(25))]
+        if rng.random() < 0.4:
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = [w for w in rng.choice(templates)[1].split() if rng.random() < 0.9]
+        want = set()
+        for k, (_, t) in enumerate(templates):
+            t = t.split()
+            span, need = 2 * len(t) + licenses.GAP, math.ceil(0.8 * len(t))
+            if any(lcs(text[i : i + span], t) >= need for i in range(len(text))):
+                want.add(k)
+        found = licenses.Scanner(tuple(templates), 0.8).scan(" ".join(text).encode())
+        assert {f[0] for f in found} <= want and bool(found) == bool(want), (templates, text)
+        for k, cover, first, last, n in found:
+            t = templates[k][1].split()
+            assert n <= lcs(text[first : last + 1], t) and abs(cover - n / len(t)) < 1e-9 and n >= 0.8 * len(t) - 1e-9
+        assert all(x[3] < y[2] for x, y in zip(found, found[1:]))
+        hits += bool(want)
+    assert 60 < hits < 290
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    scan, took = licenses.Scanner(licenses.TEMPLATES).scan, []
+    notice = licenses.TEMPLATES[0][1] + " " + licenses.TEMPLATES[2][1] + "\n"
+    for k in (250, 2000):
+        began = time.process_time()
+        assert len(scan((notice * k).encode())) == 2 * k
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0]
+
+
+def test_ties_go_to_the_first_template():
+    found = licenses.Scanner((("one", "alpha beta gamma delta"), ("two", "alpha beta gamma delta"))).scan(b"x alpha beta gamma delta y")
+    assert [(f[0], f[2], f[3]) for f in found] == [(0, 1, 4)]
