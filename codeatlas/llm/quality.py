@@ -29,6 +29,9 @@ BOILERPLATE = (
 BASE = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_())]
 VERDICT = [("kept", pa.bool_()), ("n_lines", pa.int64()), ("n_lines_removed", pa.int64()), ("n_words_left", pa.int64()), ("clean_text", pa.string())]
 _FURNITURE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_LINK = re.compile(r"(?:^|[\x20\x09-\x0D])(?:https?://|www\.)")
+#: Words of a line that can be page furniture, and how often such a line may occur in a document.
+SHORT, TIMES = 20, 2
 
 
 def repeated_words(words: list) -> int:
@@ -49,8 +52,9 @@ def line_passes(line: str, n: int) -> bool:
 
     Punctuation: symbols and exclamation marks (in runs of any length) are fewer than 3 for each
     10 words, and a letter or digit occurs. Navigation: bars, arrows and bullets part fewer than
-    2 for each 10 words. Boilerplate: no furniture phrase in a line of up to 20 words, and not
-    more than 7 of 10 letters upper case in a line of 20 letters or more.
+    2 for each 10 words, and not over half of the words are links. Boilerplate: no furniture
+    phrase in a line of up to SHORT words (judge() also removes such lines where they occur more
+    than TIMES times), and not more than 7 of 10 letters upper case in a line of 20 or more.
     """
     marks = sum(map(line.count, SYMBOLS)) + len(re.findall("!+", line)) if "!" in line else sum(map(line.count, SYMBOLS))
     if 10 * marks >= 3 * n and marks > 1 or not any(map(str.isalnum, line)):
@@ -58,7 +62,9 @@ def line_passes(line: str, n: int) -> bool:
     parts = line.count("|") + line.count("»") + line.count("•") + line.count(" > ")
     if parts > 1 and 10 * parts >= 2 * n:
         return False
-    if n <= 20 and _FURNITURE.search(line.lower()):
+    if ("://" in line or "www." in line) and 2 * len(_LINK.findall(line)) > n:
+        return False
+    if n <= SHORT and _FURNITURE.search(line.lower()):
         return False
     if sum(map(str.isupper, line)) > 14:  # fewer are not over 7 of 10 of 20 letters
         letters = [c for c in line if c.isalpha()]
@@ -74,13 +80,14 @@ def judge(text: str | None, min_words: int = 50, least_left: float = 0.5) -> tup
     n, repeats = len(words), repeated_words(words)
     seen: set[str] = set()
     lines, duplicates, left, kept_lines = text.split("\n"), 0, 0, []
+    often = {line for line, k in Counter(lines).items() if k > TIMES}
     for line in lines:
         own = len(line.encode("utf-8", "surrogatepass").split())
         if not own:
             continue
         duplicates += line in seen
         seen.add(line)
-        if line_passes(line, own):
+        if line_passes(line, own) and not (own <= SHORT and line in often):
             kept_lines.append(line)
             left += own
     with_words = sum(1 for line in lines if line.strip(BLANKS))

@@ -74,11 +74,12 @@ ORACLES = {
         repeats AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM often) GROUP BY doc_id),
         lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
         marked AS (SELECT *, len(regexp_extract_all(line, '[#*$%&|<>]')) + len(regexp_extract_all(line, '!+')) AS marks,
-            len(regexp_extract_all(line, '[|»•]')) + len(string_split(line, ' > ')) - 1 AS parts, len(regexp_extract_all(line, '\p{L}')) AS letters, len(regexp_extract_all(line, '\p{Lu}')) AS uppers
+            len(regexp_extract_all(line, '[|»•]')) + len(string_split(line, ' > ')) - 1 AS parts, len(regexp_extract_all(line, '\p{L}')) AS letters, len(regexp_extract_all(line, '\p{Lu}')) AS uppers,
+            len(regexp_extract_all(line, '(?:^|[\x20\x09-\x0D])(?:https?://|www\.)')) AS links, count(*) OVER (PARTITION BY doc_id, line) AS times
             FROM lines WHERE n > 0),
         judged AS (SELECT *, NOT (10 * marks >= 3 * n AND marks > 1 OR NOT regexp_matches(line, '[\p{L}\p{N}]') OR parts > 1 AND 10 * parts >= 2 * n
-            OR n <= 20 AND regexp_matches(lower(line), '__FURNITURE__')
-            OR regexp_matches(line[1:64], '\p{Lu}') AND NOT regexp_matches(line[1:64], '\p{Ll}') AND letters >= 20 AND 10 * uppers > 7 * letters) AS passes FROM marked),
+            OR n <= 20 AND (times > 2 OR regexp_matches(lower(line), '__FURNITURE__'))
+            OR 2 * links > n OR letters >= 20 AND 10 * uppers > 7 * letters) AS passes FROM marked),
         per AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (NOT passes) AS n_lines_removed, coalesce(sum(n) FILTER (passes), 0)::BIGINT AS n_words_left FROM judged GROUP BY doc_id),
         base AS (SELECT doc_id, len(ws) AS n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_left, 0) AS n_words_left

@@ -49,3 +49,32 @@ def test_capitals_are_counted_in_the_whole_line():
     assert not ok("BUY NOW AND SAVE on ALL SHOES, BAGS AND COATS")
     assert not ok("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 THIS LINE IS ALL CAPITALS")
     assert ok("ABCDEFGHIJKLMN abcdef") and not ok("ABCDEFGHIJKLMNO abcde") and ok("SHORT AND LOUD LINE")
+
+
+def test_short_lines_that_recur_and_lines_of_links_go():
+    good = "\n".join(" ".join(f"word{i}x{k}" for k in range(6)) + "." for i in range(12))
+    often = "\n".join(f"{line}\nread it here" for line in good.split("\n"))
+    assert quality.judge(often)[10] == good and quality.judge("read it here\nread it here\n" + good)[8] == 0
+    ok = lambda line: quality.line_passes(line, len(line.split()))
+    assert not ok("https://a.org/x www.b.org") and not ok("see http://a.org www.b.com") and ok("see http://a.org for more") and ok("awww.x y")
+
+
+def test_sql_agrees_on_odd_lines(spark, rows, tmp_path):
+    import duckdb
+
+    from codeatlas.llm import queries
+
+    odd = ["Home | News\nBUY NOW AND SAVE on ALL SHOES, BAGS AND COATS", "É" * 30 + " b", "ÀÉÎ a" * 9, "ⅣⅤ½ ², 漢字 x\n½\n²\nⅣ", "x\nx\nx\ny", "www.a.b\nhttp://x y", "ABCDEFGHIJKLMNO abcde\nǅ" + "Ab" * 12]
+    odd += ["A" * n + "b" * m for n, m in ((14, 6), (15, 5), (15, 6), (40, 17), (40, 18))] + ["word " * 60 + "\n" + "Log in\n" * 4]
+    table = [(i, t) for i, t in enumerate(odd + [r[1] for r in rows])] + [(None, "a b")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op1_quality_rules"])
+    names = [d[0] for d in want.description]
+    want = [r for r in want.fetchall() if r[0] is not None]
+    got = queries.op1_quality_rules(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(names)
+    got = got.filter("doc_id is not null").select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert queries.op1_quality_rules(spark, str(tmp_path)).count() == len(table)
