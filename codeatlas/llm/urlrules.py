@@ -70,15 +70,19 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 5) -> DataFrame:
     """Rules tokens -> block from labelled URLs (columns tokens, block): FP-growth, pruned by support, confidence and lift.
 
+    A rule holds in min_support of all labelled URLs and in min_urls of them at least, so that no
+    single URL becomes a rule where few are labelled.
+
     Returns rule_id, tokens (the antecedent, sorted), confidence and support. A rule is left
     out if one with fewer of its tokens is as sure; each is looked for under its rarest token
-    alone. FP-growth spreads the conditional trees over the executors.
+    alone, so a token that most rules hold brings no pairs. FP-growth spreads the conditional trees over the executors.
     """
     baskets = labelled.select(F.array_union("tokens", F.array(F.when(F.col("block"), F.lit("=block")).otherwise(F.lit("=allow")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    floor = (min_urls - 0.5) / max(labelled.count(), min_urls)  # FP-growth rounds the count up
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, floor), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit("=block"))) & (F.col("lift") > 1))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
     parts = keyed(rules).select("token", F.col("tokens").alias("small"), F.col("confidence").alias("sure"))

@@ -53,3 +53,20 @@ def test_rules_of_four_tokens_and_beyond_the_broadcast(spark, monkeypatch):
         got = {r.page_id: r for r in urlrules.judge_urls(pages, labels, min_support=0.05).collect()}
         assert {i: got[i].verdict for i, _ in rows} == {i: "block" if len(tokens(i)) == 4 else "allow" for i, _ in rows}
         assert got[15].mined == "p:aaa p:bbb p:ccc p:ddd"
+
+
+def test_a_rule_needs_several_urls(spark):
+    rows = [(i, f"http://s{i}.org/{'bad' if i < 9 else 'good'}{'/x' if i < 4 else ''}/p{chr(97 + i)}q") for i in range(26)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 9), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlrules.judge_urls(pages, labels).collect()}
+    assert all(got[i].mined == ("p:bad" if i < 9 else None) for i in range(26))
+    none = urlrules.judge_urls(pages, labels, min_urls=10).collect()
+    assert all(r.mined is None and r.verdict == "allow" for r in none)
+
+
+def test_null_ids_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(None, "http://b.net/es/1"), (4, None), (4, None), (None, "http://x.com/")], "page_id long, url string")
+    labels = spark.createDataFrame([(4, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = sorted((r.page_id is None, r.host, r.verdict) for r in urlrules.judge_urls(pages, labels).collect())
+    assert got == [(False, "", "allow"), (False, "", "allow"), (True, "b.net", "block"), (True, "x.com", "allow")]
