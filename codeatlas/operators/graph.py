@@ -109,7 +109,7 @@ def neighbours(files: DataFrame, imports: DataFrame, stats: DataFrame, cochanges
     rows = rows.unionByName(one("imported_by", imports.filter(F.col("target_path") == path).select(F.col("source_path").alias("p"), F.lit(None).alias("w"))))
     rows = rows.unionByName(one("cochange", pairs))
     rows = rows.crossJoin(F.broadcast(known.select(F.lit(1).alias("__known"))))  # at most one row
-    near = files.select("path", "language").join(F.broadcast(rows.select("path").distinct()), "path", "left_semi")
+    near = files.select("path", "language").join(rows.select("path").distinct(), "path", "left_semi")
     return rows.drop("__known").join(with_degrees(near, imports, stats), "path", "left")
 
 
@@ -138,3 +138,8 @@ def merge_pairs(base: DataFrame, more: DataFrame) -> DataFrame:
     ends = lambda df: df.select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"), "cochange_count")
     fresh = ends(more).groupBy("path_a", "path_b").agg(F.max("cochange_count").alias("cochange_count"))
     return ends(base).unionByName(fresh.join(ends(base), ["path_a", "path_b"], "left_anti"))
+
+
+def presented(clusters: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters, largest first, and files, highest hub score first, in the order of a printed list."""
+    return clusters.orderBy(F.desc("file_count"), "cluster"), files.orderBy(F.desc("hub_score"), "path")

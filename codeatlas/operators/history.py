@@ -39,3 +39,15 @@ def accumulate(old: DataFrame, new: DataFrame) -> DataFrame:
     """Statistics of two ranges of commits as one; recent counts are those of new, for old ones have aged."""
     parts = old.withColumn("recent_count", F.lit(0).cast("long")).unionByName(new)
     return parts.groupBy("path").agg(F.sum("commit_count").alias("commit_count"), F.sum("recent_count").alias("recent_count"), F.max("last_modified").alias("last_modified"))
+
+
+def cochanges_of(changes: DataFrame, path: str) -> DataFrame:
+    """The pairs of cochanges() that hold one file, from the commits that it is in alone."""
+    own = changes.filter(F.col("path") == path).select("hash").distinct()
+    pairs = cochanges(changes.join(own, "hash", "left_semi"))
+    return pairs.filter((F.col("path_a") == path) | (F.col("path_b") == path))
+
+
+def accumulate_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs of two ranges of commits as one; counts add up."""
+    return old.unionByName(new).groupBy("path_a", "path_b").agg(F.sum("cochange_count").alias("cochange_count"))

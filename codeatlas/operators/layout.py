@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +13,31 @@ from ..functions import text as X
 def layers(nodes: DataFrame, edges: DataFrame, table) -> DataFrame:
     """path, layer by longest path from the files that nobody imports (edges: source_path imports target_path).
 
-    Each round settles the files whose importers are all settled. Files on cycles come after:
-    one layer below their lowest settled importer, or in the middle without any. table stores
-    a frame and reads it again, which cuts the lineage of each round.
+    Each round settles the files whose importers are all settled, and hands their layer to
+    what they import; only edges of files that are not settled yet go on to the next round, and
+    layers are written once. Files on cycles come after: one layer below their lowest settled
+    importer, or in the middle without any. table stores a frame and reads it again, which cuts
+    the lineage of each round; there is a round per layer.
     """
     paths = nodes.select("path")
     inside = edges.join(paths.withColumnRenamed("path", "source_path"), "source_path", "left_semi").join(paths.withColumnRenamed("path", "target_path"), "target_path", "left_semi").filter("source_path <> target_path")
     inside = table(inside.select("source_path", "target_path").distinct())
-    settled = table(paths.join(inside.select(F.col("target_path").alias("path")), "path", "left_anti").withColumn("layer", F.lit(0)))
-    rest = table(paths.join(settled, "path", "left_anti"))
+    new = table(paths.join(inside.select(F.col("target_path").alias("path")), "path", "left_anti").withColumn("layer", F.lit(0)))
+    rest = table(paths.join(new, "path", "left_anti").withColumn("layer", F.lit(None).cast("int")))
+    done = [new]
     while not rest.isEmpty():
-        waiting = inside.join(rest.withColumnRenamed("path", "source_path"), "source_path", "left_semi").select(F.col("target_path").alias("path")).distinct()
-        ready = rest.join(waiting, "path", "left_anti")
-        importers = inside.join(settled.withColumnRenamed("path", "source_path"), "source_path").groupBy(F.col("target_path").alias("path")).agg((F.max("layer") + 1).alias("layer"))
-        new = table(ready.join(importers, "path"))
+        # What the files settled last hand on; rest keeps the best so far.
+        handed = inside.join(new.withColumnRenamed("path", "source_path"), "source_path").groupBy(F.col("target_path").alias("path")).agg((F.max("layer") + 1).alias("more"))
+        inside = table(inside.join(rest.select(F.col("path").alias("source_path")), "source_path", "left_semi"))
+        rest = table(rest.join(handed, "path", "left").select("path", F.greatest("layer", "more").alias("layer")))
+        new = table(rest.join(inside.select(F.col("target_path").alias("path")), "path", "left_anti"))
         if new.isEmpty():
-            middle = settled.agg(F.ceil(F.coalesce(F.max("layer"), F.lit(0)) / 2).cast("int").alias("middle"))
-            left = rest.join(importers, "path", "left").crossJoin(F.broadcast(middle))  # one row
-            return settled.unionByName(left.select("path", F.coalesce("layer", "middle").alias("layer")))
-        settled = table(settled.unionByName(new))
+            middle = reduce(DataFrame.unionByName, done).agg(F.ceil(F.coalesce(F.max("layer"), F.lit(0)) / 2).cast("int").alias("middle"))
+            done.append(rest.crossJoin(F.broadcast(middle)).select("path", F.coalesce("layer", "middle").alias("layer")))  # one row
+            break
+        done.append(new)
         rest = table(rest.join(new, "path", "left_anti"))
-    return settled
+    return reduce(DataFrame.unionByName, done)
 
 
 def placed(layered: DataFrame, imports: DataFrame, most: int = 40) -> DataFrame:

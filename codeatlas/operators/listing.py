@@ -23,6 +23,33 @@ def page(files: DataFrame, imports: DataFrame, search: str = "", limit: int = 10
     return files_with_imports(shown, own)
 
 
+def page_total(files: DataFrame, search: str = "") -> DataFrame:
+    """One row, total: how many files the pages of page() hold together."""
+    shown = files.filter(X.like_path(F.col("path"), search)) if search else files
+    return shown.agg(F.count(F.lit(1)).alias("total"))
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row: n_files and n_repos."""
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("repo_id").alias("n_repos"))
+
+
+def repo_counts(files: DataFrame) -> DataFrame:
+    """repo_id, file_count."""
+    return files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))
+
+
+def edges_per_repo(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """repo_id, edges: the imports that a repository's files make."""
+    own = files.select(F.col("path").alias("source_path"), "repo_id")
+    return imports.join(own, "source_path").groupBy("repo_id").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def symbol_files(files: DataFrame) -> DataFrame:
+    """One row: eligible, the files whose language should have symbols, and with_symbols, the files of any language that have some."""
+    return files.agg(F.count(F.when(F.col("language").isin("typescript", "javascript"), 1)).alias("eligible"), F.count(F.when(F.size("symbols") > 0, 1)).alias("with_symbols"))
+
+
 def files_per_repo(repos: DataFrame, files: DataFrame) -> DataFrame:
     counts = files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     return repos.join(counts, repos["id"] == counts["repo_id"], "left").select(repos["*"], F.coalesce("n", F.lit(0)).alias("file_count"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,14 @@ PATHS = {
     "javascript": r"\.(js|jsx|mjs|cjs)$",
     "csharp": r"\.cs$",
 }
+
+
+def add_language(name: str, paths: str) -> None:
+    """Make a language known to the search by a regular expression for the paths that it reads."""
+    re.compile(paths)
+    PATHS[name] = paths
+
+
 _TOKENS = re.compile(r"(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<rest>\$\$\$[A-Z_]?[A-Z0-9_]*)|(?P<meta>\$[A-Z_][A-Z0-9_]*)|(?P<text>`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|=>|[-+*/%&|^!=<>?]=+|&&|\|\||\?\?|\?\.|\+\+|--|.)", re.S)
 _CLOSES = {"(": ")", "[": "]", "{": "}"}
 _MODIFIERS = frozenset("export default async public private protected internal static abstract sealed partial readonly override virtual declare".split())
@@ -33,6 +42,11 @@ def tokens(source: str) -> list[Token]:
     return [Token(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKENS.finditer(source) if m.lastgroup != "space"]
 
 
+def line_ends(source: str) -> list[int]:
+    """Where the lines of a source end."""
+    return [m.start() for m in re.finditer("\n", source)]
+
+
 def metavariables(pattern: str) -> list[str]:
     """Names of the metavariables of a pattern, each once."""
     return list(dict.fromkeys(re.findall(r"\$+([A-Z_][A-Z0-9_]*)", pattern)))
@@ -53,13 +67,21 @@ def match_at(pattern: list[Token], source: list[Token], close: dict[int, int], a
     """Where the pattern ends if it fits the source from a token on, and the spans of its metavariables.
 
     $NAME fits one token or one bracketed group, the same text each time; $$$ fits any number
-    of them, as few as possible, and never leaves its brackets.
+    of them, as few as possible, and never leaves its brackets. A place of the pattern is tried
+    once at each place of the source, for each text of the names that come again.
     """
     work: list[tuple[int, int, dict]] = [(0, at, {})]
+    names = [t.text[1:] for t in pattern if t.kind == "meta"]
+    again = [n for n in dict.fromkeys(names) if names.count(n) > 1 or any(t.kind == "rest" and t.text[3:] == n for t in pattern)]
+    tried: set[tuple] = set()
     while work:
         p, s, bound = work.pop()
         if p == len(pattern):
             return s, bound
+        state = (p, s, *(bound.get(n) for n in again))
+        if state in tried:
+            continue
+        tried.add(state)
         want = pattern[p]
         if want.kind == "rest":
             name = want.text[3:]
@@ -97,7 +119,7 @@ def find(pattern: str, source: str, dotted: bool = True) -> list[dict]:
         return []
     if dotted:
         have = _joined(have)
-    close = partners(have)
+    close, ends = partners(have), line_ends(source)
     out = []
     for i in range(len(have)):
         found = match_at(wanted, have, close, i)
@@ -105,7 +127,7 @@ def find(pattern: str, source: str, dotted: bool = True) -> list[dict]:
             continue
         end, bound = found
         start = have[i].start
-        line = source.count("\n", 0, start) + 1
+        line = bisect_left(ends, start) + 1
         text = lambda a, b: source[have[a].start : have[b - 1].end] if b > a else ""
         out.append({"line": line, "column": start - source.rfind("\n", 0, start), "text": text(i, end), "captures": {k: text(a, b) for k, (a, b) in bound.items()}})
     return out
@@ -137,6 +159,16 @@ def clamp(limit: object, most: int = 500, default: int = 50) -> int:
         return default
 
 
+#: The most and the usual number of results of each kind of answer.
+LIMITS = {"pattern_route": (500, 50), "pattern": (200, 50), "search": (50, 20), "neighbours": (100, 30)}
+
+
+def limit_of(kind: str, limit: object = None) -> int:
+    """A limit for one kind of answer: its usual number without one, and within its bounds otherwise."""
+    most, default = LIMITS[kind]
+    return default if limit is None else clamp(limit, most, default)
+
+
 def search(contents: DataFrame, pattern: str, language: str) -> DataFrame:
     """path, line, column, text, captures of every match in the files (path, content) of a language.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 RETENTION_DAYS = 7
 NEVER = 10_000
 
@@ -54,17 +56,29 @@ def logs_per_span(logs: DataFrame) -> DataFrame:
     return logs.groupBy("trace_id", "span_id").agg(F.count(F.lit(1)).alias("n_logs"))
 
 
+def bundle(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame:
+    """All of one trace, spans and logs, as rows of kind, at_ms, span_id, name and text, in order; empty where the trace has no spans."""
+    own = spans_of(spans, trace_id).select(F.lit("span").alias("kind"), F.col("started_ms").alias("at_ms"), "span_id", "name", F.col("input").alias("text"))
+    said = logs_of(logs, trace_id).select(F.lit("log").alias("kind"), F.col("timestamp_ms").alias("at_ms"), "span_id", F.col("level").alias("name"), F.col("message").alias("text"))
+    known = spans.filter(F.col("trace_id") == trace_id).limit(1).select(F.lit(True).alias("known"))
+    return own.unionByName(said).join(F.broadcast(known)).drop("known").orderBy("at_ms", "kind", "span_id", "name")  # one row
+
+
 def depths(spans: DataFrame) -> DataFrame:
     """spans with depth, the number of ancestors; an unknown parent counts as one ancestor, and spans on a cycle have null.
 
     Parents are followed by doubling: after r rounds each span knows its ancestor 2^r up, so
-    the rounds are the logarithm of the deepest trace.
+    the rounds are the logarithm of the deepest trace. A table cuts the lineage of each round,
+    and the rounds end when every span knows its depth.
     """
     known = spans.select("trace_id", F.col("span_id").alias("__s"), F.lit(True).alias("__here"))
     links = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), F.when(F.col("parent_span_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
     links = links.join(known.withColumnRenamed("__s", "up"), ["trace_id", "up"], "left").withColumn("up", F.when(F.col("__here"), F.col("up"))).drop("__here")
     longest, step = spans.groupBy("trace_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0], 1
     while step < longest:
+        links = stored(links, "depths")
+        if links.filter("up is not null").isEmpty():
+            break
         far = links.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
         links = links.join(far, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         step *= 2
@@ -84,7 +98,7 @@ def waterfall(spans: DataFrame) -> DataFrame:
 
 
 def kept(traces: DataFrame, spans: DataFrame, logs: DataFrame, now_ms: int, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What stays after retention: traces begun in the last days, their spans, and logs of those traces or of the last days."""
+    """What stays after retention: traces begun in the last days, their spans, and logs of the last days."""
     since = now_ms - days * 86_400_000
     young = traces.filter(F.col("started_ms") >= since)
     own = spans.join(young.select("trace_id"), "trace_id", "left_semi")

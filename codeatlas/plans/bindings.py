@@ -52,8 +52,9 @@ def changes(spark: SparkSession, sf_dir: str, most: int = history.MOST_FILES) ->
     return items.join(whole, "hash").join(orders, "hash").join(_paths(spark, sf_dir), "p_partkey").select("hash", "ts", "path")
 
 
-def as_of(spark: SparkSession, sf_dir: str):
-    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
+def as_of(spark: SparkSession, sf_dir: str) -> Column:
+    """The last day of the orders, as a scalar subquery: building the plan runs nothing."""
+    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
 
 
 def stats(spark: SparkSession, sf_dir: str, most: int = history.MOST_FILES) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import insert_new, upsert
+from ..catalog import Catalog, insert_new, upsert
 from ..functions import extract as E
 from ..functions import text as X
-from ..operators import edges, graph, layout, pattern, traces
+from ..operators import edges, graph, history, layout, listing, pattern, traces
 from ..shared import scratch, stored
 from ..sources import files as S
 from ..streaming.traces import TraceStore
@@ -65,15 +65,14 @@ def flt1_indexable(spark, sf_dir):
     return S.indexable(rows).select("p_partkey", F.regexp_replace("path", "^x", "").alias("ext"))
 
 
-@query("files", "SELECT language, count(*) AS n FROM files WHERE language IN ('typescript', 'javascript') AND symbol <> '' GROUP BY language")
+@query("files", "SELECT count(*) FILTER (language IN ('typescript', 'javascript')) AS eligible, count(*) FILTER (symbol <> '') AS with_symbols FROM files")
 def flt9_has_symbols(spark, sf_dir):
-    rows = B.files(spark, sf_dir).filter(F.col("language").isin("typescript", "javascript") & (F.size("symbols") > 0))
-    return rows.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    return listing.symbol_files(B.files(spark, sf_dir))
 
 
-@query("cochanges", "SELECT path_a, CASE WHEN path_a < 'm' THEN path_b ELSE path_a END AS partner, cochange_count FROM cochanges WHERE cochange_count >= 2")
+@query("cochanges", "SELECT path_a, CASE WHEN path_a < 'm' THEN path_b ELSE path_a END AS partner, cochange_count FROM cochanges")
 def prj1_partner(spark, sf_dir):
-    rows = B.cochanges(spark, sf_dir).filter("cochange_count >= 2")
+    rows = B.cochanges(spark, sf_dir)
     return rows.select("path_a", graph.partner_of(F.when(F.col("path_a") < "m", F.col("path_a")).otherwise(F.col("path_b"))).alias("partner"), "cochange_count")
 
 
@@ -141,10 +140,22 @@ def set2_name_sets(spark, sf_dir):
     return B.files(spark, sf_dir).select("path", F.array_join(both, " ").alias("both_names"), F.array_join(F.array_except("exports", X.lit_array(["red", "bolt"])), " ").alias("less"))
 
 
-@query(None, "SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+')) AS n_openings, lower(text[1:40]) AS head FROM documents WHERE lang = 'en'")
+@query(None, "SELECT doc_id, len(regexp_extract_all(text, '(?m)^[A-Z][a-z]+')) AS n_openings FROM documents")
 def fn18_line_matches(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", F.size(E.found(F.col("text"), "(?m)^([A-Z][a-z]+)")).cast("long").alias("n_openings"), F.lower(F.substring("text", 1, 40)).alias("head"))
+    docs = B.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(E.found(F.col("text"), "(?m)^([A-Z][a-z]+)")).cast("long").alias("n_openings"))
+
+
+@query("files", "SELECT path, 'One' || line || ' ' || 'two' || ' ' || 'T' || symbol AS exports, './' || symbol || ' ' || '../a' || ' ' || './side' || ' ' || './late' || line AS imports FROM files")
+def fn18_script_exports(spark, sf_dir):
+    """Three forms of exports and four of imports, by the extractors of scripts."""
+    rows = B.files(spark, sf_dir).withColumn("symbol", F.col("symbols")[0]["name"]).withColumn("line", F.col("symbols")[0]["line"].cast("string"))
+    text = F.concat(
+        F.lit("import { x } from './"), "symbol", F.lit("';\nimport * as y from '../a';\nimport './side';\nconst z = await import('./late"), "line",
+        F.lit("');\nexport const One"), "line", F.lit(" = 1;\nexport async function two() {}\nexport interface T"), "symbol", F.lit(" {}\n"),
+    )
+    shown = lambda c: F.array_join(c, " ")
+    return rows.select("path", shown(E.ts_exports(text)).alias("exports"), shown(E.ts_imports(text)).alias("imports"))
 
 
 @query(None, "SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS n_links FROM pages")
@@ -153,9 +164,9 @@ def fn17_page_links(spark, sf_dir):
     return pages.select("page_id", F.size(F.array_distinct(E.found(F.col("html"), 'href="([^"]+)"'))).cast("long").alias("n_links"))
 
 
-@query(None, "SELECT doc_id, CASE WHEN strpos(lower(text), 'the') > 0 THEN regexp_replace(substr(text, greatest(1, strpos(lower(text), 'the') - 24), strpos(lower(text), 'the') + 27 - greatest(1, strpos(lower(text), 'the') - 24)), '^\\s+|\\s+$', '', 'g') END AS snippet FROM documents WHERE lang = 'en'")
+@query(None, "SELECT doc_id, CASE WHEN strpos(lower(text), 'the') > 0 THEN regexp_replace(substr(text, greatest(1, strpos(lower(text), 'the') - 24), strpos(lower(text), 'the') + 27 - greatest(1, strpos(lower(text), 'the') - 24)), '^\\s+|\\s+$', '', 'g') END AS snippet FROM documents")
 def fn7_snippets(spark, sf_dir):
-    docs = B.table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = B.table(spark, sf_dir, "documents")
     return docs.select("doc_id", X.snippet(F.col("text"), "the").alias("snippet"))
 
 
@@ -178,10 +189,66 @@ def str1_streamed_traces(spark, sf_dir):
     return store.traces()
 
 
-@query("spans", "SELECT trace_id, count(*) AS n_spans, min(started_ms) AS first_ms FROM spans GROUP BY trace_id")
-def trc3_bundles(spark, sf_dir):
-    spans = B.spans(spark, sf_dir)
-    return spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans"), F.min("started_ms").alias("first_ms"))
+@query("spans logs", "SELECT 'span' AS kind, started_ms AS at_ms, span_id, name, input AS text FROM spans WHERE trace_id = '8' UNION ALL SELECT 'log', timestamp_ms, span_id, level, message FROM logs WHERE trace_id = '8'")
+def trc3_trace_bundle(spark, sf_dir):
+    return traces.bundle(B.spans(spark, sf_dir), B.logs(spark, sf_dir), "8")
+
+
+@query("files", SOURCES_SQL + ", hits AS (SELECT path, 4::INT AS line, symbol AS name FROM sources WHERE lang = 'typescript' AND regexp_matches(path, '[.](ts|tsx)$') ORDER BY path LIMIT 50) SELECT *, (SELECT count(*) FROM sources WHERE lang = 'typescript' AND regexp_matches(path, '[.](ts|tsx)$')) > 50 AS truncated FROM hits")
+def top8_pattern_limit(spark, sf_dir):
+    found = pattern.search(_sources(spark, sf_dir).filter("language = 'typescript'"), "export class $NAME { $$$ }", "typescript")
+    rows, more = pattern.first(found, pattern.limit_of("pattern", "no number"))
+    return rows.select("path", "line", F.col("captures")["NAME"].alias("name"), F.lit(more).alias("truncated"))
+
+
+@query("changes", "SELECT hash::VARCHAR AS hash, ts, count(*) AS n_files, min(path) AS first_file FROM changes GROUP BY ALL")
+def src6_commit_log(spark, sf_dir):
+    """The commits as a log that git would print, written to the shared folder and read again."""
+    commits = B.changes(spark, sf_dir).groupBy("hash", "ts").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    log = commits.select(F.concat(F.lit("\x01"), F.lpad(F.col("hash").cast("string"), 40, "0"), F.lit("\0"), day, F.lit("\n\n"), F.array_join("files", "\n")).alias("value"))
+    path = scratch(spark, "log")
+    log.write.text(path)
+    read = S.parse_log(spark, path)
+    return read.select(F.regexp_replace("hash", "^0+(?=.)", "").alias("hash"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("files").cast("long").alias("n_files"), F.col("files")[0].alias("first_file"))
+
+
+@query("cochanges", "SELECT path_a, path_b, cochange_count FROM cochanges")
+def snk5_cochange_upsert(spark, sf_dir):
+    """Pairs of two ranges of commits: the stored ones, and a second range whose counts add to them."""
+    changes = B.changes(spark, sf_dir)
+    cut = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
+    return history.accumulate_pairs(history.cochanges(changes.filter(cut)), history.cochanges(changes.filter(~cut)))
+
+
+@query("files", SOURCES_SQL + " SELECT path, CASE WHEN p_partkey % 7 = 0 THEN 'markdown' ELSE lang END AS language, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN lang = 'python' THEN '' ELSE symbol END AS exports FROM sources WHERE p_partkey % 11 > 0")
+def cmp13_incremental_index(spark, sf_dir):
+    """A repository indexed whole, then at a second commit by its changes alone: some files became prose, others are gone."""
+    store = Catalog(spark, scratch(spark, "catalog"))
+    repo = store.register("/parts", "parts")
+    contents = _sources(spark, sf_dir)
+    store.index(repo, contents.drop("p_partkey"), "c1")
+    status = F.when(F.col("p_partkey") % 11 == 0, "deleted").when(F.col("p_partkey") % 7 == 0, "modified")
+    changes = contents.select("path", status.alias("status")).filter("status is not null")
+    second = contents.filter("p_partkey % 11 > 0").select("path", F.lit("markdown").alias("language"), F.lit("# Prose\n").alias("content"))
+    store.index(repo, second, "c2", changes=changes)
+    return store.read("file_metadata", repo).select("path", "language", F.array_join("exports", " ").alias("exports"))
+
+
+@query(
+    "files",
+    """, edges AS (SELECT DISTINCT a.path AS source_path, b.path AS target_path FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 8 > l_suppkey % 8) e
+            JOIN files a ON a.p_partkey = e.l_partkey JOIN files b ON b.p_partkey = e.l_suppkey),
+        walk AS (SELECT path, 0 AS layer FROM files WHERE path NOT IN (SELECT target_path FROM edges) UNION SELECT target_path, layer + 1 FROM walk JOIN edges ON source_path = path)
+        SELECT path, max(layer)::INT AS layer FROM walk GROUP BY path""",
+    recursive=True,
+)
+def cmp14_acyclic_layers(spark, sf_dir):
+    """Layers by longest path where no file is on a cycle: imports from a key to one of a smaller remainder."""
+    keys = B.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").filter("l_partkey % 8 > l_suppkey % 8").distinct()
+    paths = B.files(spark, sf_dir).select("p_partkey", "path")
+    edges_ = keys.join(paths.toDF("l_partkey", "source_path"), "l_partkey").join(paths.toDF("l_suppkey", "target_path"), "l_suppkey")
+    return layout.layers(paths.select("path"), edges_, stored)
 
 
 @query("spans", "SELECT span_id, extent_ms FROM (SELECT span_id, max(started_ms + duration_ms) OVER (PARTITION BY trace_id) - min(started_ms) OVER (PARTITION BY trace_id) AS extent_ms FROM spans)")

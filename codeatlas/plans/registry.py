@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import formats
 from ..functions import text as X
 from ..operators import graph, history, layout, listing, search, traces
 from . import bindings as B
@@ -217,13 +218,15 @@ SELF = ", me AS (SELECT path AS p FROM files WHERE p_partkey = 7)"
         SELECT kind, path, weight, language, indegree, round(hub_score, 6) AS hub_score FROM near JOIN full_files USING (path)""",
 )
 def cmp7_neighbours(spark, sf_dir):
-    rows = graph.neighbours(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+    path = _some_path(spark, sf_dir)
+    rows = graph.neighbours(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), history.cochanges_of(B.changes(spark, sf_dir), path), path)
     return rows.select("kind", "path", "weight", "language", "indegree", F.round("hub_score", 6).alias("hub_score"))
 
 
 @query("pairs imports", SELF + " SELECT p AS path FROM me UNION SELECT target_path FROM imports JOIN me ON source_path = p UNION SELECT source_path FROM imports JOIN me ON target_path = p UNION SELECT partner FROM pairs JOIN me ON path = p")
 def flt13_focus(spark, sf_dir):
-    return graph.focus(B.imports(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+    path = _some_path(spark, sf_dir)
+    return graph.focus(B.imports(spark, sf_dir), history.cochanges_of(B.changes(spark, sf_dir), path), path)
 
 
 @query("imports", "SELECT source_path, target_path FROM imports WHERE regexp_matches(source_path, '[.](cs|py)$') AND regexp_matches(target_path, '[.](cs|py)$')")
@@ -284,7 +287,12 @@ def top3_page(spark, sf_dir):
 
 @query("files", "SELECT count(*) AS n_files, count(DISTINCT repo_id) AS n_repos FROM files")
 def agg1_totals(spark, sf_dir):
-    return B.files(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_files"), F.countDistinct("repo_id").alias("n_repos"))
+    return listing.totals(B.files(spark, sf_dir))
+
+
+@query("files", "SELECT count(*) AS total FROM files WHERE path ILIKE '%brand1%'")
+def top3_page_total(spark, sf_dir):
+    return listing.page_total(B.files(spark, sf_dir), "Brand1")
 
 
 @query("files", "SELECT r AS id, count(repo_id) AS file_count FROM (VALUES ('repo0'), ('repo1'), ('repo2'), ('repo9')) v(r) LEFT JOIN files ON repo_id = r GROUP BY ALL")
@@ -295,7 +303,7 @@ def jn11_files_per_repo(spark, sf_dir):
 
 @query("files", "SELECT repo_id, count(*) AS file_count FROM files GROUP BY repo_id")
 def agg4_repo_counts(spark, sf_dir):
-    return B.files(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("file_count"))
+    return listing.repo_counts(B.files(spark, sf_dir))
 
 
 @query("files", "SELECT language, count(*) AS file_count FROM files GROUP BY language")
@@ -305,8 +313,7 @@ def agg5_languages(spark, sf_dir):
 
 @query("imports", "SELECT repo_id, count(*) AS edges FROM imports JOIN files ON path = source_path GROUP BY repo_id")
 def agg6_edges_per_repo(spark, sf_dir):
-    files = B.files(spark, sf_dir).select(F.col("path").alias("source_path"), "repo_id")
-    return B.imports(spark, sf_dir).join(files, "source_path").groupBy("repo_id").agg(F.count(F.lit(1)).alias("edges"))
+    return listing.edges_per_repo(B.files(spark, sf_dir), B.imports(spark, sf_dir))
 
 
 @query("files", "SELECT '.' || string_split(path, '.')[-1] AS file_type, count(*) AS file_count FROM files GROUP BY ALL")
@@ -329,7 +336,8 @@ def agg19_language_shares(spark, sf_dir):
         FROM full_files JOIN me ON path = p""",
 )
 def prj2_file_document(spark, sf_dir):
-    row = listing.file_document(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), _some_path(spark, sf_dir))
+    path = _some_path(spark, sf_dir)
+    row = listing.file_document(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), history.cochanges_of(B.changes(spark, sf_dir), path), path)
     near = F.array_join(F.transform("cochange_partners", lambda p: F.concat_ws(":", p["partner"], p["cochange_count"].cast("string"))), ",")
     return row.select("path", "language", "commit_count", "recent_count", F.array_join("import_paths", ",").alias("imports"), F.array_join("importers", ",").alias("importers"), near.alias("partners"))
 
@@ -381,6 +389,42 @@ def fn32_json(spark, sf_dir):
     return B.table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
 
 
+@query(None, """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ',' || user_id ELSE '' END AS texts FROM events""")
+def fn32_json_texts(spark, sf_dir):
+    """A JSON array of texts, another JSON value and broken JSON in turn."""
+    events = B.table(spark, sf_dir, "events")
+    made = F.to_json(F.array("event_type", F.col("user_id").cast("string")))
+    json = F.when(F.col("event_id") % 3 == 0, made).when(F.col("event_id") % 3 == 1, F.lit('{"a": 1}')).otherwise(F.lit("[1, "))
+    return events.select("event_id", F.array_join(X.json_texts(json), ",").alias("texts"))
+
+
+@query(None, "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '@' || p_size WHEN p_partkey % 4 = 1 THEN p_type || '@1' ELSE '' END AS symbols FROM part")
+def flt8_valid_symbols(spark, sf_dir):
+    """Of two symbols in JSON those whose four fields have the right types."""
+    part = B.table(spark, sf_dir, "part")
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    one = lambda name, line, exported: F.concat(F.lit('{"name": "'), name, F.lit('", "kind": "class", "line": '), line, F.lit(f', "exported": {exported}}}'))
+    first = F.when(kind == 0, one(F.col("p_brand"), size, "true")).otherwise(one(F.col("p_brand"), F.concat(F.lit('"l'), size, F.lit('"')), "true"))
+    second = F.when(kind == 1, one(F.col("p_type"), F.lit("1"), "false")).otherwise(one(F.col("p_type"), F.lit("null"), "false"))
+    json = F.when(kind < 3, F.concat(F.lit("["), first, F.lit(", "), second, F.lit("]")))
+    shown = F.transform(X.json_symbols(json), lambda s: F.concat_ws("@", s["name"], s["line"].cast("string")))
+    return part.select("p_partkey", F.array_join(shown, ",").alias("symbols"))
+
+
+@query("files", "SELECT path, substr(path, 1, 12) || repeat(' ', greatest(0, 12 - length(path))) AS cell, '  ' || path || CASE WHEN exported THEN ' [hub]' ELSE '' END || '  score=' || line || '.50 <- ' || exports[1] || ', ' || exports[2] AS line FROM files")
+def fn38_printed_lines(spark, sf_dir):
+    rows = B.files(spark, sf_dir)
+    symbol = F.col("symbols")[0]
+    return rows.select("path", formats.padded(F.col("path"), 12).alias("cell"), formats.result_line(F.col("path"), symbol["exported"], symbol["line"] + F.lit(0.5), F.col("exports")).alias("line"))
+
+
+@query("full_files", f"SELECT path, row_number() OVER (ORDER BY hub_score DESC, path) AS place FROM full_files WHERE starts_with(path, '{DIR}')")
+def top10_presented(spark, sf_dir):
+    """The files of one folder, few enough to be numbered in one place, in the order of a printed list."""
+    files = graph.presented(graph.cluster_sizes(B.files(spark, sf_dir)), _detail(spark, sf_dir)[0])[1]
+    return files.select("path", F.row_number().over(Window.orderBy(F.desc("hub_score"), "path")).cast("long").alias("place"))
+
+
 # Traces.
 
 

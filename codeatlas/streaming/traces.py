@@ -52,8 +52,28 @@ class TraceStore:
         return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
     def retain(self, now_ms: int, days: int = T.RETENTION_DAYS) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The tables without what has aged out."""
-        return T.kept(self.traces(), self.spans(), self.logs(), now_ms, days)
+        """Delete what has aged out, and return the tables that stay.
+
+        The rows that stay are written once beside the batches that were read, and these are
+        deleted, so the store is compacted too. Batches that arrive meanwhile are not touched.
+        """
+        _, spans, logs = T.kept(self.traces(), self.spans(), self.logs(), now_ms, days)
+        for name, rows in (("spans", spans), ("logs", logs)):
+            self._compact(name, rows)
+        return self.traces(), self.spans(), self.logs()
+
+    def _compact(self, name: str, rows: DataFrame) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = hadoop(f"{self.root}/{name}")
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return
+        old = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+        aside = f"{self.root}/{name}/_kept-{uuid4().hex}"  # hidden from readers until it is whole
+        rows.write.parquet(aside)
+        for path in old:
+            system.delete(path, True)
+        system.rename(hadoop(aside), hadoop(f"{self.root}/{name}/batch=-1"))
 
 
 def distinct_spans(stream: DataFrame, lateness: str = "7 days") -> DataFrame:
