@@ -86,6 +86,8 @@ class Rounds:
         q, place, size = (np.asarray(x, np.int64) for x in (q, place, size))
         low, high = self.round_of(q, place), self.round_of(q, place + size - 1)
         doc, r = _ranges(low, high)
+        given = self.first(q[doc], r) < self.first(q[doc], r + 1)  # a small queue gives nothing in many rounds
+        doc, r = doc[given], r[given]
         own = q[doc]
         start_of_round, end_of_round = self.first(own, r), self.first(own, r + 1)
         a, b = np.maximum(place[doc], start_of_round), np.minimum(place[doc] + size[doc], end_of_round)

@@ -120,7 +120,7 @@ def test_windows_follow_the_mix():
         place = np.arange(0, total, 97)
         size = np.minimum(97, total - place)
         doc, start, n, w, offset = rounds.pieces(np.full(len(place), q), place, size)
-        assert n.sum() == total
+        assert n.sum() == total and (n > 0).all()
         for k, m in zip(w.tolist(), n.tolist()):
             window[k][q] += m
     full = [window[k] for k in range(len(window) - 1)]
