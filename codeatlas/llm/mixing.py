@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .common import n_words, stored
 
 EPS = 1e-9
+#: Most sources whose numbers are broadcast; more are joined by shuffle.
+MOST_SOURCES = 200_000
 
 
 def ranked(sizes: DataFrame) -> DataFrame:
@@ -89,6 +91,11 @@ def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray
         held = [k for k in held if EPS < p[k] < 1 - EPS]
 
 
+def small(sources: DataFrame) -> DataFrame:
+    """A stored table with a row per source, broadcast up to MOST_SOURCES rows."""
+    return F.broadcast(sources) if sources.count() <= MOST_SOURCES else sources
+
+
 def land(p: np.ndarray, sizes: np.ndarray, goal: float, rng: np.random.Generator, flips: int = 3) -> np.ndarray:
     """The landing phase for the few units that the flight left open.
 
@@ -137,8 +144,9 @@ def balanced(units: DataFrame, per_block: int = 2_000, seed: int = 42) -> DataFr
     schema = T.StructType([f for f in units.schema if f.name in ("source_no", "key", "size", "p")])
     done, level = None, 0
     while True:
-        blocks = units.groupBy("source_no").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("blocks"))
-        spread = units.join(blocks, "source_no").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), "blocks"))
+        blocks = stored(units.groupBy("source_no").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("blocks")), "blocks")
+        spread = units.join(small(blocks), "source_no").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed + level)), "blocks"))
+        spread = spread.repartition("source_no", "block")  # by both: a source alone may be most of the rows
         flown = stored(spread.groupBy("source_no", "block").applyInPandas(_flyer(schema, seed, level), schema), "flight")
         whole = flown.filter("p = 0 or p = 1")
         done = whole if done is None else done.unionByName(whole)
@@ -168,7 +176,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one. No table of sources is held by the driver.
     """
     rows = stored(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), identity(docs, id_col, text_col, source_col).alias("key")), "sizes")
-    table = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "goals").withColumnRenamed("source", "name")
+    table = small(stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "name"), "goals"))
     placed = rows.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     base = F.floor(F.col("rate") + F.lit(EPS)).cast("int")
     placed = placed.withColumn("base", base).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - base))

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from codeatlas.llm import mixing
 
@@ -76,7 +77,9 @@ def test_take_and_empty(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_blocks_of_one_source(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_blocks_of_one_source(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", most)
     docs = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(id % 90 as int)) as text", "if(id % 3 = 0, 'x', 'hot') as source")
     rows = mixing.mix(docs).collect()
     for s in ("x", "hot"):
