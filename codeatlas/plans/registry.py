@@ -361,6 +361,18 @@ def fn1_name_tokens(spark, sf_dir):
     return B.files(spark, sf_dir).select("path", F.array_join(X.name_tokens(F.col("symbols")[0]["name"]), " ").alias("tokens"), X.has(F.col("path"), "red").cast("int").alias("hit"))
 
 
+@query("files", r"SELECT path, lower(regexp_replace(symbol, '([a-z])([A-Z])', '\1 \2', 'g')) || ' ' || regexp_replace(path, '[-_./]+', ' ', 'g') AS tokens FROM files")
+def fn2_evidence_tokens(spark, sf_dir):
+    name = F.concat_ws(".", F.col("symbols")[0]["name"], "path")
+    return B.files(spark, sf_dir).select("path", F.array_join(X.evidence_tokens(name), " ").alias("tokens"))
+
+
+@query("files", "SELECT p_partkey, round(1 - 2.0::DOUBLE * p_partkey / 3000, 6) AS y, round(cos(p_partkey * (3.141592653589793 * (3 - sqrt(5::DOUBLE)))) * sqrt(greatest(0, 1 - (1 - 2.0::DOUBLE * p_partkey / 3000) * (1 - 2.0::DOUBLE * p_partkey / 3000))), 6) AS x FROM files")
+def fn37_sphere_points(spark, sf_dir):
+    point = X.sphere_point(F.col("p_partkey"), F.lit(3001))
+    return B.files(spark, sf_dir).select("p_partkey", F.round(point["y"], 6).alias("y"), F.round(point["x"], 6).alias("x"))
+
+
 @query("files", "SELECT path, " + ", ".join(f"({_term_sql('ring')[k]})::DOUBLE AS {k}_score" for k in ("exports", "symbols")) + " FROM files")
 def fn4_match_scores(spark, sf_dir):
     return B.files(spark, sf_dir).select("path", X.export_match(F.col("exports"), "ring").alias("exports_score"), X.symbol_match(F.col("symbols"), "ring").alias("symbols_score"))
