@@ -175,7 +175,9 @@ class Scanner:
         found = []
         for places in self.regions(words):
             have = [words[i] for i in places]
-            runs = sorted((a, k, b) for k in range(len(self.templates)) for a, b in self._runs(places, have, k))
+            region = Counter(have)
+            enough = [k for k, counts in enumerate(self.counts) if len(have) >= self.need[k] and sum(min(n, region[w]) for w, n in counts.items()) >= self.need[k]]
+            runs = sorted((a, k, b) for k in enough for a, b in self._runs(places, have, k))
             work = [(0, len(have))]
             while work:
                 begin, end = work.pop()
@@ -199,8 +201,6 @@ class Scanner:
     def _runs(self, places: list[int], have: list[bytes], k: int) -> Iterator[tuple[int, int]]:
         """Stretches of a region to align: from each word that a notice can begin with, as far as one may reach, if enough of its words are in it."""
         counts, starts, span, need = self.counts[k], self.starts[k], 2 * len(self.templates[k][1]) + GAP, self.need[k]
-        if sum(min(n, have.count(w)) for w, n in counts.items()) < need:
-            return
         inside: Counter = Counter()
         met = b = 0
         for a, w in enumerate(have):
