@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import exact, huffman, licenses, mixing, packing, quality, simhash, suffix, toxicity, urlrules
+from . import audit, divergence, exact, gam, huffman, licenses, mixing, packing, quality, simhash, suffix, toxicity, urlrules
 from .common import scratch
 
 
@@ -59,11 +59,30 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op4_repeated_strings, op5_huffman_ids, op6_license_scan, op7_packing, op8_url_rules, op9_toxicity, op10_source_mix, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_simhash_groups, op3_exact_dedup, op4_repeated_strings, op5_huffman_ids, op6_license_scan, op7_packing, op8_url_rules, op9_toxicity, op10_source_mix,
+        op11_quality_model, op12_filter_audit, op13_source_divergence, pipeline,
+    )
+}
 
 ORACLES = {
     "op1_quality_rules": r"""
@@ -94,4 +113,37 @@ ORACLES = {
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY t)
     """,
+    "op12_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+            + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM w),
+        k AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        g AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f LEFT JOIN k USING (doc_id) GROUP BY part, mask),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        s AS (SELECT filter_order, step::INT AS step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS bit,
+            coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))), 0)::INT AS gone FROM o, (SELECT unnest(range(1, 6)) AS step)),
+        e AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & gone = 0 AND mask & bit = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (mask & gone > 0 AND mask & bit > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n_good) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (mask & gone = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost
+            FROM g, s GROUP BY part, filter_order, step, bit, gone)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM e
+    """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        o AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+        p AS (SELECT g.lang, g.source, kept.term, c.n AS own, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + v) AS p
+            FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+        q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q
+            FROM c JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+        sums AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE own > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }

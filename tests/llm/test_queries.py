@@ -16,6 +16,9 @@ COLUMNS = {
     "op8_url_rules": [("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")],
     "op9_toxicity": [DOC, ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
     "op10_source_mix": [DOC, ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")],
+    "op11_quality_model": [DOC, ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
+    "op12_filter_audit": [("part", "string"), ("filter_order", "string"), ("step", "int"), *((c, "bigint") for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"))],
+    "op13_source_divergence": [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")],
 }
 
 
@@ -40,5 +43,9 @@ def test_columns_and_rows(spark, tables, name):
     if name == "op7_packing":
         assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and all(r.length > 0 for r in got)
         assert sum(r.length for r in got if r.doc_id == 900) == next(r.doc_tokens for r in got if r.doc_id == 900)
+    elif name == "op12_filter_audit":
+        assert len(got) == 600 * len({r.part for r in got}) and {r.part for r in got} == {"", "en"}
+    elif name == "op13_source_divergence":
+        assert {r.lang for r in got} == {"en"} and all(r.value >= 0 for r in got)  # the null lang has one source, which is no pair
     else:
         assert len(got) == (3 if name == "op8_url_rules" else n)
