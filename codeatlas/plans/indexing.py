@@ -11,8 +11,10 @@ from ..functions import text as X
 from ..operators import edges, graph, history, layout, listing, pattern, traces
 from ..shared import scratch, stored
 from ..sources import files as S
+from ..streaming.commits import HistoryStore
 from ..streaming.traces import TraceStore
 from . import bindings as B
+from . import repository
 from .base import query
 
 #: Source files made from the parts: every part is one file in one of three languages.
@@ -213,6 +215,44 @@ def src6_commit_log(spark, sf_dir):
     return read.select(F.regexp_replace("hash", "^0+(?=.)", "").alias("hash"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.size("files").cast("long").alias("n_files"), F.col("files")[0].alias("first_file"))
 
 
+@query(
+    "stats pairs",
+    """SELECT path, commit_count, recent_count, last_modified, coalesce(partners, 0) AS partners, coalesce(together, 0) AS together
+        FROM stats LEFT JOIN (SELECT path, count(*) AS partners, sum(cochange_count)::BIGINT AS together FROM pairs GROUP BY path) USING (path)""",
+)
+def src5_commit_stream(spark, sf_dir):
+    """The orders as commits of a git repository, followed in two ranges; the second is read twice."""
+    commits = B.changes(spark, sf_dir).groupBy("hash", "ts").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    root = repository.built(spark, commits)
+    store, checkpoint = HistoryStore(spark, scratch(spark, "history")), scratch(spark, "history-state")
+    half = S.head_commit(root, "HEAD~500") if commits.count() > 1000 else "HEAD"
+    for until in (half, "HEAD"):
+        store.follow(S.commit_stream(spark, root, until), checkpoint).awaitTermination()
+    store.follow(S.commit_stream(spark, root), scratch(spark, "history-again")).awaitTermination()
+    last = commits.agg(F.max("ts")).first()[0]
+    near = graph.symmetric(store.cochanges()).groupBy("path").agg(F.count(F.lit(1)).alias("partners"), F.sum("cochange_count").alias("together"))
+    rows = store.file_stats(last).join(near, "path", "left")
+    return rows.select("path", "commit_count", "recent_count", F.col("last_modified").cast("timestamp_ntz").alias("last_modified"), F.coalesce("partners", F.lit(0)).alias("partners"), F.coalesce("together", F.lit(0)).alias("together"))
+
+
+#: A file for each part, some under names that walks of a folder hide, some of kinds that are not indexed.
+TREE_SQL = """SELECT CASE p_partkey % 7 WHEN 0 THEN 'pkg' || p_partkey || '/__init__.py' WHEN 1 THEN '_util/' || p_partkey || '.ts' WHEN 2 THEN '.config/' || p_partkey || '.json'
+        WHEN 3 THEN 'src/.hidden' || p_partkey WHEN 4 THEN 'logo' || p_partkey || '.PNG' WHEN 5 THEN '__tests__/' || p_partkey || ' b.tsx' ELSE 'src/' || p_partkey || '.lock' END AS path, p_name AS content, p_partkey % 7 AS kind FROM part"""
+
+
+@query(None, f"SELECT path, CASE kind WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'json' WHEN 5 THEN 'typescript' END AS language, strlen(content) AS length, content, sha256(content) AS content_hash FROM ({TREE_SQL}) WHERE kind NOT IN (4, 6)")
+def src1_tracked_tree(spark, sf_dir):
+    """A commit of a file for each part, read by git's listing."""
+    part = B.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    names = F.array(
+        F.concat(F.lit("pkg"), key, F.lit("/__init__.py")), F.concat(F.lit("_util/"), key, F.lit(".ts")), F.concat(F.lit(".config/"), key, F.lit(".json")), F.concat(F.lit("src/.hidden"), key),
+        F.concat(F.lit("logo"), key, F.lit(".PNG")), F.concat(F.lit("__tests__/"), key, F.lit(" b.tsx")), F.concat(F.lit("src/"), key, F.lit(".lock")),
+    )
+    files = part.select(names[(F.col("p_partkey") % 7).cast("int")].alias("path"), F.col("p_name").alias("content"))
+    return S.scan_tree(spark, repository.built_tree(spark, files), "HEAD").select("path", "language", "length", "content", "content_hash")
+
+
 @query("cochanges", "SELECT path_a, path_b, cochange_count FROM cochanges")
 def snk5_cochange_upsert(spark, sf_dir):
     """Pairs of two ranges of commits: the stored ones, and a second range whose counts add to them."""

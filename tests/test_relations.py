@@ -49,6 +49,8 @@ def test_tree_and_changes(spark, tmp_path):
     (tmp_path / "logo.PNG").write_bytes(b"\0")
     (tmp_path / "edge.py").write_bytes(b"x" * (2 * 1024 * 1024))
     (tmp_path / "big.py").write_bytes(b"x" * (2 * 1024 * 1024 + 1))
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "."], check=True)
     old = S.scan_tree(spark, str(tmp_path))
     assert {(r.path, r.language) for r in old.select("path", "language").collect()} == {("src/a.ts", "typescript"), ("edge.py", "python")}
     before = spark.createDataFrame([("src/a.ts", "other"), ("gone.ts", "x")], "path string, content_hash string")
