@@ -115,6 +115,28 @@ def set1_all_edges(spark, sf_dir):
     return edges.all_edges(paths.join(names, "path").select("path", "namespaces", F.concat("imports", "used").alias("imports")))
 
 
+@query(
+    "imports",
+    """, alive AS (SELECT * FROM files WHERE p_partkey % 4 <> 2), asking AS (SELECT * FROM imports WHERE source_path IN (SELECT path FROM alive WHERE p_partkey % 4 < 2))"""
+    + OWNERS.replace("FROM files", "FROM alive")
+    + """ SELECT source_path, target_path FROM asking WHERE regexp_matches(target_path, '[.](ts|tsx|js)$') AND target_path IN (SELECT path FROM alive)
+        UNION SELECT i.source_path, o.target_path FROM asking i JOIN owners o ON regexp_replace(i.target_path, '/?[^/]*$', '') = ns WHERE i.source_path <> o.target_path""",
+)
+def cmp9_delta_edges(spark, sf_dir):
+    """Edges kept through a change: of four parts of the files one comes, one goes, one loses its imports and one stays."""
+    part = F.col("p_partkey") % 4
+    paths = _with_specifiers(spark, sf_dir).select("path", "imports")
+    names = _with_namespaces(spark, sf_dir).select("path", "namespaces", F.col("imports").alias("used"))
+    files = paths.join(names, "path").join(B.files(spark, sf_dir).select("path", "p_partkey", "language"), "path")
+    files = stored(files.select("path", "p_partkey", "language", "namespaces", F.concat("imports", "used").alias("imports")), "files")
+    store = Catalog(spark, scratch(spark, "catalog"))
+    store.replace_files("parts", files.filter(part != 1).drop("p_partkey"))
+    changes = files.filter(part > 0).select("path")
+    new = files.filter(part.isin(1, 3)).withColumn("imports", F.when(part == 1, F.col("imports")).otherwise(X.lit_array([])))
+    store.change_files("parts", changes, new.drop("p_partkey"))
+    return store.read("file_imports", "parts").select("source_path", "target_path")
+
+
 @query("files", "SELECT path, CASE WHEN p_partkey % 5 = 0 THEN 'added' WHEN p_partkey % 7 = 0 THEN 'deleted' ELSE 'modified' END AS status FROM files WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 11 = 0")
 def src2_change_set(spark, sf_dir):
     rows = B.files(spark, sf_dir).select("path", "p_partkey", F.sha2("path", 256).alias("content_hash"))
