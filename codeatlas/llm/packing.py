@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
 from .tokens import encoded, placed
 
 LENGTH = 2048
@@ -18,6 +18,8 @@ LENGTH = 2048
 QUEUES = 256
 #: Rounds times queues that are worked out at once.
 CELLS = 1 << 18
+#: Bytes of 16-bit ids that are cut at once.
+SLICE = 2_000_000
 
 
 class Rounds:
@@ -105,6 +107,25 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, low[i] + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in slices of at most `most` bytes of their column ids, or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("ids")).to_numpy())
+        i = 0
+        while i < b.num_rows:
+            before = ends[i - 1] if i else 0
+            k = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(i, k - i)
+            i = k
+
+
+def flat(ids: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All 16-bit ids of a column in a row, as 32-bit integers, and where each row's begin; read from the column's buffer."""
+    at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    data = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return np.frombuffer(data.tobytes(), "<u2").astype("<u4"), (at[:-1] - at[0]).astype(np.int64) // 2
+
+
 def with_queues(docs: DataFrame, columns: dict[str, Column], source: Column, most: int = QUEUES) -> tuple[DataFrame, Column, list]:
     """columns and queue of each row of docs, where queue is its source's rank, null last; and the sources by rank.
 
@@ -149,17 +170,18 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 4096):
+        for b in by_bytes(batches):
             q, place, size = (b.column(c).to_numpy() for c in ("queue", "place", "n_tokens"))
-            if not len(q):
-                continue
             doc, start, n, window, offset = shared.value.pieces(q, place, size)
-            texts = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
-            cut = [texts[d][4 * s : 4 * (s + k)] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist())]
-            columns = {"id": b.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(n), "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()), "doc_tokens": pa.array(size[doc]), "sequence_id": pa.array(window), "offset": pa.array(offset), "queue": pa.array(q[doc].astype(np.int32))}
+            values, first = flat(b.column("ids"))
+            data = memoryview(values.view(np.uint8))
+            a = first[doc] + start
+            crc = [zlib.crc32(data[4 * i : 4 * k]) for i, k in zip(a.tolist(), (a + n).tolist())]
+            columns = {"id": b.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(n), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(size[doc]), "sequence_id": pa.array(window), "offset": pa.array(offset), "queue": pa.array(q[doc].astype(np.int32))}
             if ids:
-                columns["token_ids"] = pa.array([np.frombuffer(x, "<u4").tolist() for x in cut], pa.list_(pa.int32()))
+                columns["token_ids"] = pa.array([values[i:k].astype(np.int32) for i, k in zip(a.tolist(), (a + n).tolist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        pa.default_memory_pool().release_unused()
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, queue int"
     out = rows.select("id", "queue", "place", "n_tokens", "ids").mapInArrow(run, schema + ", token_ids array<int>" * ids)

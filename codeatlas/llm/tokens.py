@@ -28,10 +28,10 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A piece of letters, perhaps marks, a line end and perhaps letters again: tokens cross none of these borders.
 _STEMS = re.compile(rf"([^\W\d_]*[{_LETTERS}])([{re.escape(_MARKS)}]*)(\n)([^\W\d_]*)")
 #: Encoded pieces in each of a worker's two generations, and the longest piece among them.
-CACHE = 400_000
+CACHE = 250_000
 LONGEST = 48
 #: Bytes of texts that are encoded together, so that a piece in many of them is looked up once.
-TOGETHER = 12_000_000
+TOGETHER = 6_000_000
 #: Most sums of parts and queues that are broadcast; more are joined by shuffle.
 MOST_SUMS = 500_000
 #: Marks the first piece of a text, which no space precedes.
@@ -248,6 +248,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
                 yield from finished(held)
                 held = []
         yield from finished(held)
+        pa.default_memory_pool().release_unused()
 
     return stored(dealt.mapInArrow(run, f"part int, id {kind}, queue int, before bigint, n_tokens bigint, ids binary"), "tokens")
 
