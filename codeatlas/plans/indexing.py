@@ -213,6 +213,21 @@ def str1_streamed_traces(spark, sf_dir):
     return store.traces()
 
 
+@query("traces", ", n AS (SELECT trace_id, count(*) AS n_spans FROM spans GROUP BY trace_id) SELECT * FROM traces JOIN n USING (trace_id)")
+def str1_trace_state(spark, sf_dir):
+    """Spans in four micro-batches without order, half of them twice, through the state of their traces; then all of them by a second stream."""
+    spans = B.spans(spark, sf_dir)
+    source = scratch(spark, "spans")
+    share = F.pmod(F.xxhash64("span_id"), F.lit(4))
+    for n in range(4):
+        spans.filter((share == 3 - n) | (share == (n + 1) % 4) & (F.col("started_ms") % 2 == 0)).coalesce(1).write.mode("append").parquet(source)
+    store = TraceStore(spark, scratch(spark, "trace-store"))
+    for checkpoint in ("trace-state", "trace-state-again"):
+        stream = spark.readStream.schema(spans.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        store.ingest(stream, "spans", scratch(spark, checkpoint)).awaitTermination()
+    return store.traces().join(store.spans().groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans")), "trace_id")
+
+
 @query("spans logs", "SELECT 'span' AS kind, started_ms AS at_ms, span_id, name, input AS text FROM spans WHERE trace_id = '8' UNION ALL SELECT 'log', timestamp_ms, span_id, level, message FROM logs WHERE trace_id = '8'")
 def trc3_trace_bundle(spark, sf_dir):
     return traces.bundle(B.spans(spark, sf_dir), B.logs(spark, sf_dir), "8")

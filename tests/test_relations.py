@@ -161,6 +161,7 @@ def test_streamed_traces_equal_batch(spark, tmp_path):
     query = unique.writeStream.format("memory").queryName("unique_spans").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("unique_spans").count() == 12
+    assert store.settled().count() == 0
 
 
 def test_recorder(spark):
@@ -242,21 +243,6 @@ def test_bundle(spark):
     assert traces.bundle(spans, logs, "z").count() == 0
 
 
-def test_retention_deletes_and_compacts(spark, tmp_path):
-    day = 86_400_000
-    store = TraceStore(spark, str(tmp_path / "store"))
-    for name, rows, schema in (("spans", [span(0, "t", None, 9 * day), span(1, "u", None, day), span(2, "t", 0, 9 * day + 5)], SPAN), ("logs", [("t", None, "info", "x", 9 * day), ("u", None, "info", "x", day)], "trace_id string, span_id string, level string, message string, timestamp_ms bigint")):
-        source = str(tmp_path / f"in-{name}")
-        spark.createDataFrame(rows, schema).repartition(2).write.parquet(source)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        store.ingest(stream, name, str(tmp_path / f"c-{name}")).awaitTermination()
-    for _ in range(2):
-        kept = store.retain(10 * day)
-        assert [k.count() for k in kept] == [1, 2, 1]
-        assert [d for d in os.listdir(tmp_path / "store/spans") if not d.startswith((".", "_"))] == ["batch=-1"]
-    assert TraceStore(spark, str(tmp_path / "none")).retain(0)[1].count() == 0
-
-
 def test_chains_of_layers(spark, tmp_path):
     from codeatlas.shared import stored
 
