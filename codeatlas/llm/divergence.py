@@ -10,6 +10,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +19,16 @@ from .common import discard, sliced, stored, utf8
 #: Documents of a language that a kept term is in, and the best ranks that are returned of terms.
 LEAST, RANKS = 3, 200
 #: Bytes of terms from which on a chunk ends, and pairs of postings that are worked out at once.
-CHUNK = 4_000_000
+CHUNK = 16_000_000
 PAIRS = 1 << 19
+#: Bytes that an automaton scans at once.
+PIECE = 1 << 20
 #: ASCII letters in lower case and all bytes from 128 on belong to terms; a blank stands for each other byte.
 _TERMS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, parts: int | None) -> DataFrame:
-    """Chunks of documents of one lang and source: their terms set apart by blanks, and each distinct one with the number of documents that hold it.
+    """Chunks of documents of one lang and source: their terms set apart by blanks, and each distinct one with the number of documents that hold it. Both are packed, as they are moved again.
 
     Rows are dealt by ranges of lang, source and a hash of the row, so a source of any size is spread, and few chunks are small.
     """
@@ -38,7 +41,8 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
         texts, size, found, own, n = [], 0, Counter(), None, 0
 
         def chunk() -> pa.RecordBatch:
-            columns = ([own[2] << 32 | n], [own[0]], [own[1]], [b" ".join(texts)], [b" ".join(found)], [list(found.values())])
+            packed = zstandard.ZstdCompressor(level=1).compress
+            columns = ([own[2] << 32 | n], [own[0]], [own[1]], [packed(b" ".join(texts))], [packed(b" ".join(found))], [list(found.values())])
             kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "lang", "source", "text", "terms", "documents"])
 
@@ -54,6 +58,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
                 size += len(texts[-1]) + 1
         if own is not None:
             yield chunk()
+        pa.default_memory_pool().release_unused()
 
     return stored(dealt.mapInArrow(run, "chunk bigint, lang string, source string, text binary, terms binary, documents array<int>"), "chunks")
 
@@ -63,7 +68,7 @@ def _terms(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 1):
-            terms = pa.array(b.column(2)[0].as_py().split(), pa.binary()).cast(pa.string())
+            terms = pa.array(unpacked(b.column(2)[0]).split(), pa.binary()).cast(pa.string())
             repeat = pa.array(np.zeros(len(terms), np.int64))
             columns = [b.column(0).take(repeat), b.column(1).take(repeat), terms, b.column(3).flatten()]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "lang", "term", "documents"])
@@ -71,6 +76,10 @@ def _terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "lang", "terms", "documents").mapInArrow(run, "chunk bigint, lang string, term string, documents int")
 
 
+def unpacked(value: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_py())
+
+
 def automaton(terms: list[bytes]) -> ahocorasick.Automaton:
     """Finds the terms between blanks; the value of a match is the term's place. Bytes are read as characters, so none is ambiguous."""
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -81,11 +90,19 @@ def automaton(terms: list[bytes]) -> ahocorasick.Automaton:
 
 
 def recount(text: bytes, terms: list[bytes]) -> np.ndarray:
-    """How often each term occurs in a text of terms set apart by blanks."""
+    """How often each term occurs in a text of terms set apart by blanks. The text is scanned in pieces that end at blanks."""
+    counts = np.zeros(len(terms), np.int64)
     if not terms or not text:
-        return np.zeros(len(terms), np.int64)
-    places = map(itemgetter(1), automaton(terms).iter(f" {text.decode('latin-1')} "))
-    return np.bincount(np.fromiter(places, np.int32), minlength=len(terms))
+        return counts
+    found = automaton(terms).iter
+    a = 0
+    while a < len(text):
+        b = text.find(b" ", a + PIECE)
+        b = len(text) if b < 0 else b
+        places = map(itemgetter(1), found(f" {text[a:b].decode('latin-1')} "))
+        counts += np.bincount(np.fromiter(places, np.int32), minlength=len(terms))
+        a = b + 1
+    return counts
 
 
 def _occurrences(chunks: DataFrame, kept: DataFrame) -> DataFrame:
@@ -93,7 +110,7 @@ def _occurrences(chunks: DataFrame, kept: DataFrame) -> DataFrame:
 
     def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
         terms = utf8(found.column("term"))
-        counts = recount(chunk.column("text")[0].as_py(), terms) if chunk.num_rows else np.zeros(len(terms), np.int64)
+        counts = recount(unpacked(chunk.column("text")[0]), terms) if chunk.num_rows else np.zeros(len(terms), np.int64)
         repeat = pa.array(np.zeros(len(terms), np.int64))
         return pa.table({"lang": chunk.column("lang").take(repeat), "source": chunk.column("source").take(repeat), "term": found.column("term"), "count": pa.array(counts, pa.int64())})
 

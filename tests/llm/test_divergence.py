@@ -68,10 +68,12 @@ def test_ranks_and_ties(spark):
     assert few == brute(rows, ranks=2)
 
 
-def test_recount_is_delimited():
+def test_recount_is_delimited(monkeypatch):
     found = divergence.recount(b"a aa a b aab aa a", [b"a", b"aa", b"b", b"ab", "é".encode()])
     assert found.tolist() == [3, 2, 1, 0, 0]
     assert divergence.recount(b"", [b"a"]).tolist() == [0] and divergence.recount(b"a", []).tolist() == []
+    monkeypatch.setattr(divergence, "PIECE", 3)
+    assert divergence.recount(b"a aa a b aab aa a", [b"a", b"aa", b"b", b"ab"]).tolist() == [3, 2, 1, 0]
     text = ("é " * 200_000).encode() + b"e"
     assert divergence.recount(text, ["é".encode(), b"e"]).tolist() == [200_000, 1]
 
