@@ -175,5 +175,9 @@ def any_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 
 
+def all_of(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, columns, F.lit(True))
+
+
 def sum_of(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))

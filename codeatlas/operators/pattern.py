@@ -1,16 +1,18 @@
-"""Structural pattern search: token patterns with metavariables over source files."""
+"""Structural pattern search: a pattern's tree met with the trees of source files, by joins on a table of their nodes."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tree as T
+from ..functions import text as X
+from ..shared import stored
+
 #: The paths that a language's search reads.
 PATHS = {
     "typescript": r"\.(ts|tsx|mts|cts)$",
@@ -19,129 +21,216 @@ PATHS = {
 }
 
 
-def add_language(name: str, paths: str) -> None:
-    """Make a language known to the search by a regular expression for the paths that it reads."""
+def add_language(name: str, paths: str, grammar: T.Grammar = T.SCRIPT) -> None:
+    """Make a language known to the search and to table functions: a regular expression for the paths that it reads, and its grammar."""
     re.compile(paths)
     PATHS[name] = paths
+    T.GRAMMARS[name] = grammar
 
 
-_TOKENS = re.compile(r"(?P<space>\s+|//[^\n]*|/\*.*?\*/)|(?P<rest>\$\$\$[A-Z_]?[A-Z0-9_]*)|(?P<meta>\$[A-Z_][A-Z0-9_]*)|(?P<text>`(?:\\.|[^`\\])*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|=>|[-+*/%&|^!=<>?]=+|&&|\|\||\?\?|\?\.|\+\+|--|.)", re.S)
-_CLOSES = {"(": ")", "[": "]", "{": "}"}
-_MODIFIERS = frozenset("export default async public private protected internal static abstract sealed partial readonly override virtual declare".split())
-
+def metavariables(pattern: str) -> list[str]:
+    """Names of the metavariables of a pattern, each once."""
+    return list(dict.fromkeys(re.findall(r"\$+([A-Z_][A-Z0-9_]*)", pattern)))
 
-@dataclass(frozen=True)
-class Token:
-    kind: str
-    text: str
-    start: int
-    end: int
 
+@dataclass
+class Var:
+    """A node that the pattern asks for: what it must be, and where it stands by nodes that are known before it.
 
-def tokens(source: str) -> list[Token]:
-    return [Token(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKENS.finditer(source) if m.lastgroup != "space"]
+    of: the variable whose child it is; next: the sibling before it and whether others may stand between; first, last: whether it
+    must be of's first or last child.
+    """
 
+    kinds: tuple[str, ...]
+    text: str | None = None
+    of: int | None = None
+    next: tuple[int, bool] | None = None
+    first: bool = False
+    last: bool = False
+    empty: bool | None = None
+    least: int = 0
 
-def line_ends(source: str) -> list[int]:
-    """Where the lines of a source end."""
-    return [m.start() for m in re.finditer("\n", source)]
 
+@dataclass
+class Plan:
+    """The variables of a pattern, from the one that its literals make rarest on, and the stretches of source that its names take."""
 
-def metavariables(pattern: str) -> list[str]:
-    """Names of the metavariables of a pattern, each once."""
-    return list(dict.fromkeys(re.findall(r"\$+([A-Z_][A-Z0-9_]*)", pattern)))
+    vars: list[Var] = field(default_factory=list)
+    names: list[tuple[str, tuple[int, str], tuple[int, str]]] = field(default_factory=list)  # name, where it begins, where it ends: a variable and start, end, inner or rim
+    begin: int = 0
+    end: tuple[int, str] = (0, "end")
 
 
-def partners(source: list[Token]) -> dict[int, int]:
-    """The place of the closing token for each opening one that is closed."""
-    out, open_ = {}, []
-    for i, t in enumerate(source):
-        if t.text in _CLOSES:
-            open_.append(i)
-        elif open_ and t.text == _CLOSES[source[open_[-1]].text]:
-            out[open_.pop()] = i
-    return out
+_ANY = ("word", "number", "text", "mark", "group", "chain")
 
 
-def match_at(pattern: list[Token], source: list[Token], close: dict[int, int], at: int) -> tuple[int, dict[str, tuple[int, int]]] | None:
-    """Where the pattern ends if it fits the source from a token on, and the spans of its metavariables.
+def compiled(pattern: str, language: str = "typescript") -> Plan | None:
+    """The plan of a pattern; None if it holds nothing to look for.
 
-    $NAME fits one token or one bracketed group, the same text each time; $$$ fits any number
-    of them, as few as possible, and never leaves its brackets. A place of the pattern is tried
-    once at each place of the source, for each text of the names that come again.
+    A pattern of one part fits a run of neighbours in a part, whatever stands before and after it, so modifiers do not
+    hinder; one that is a chain fits the beginning of a chain; one of several parts fits parts in a row. Below that
+    brackets and parts must fit whole. $NAME takes one value: a token, a bracket or a chain, or all of a part
+    that it is alone in, or what comes before the members of a chain that it begins; the same text each time. At the end of a
+    pattern that begins with a word it takes all that is left of the statement. $$$ and $$$NAME take any number of
+    neighbours, as few as possible.
     """
-    work: list[tuple[int, int, dict]] = [(0, at, {})]
-    names = [t.text[1:] for t in pattern if t.kind == "meta"]
-    again = [n for n in dict.fromkeys(names) if names.count(n) > 1 or any(t.kind == "rest" and t.text[3:] == n for t in pattern)]
-    tried: set[tuple] = set()
-    while work:
-        p, s, bound = work.pop()
-        if p == len(pattern):
-            return s, bound
-        state = (p, s, *(bound.get(n) for n in again))
-        if state in tried:
-            continue
-        tried.add(state)
-        want = pattern[p]
-        if want.kind == "rest":
-            name = want.text[3:]
-            ends, e = [s], s
-            while e < len(source) and source[e].text not in (")", "]", "}"):
-                e = close.get(e, e) + 1
-                ends.append(e)
-            for e in reversed(ends):
-                work.append((p + 1, e, bound | {name: (s, e)} if name else bound))
-            continue
-        if s >= len(source):
+    parts = T.parse(pattern, language, True).children
+    plan = Plan()
+    if not parts or all(c.kind == "rest" for p in parts for c in p.children):
+        return None
+    if len(parts) > 1:
+        at = _row(plan, parts, None, False, False)
+        plan.begin, plan.end = at[0], (at[-1], "end")
+        return plan
+    row = parts[0].children
+    if len(row) == 1 and row[0].kind == "chain":
+        plan.vars.append(Var(("chain",)))
+        last = _chain(plan, row[0], 0, False)
+        plan.end = (last, "end")
+        return plan
+    at = _row(plan, row, None, False, False)
+    plan.begin, plan.end = at[0], (at[-1], "end")
+    if row[-1].kind == "meta" and row[0].kind == "word" and len(row) > 1:
+        plan.vars.append(Var(("part",), of=-1 - at[-1]))  # the part that holds the last node
+        plan.names[-1] = (plan.names[-1][0], (at[-1], "start"), (len(plan.vars) - 1, "end"))
+        plan.end = (len(plan.vars) - 1, "end")
+    return plan
+
+
+def _row(plan: Plan, row: list[T.Node], of: int | None, first: bool, last: bool) -> list[int]:
+    """Variables for neighbours; the places of those that are not gaps. first, last: whether they must be all that of holds on that side."""
+    at, gap, rest = [], False, None
+    for n, node in enumerate(row):
+        sole = node.kind == "part" and len(node.children) == 1
+        if node.kind == "rest" or sole and node.children[0].kind == "rest":
+            name = (node if node.kind == "rest" else node.children[0]).text[3:]
+            gap = True
+            rest = (name, at[-1] if at else None)
             continue
-        if want.kind == "meta":
-            name, e = want.text[1:], close.get(s, s) + 1
-            if source[s].text in (")", "]", "}", ";", ","):
-                continue
-            if name in bound:
-                a, b = bound[name]
-                if [t.text for t in source[a:b]] != [t.text for t in source[s:e]]:
-                    continue
-            work.append((p + 1, e, bound | {name: (s, e)}))
-        elif want.text == source[s].text:
-            work.append((p + 1, s + 1, bound))
-    return None
-
-
-def find(pattern: str, source: str, dotted: bool = True) -> list[dict]:
-    """All places of source that the pattern fits: line, column (from 1), text and captures, in order.
-
-    Where the pattern begins with a keyword, modifiers before it do not hinder a match. A
-    metavariable that stands where a name is expected takes a dotted name whole.
+        i = len(plan.vars)
+        plan.vars.append(Var(("part",) if node.kind == "part" else _kinds(node), node.text if node.kind not in ("part", "chain", "meta") else None, of, (at[-1], gap) if at else None, first and not at and not gap))
+        if rest and rest[0]:
+            plan.names.append((rest[0], (rest[1], "end") if rest[1] is not None else (of, "inner") if of is not None else (i, "start"), (i, "start")))
+        gap, rest = False, None
+        at.append(i)
+        if node.kind == "meta":
+            plan.names.append((node.text[1:], (i, "start"), (i, "end")))
+        elif sole and node.children[0].kind == "meta":
+            plan.names.append((node.children[0].text[1:], (i, "start"), (i, "end")))
+        elif node.kind == "part":
+            _row(plan, node.children, i, True, True)
+        elif node.kind == "group":
+            if node.children:
+                _row(plan, node.children, i, True, True)
+            else:
+                plan.vars[i].empty = True
+        elif node.kind == "chain":
+            _chain(plan, node, i, True)
+    if at and last and not gap:
+        plan.vars[at[-1]].last = True
+    if rest and rest[0]:
+        begin = (rest[1], "end") if rest[1] is not None else (of, "inner")
+        if of is not None:
+            plan.names.append((rest[0], begin, (of, "rim")))
+    return at
+
+
+def _chain(plan: Plan, chain: T.Node, i: int, whole: bool) -> int:
+    """Variables for the links of a chain; the place of the last. A name at the beginning takes all links before the others."""
+    row = chain.children
+    if row[0].kind == "meta":
+        at = _row(plan, row[1:], i, False, whole)
+        plan.vars[at[0]].least = 1
+        plan.names.append((row[0].text[1:], (i, "start"), (at[0], "before")))
+    else:
+        at = _row(plan, row, i, True, whole)
+    return at[-1]
+
+
+def _kinds(node: T.Node) -> tuple[str, ...]:
+    return _ANY if node.kind == "meta" else (node.kind,)
+
+
+def _fits(v: Var) -> Column:
+    """What a variable asks of a node by itself."""
+    asked = F.col("kind").isin(*v.kinds)
+    if v.text is not None:
+        asked &= F.col("text") == v.text
+    if v.empty:
+        asked &= F.col("n") == 0
+    if v.first:
+        asked &= F.col("ord") == 0
+    if v.least:
+        asked &= F.col("ord") >= v.least
+    return asked
+
+
+def _rank(v: Var) -> tuple:
+    """Rarest first: words, other tokens, then nodes without a text of their own."""
+    return (v.text is None, "word" not in v.kinds, v.kinds == _ANY)
+
+
+def matches(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """path, line, col, start, end and names (name to begin and end) of every place that a plan fits, from a table of nodes (path, tree.NODES).
+
+    The rarest token of the pattern is looked up first. From it each join adds a node that stands to a known one as a
+    parent, a child or a sibling: equalities of path and number, and of place but where the pattern leaves a gap.
     """
-    wanted, have = tokens(pattern), tokens(source)
-    if not wanted:
-        return []
-    if dotted:
-        have = _joined(have)
-    close, ends = partners(have), line_ends(source)
+    columns = ["pre", "parent", "ord", "n", "start", "end", "line", "col"]
+
+    def rows(i: int) -> DataFrame:
+        return nodes.filter(_fits(plan.vars[i])).select("path", F.struct(*columns).alias(f"v{i}"))
+
+    links = _links(plan)
+    known = [min(range(len(plan.vars)), key=lambda i: (_rank(plan.vars[i]), i))]
+    found = rows(known[0])
+    while len(known) < len(plan.vars):
+        near = [(a, b, how) for a, b, how in links if a in known and b not in known]
+        a, b, how = min(near, key=lambda x: (_rank(plan.vars[x[1]]), x[1]))
+        va, vb = F.col(f"v{a}"), F.col(f"v{b}")
+        other = rows(b)
+        keys = {"child": [vb["parent"] == va["pre"]], "parent": [vb["pre"] == va["parent"]], "after": [vb["parent"] == va["parent"], vb["ord"] == va["ord"] + 1], "later": [vb["parent"] == va["parent"], vb["ord"] > va["ord"]], "before": [vb["parent"] == va["parent"], vb["ord"] == va["ord"] - 1], "sooner": [vb["parent"] == va["parent"], vb["ord"] < va["ord"]]}[how]
+        here = other.withColumnRenamed("path", "__path")
+        condition = F.col("path") == F.col("__path")
+        for k in keys:
+            condition &= k
+        found = found.join(here, condition).drop("__path")
+        known.append(b)
+        for c, d, other_how in links:  # whatever else ties the new node to known ones
+            if d == b and c in known and c not in (a, b) and other_how in ("child", "after", "later"):
+                vc = F.col(f"v{c}")
+                tie = {"child": vb["parent"] == vc["pre"], "after": (vb["parent"] == vc["parent"]) & (vb["ord"] == vc["ord"] + 1), "later": (vb["parent"] == vc["parent"]) & (vb["ord"] > vc["ord"])}[other_how]
+                found = found.filter(tie)
+            if c == b and d in known and d not in (a, b) and other_how in ("child", "after", "later"):
+                vd = F.col(f"v{d}")
+                tie = {"child": vd["parent"] == vb["pre"], "after": (vd["parent"] == vb["parent"]) & (vd["ord"] == vb["ord"] + 1), "later": (vd["parent"] == vb["parent"]) & (vd["ord"] > vb["ord"])}[other_how]
+                found = found.filter(tie)
+    for i, v in enumerate(plan.vars):
+        if v.last:
+            found = found.filter(F.col(f"v{i}.ord") == F.col(f"v{v.of}.n") - 1)
+    first = F.col(f"v{plan.begin}")
+    places = F.struct(*(F.col(f"v{i}.ord").alias(f"o{i}") for i in range(len(plan.vars))))
+    names = F.array(*(F.struct(F.lit(n).alias("name"), _edge(*a).alias("begin"), _edge(*b).alias("end")) for n, a, b in plan.names)) if plan.names else F.array().cast("array<struct<name:string,begin:int,end:int>>")
+    row = F.struct(first["line"].alias("line"), first["col"].alias("col"), first["start"].alias("start"), _edge(*plan.end).alias("end"), names.alias("names"))
+    return found.groupBy("path", first["pre"].alias("pre")).agg(F.min_by(row, places).alias("m")).select("path", "m.*")
+
+
+def _edge(i: int, side: str) -> Column:
+    v = F.col(f"v{i}")
+    return {"start": v["start"], "end": v["end"], "before": v["start"], "inner": v["start"] + 1, "rim": v["end"] - 1}[side]
+
+
+def _links(plan: Plan) -> list[tuple[int, int, str]]:
+    """How variables stand to each other, both ways."""
     out = []
-    for i in range(len(have)):
-        found = match_at(wanted, have, close, i)
-        if not found or found[0] == i:
-            continue
-        end, bound = found
-        start = have[i].start
-        line = bisect_left(ends, start) + 1
-        text = lambda a, b: source[have[a].start : have[b - 1].end] if b > a else ""
-        out.append({"line": line, "column": start - source.rfind("\n", 0, start), "text": text(i, end), "captures": {k: text(a, b) for k, (a, b) in bound.items()}})
-    return out
-
-
-def _joined(have: list[Token]) -> list[Token]:
-    """Name.name.name as one token where it stands in a using or namespace declaration."""
-    out: list[Token] = []
-    for t in have:
-        glue = len(out) > 1 and (t.text == "." or out[-1].text.endswith(".")) and out[-1].end == t.start
-        if glue and re.match(r"[A-Za-z_]", out[-1].text) and any(x.text in ("using", "namespace") for x in out[-4:-1]):
-            out[-1] = Token("text", out[-1].text + t.text, out[-1].start, t.end)
-        else:
-            out.append(t)
+    for i, v in enumerate(plan.vars):
+        if v.of is not None and v.of >= 0:
+            out += [(v.of, i, "child"), (i, v.of, "parent")]
+        elif v.of is not None:
+            out += [(-1 - v.of, i, "parent"), (i, -1 - v.of, "child")]
+        if v.next:
+            j, gap = v.next
+            out += [(j, i, "later" if gap else "after"), (i, j, "sooner" if gap else "before")]
     return out
 
 
@@ -169,22 +258,38 @@ def limit_of(kind: str, limit: object = None) -> int:
     return default if limit is None else clamp(limit, most, default)
 
 
-def search(contents: DataFrame, pattern: str, language: str) -> DataFrame:
+def search(contents: DataFrame, pattern: str, language: str, nodes: DataFrame | None = None) -> DataFrame:
     """path, line, column, text, captures of every match in the files (path, content) of a language.
 
-    Each file is read in one task; nothing but matches leaves it.
+    nodes are the files' nodes if they are known already; else files that hold every word of the pattern are read into trees. What
+    a match and its names take is cut from the contents of the files that match.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{"path": p} | m for p, c in zip(b["path"], b["content"]) if c is not None for m in find(pattern, c)]
-            yield pd.DataFrame(rows, columns=["path", "line", "column", "text", "captures"])
-
-    return candidates(contents, language).select("path", "content").mapInPandas(run, "path string, line int, column int, text string, captures map<string,string>")
+    rows = candidates(contents, language)
+    plan = compiled(pattern, language)
+    shape = "path string, line int, column int, text string, captures map<string,string>"
+    if plan is None:
+        return contents.sparkSession.createDataFrame([], shape)
+    words = {v.text for v in plan.vars if v.text is not None and v.kinds != ("group",)}
+    rows = rows.filter(X.all_of([F.col("content").contains(w) for w in sorted(words)]))
+    nodes = stored(T.nodes(rows, language), "nodes") if nodes is None else nodes
+    found = matches(nodes, plan).join(rows.select("path", "content"), "path")
+
+    def cut(begin: Column, end: Column) -> Column:
+        return F.substring(F.col("content"), begin + 1, F.greatest(end - begin, F.lit(0)))
+
+    def bare(text: Column) -> Column:
+        return F.regexp_replace(text, r"^[\s,;]+|[\s,;]+$|[\s]*(\?\.|\.)$", "")
+
+    taken = F.transform("names", lambda x: F.struct(x["name"].alias("name"), bare(cut(x["begin"], x["end"])).alias("text")))
+    out = found.select("path", "line", F.col("col").alias("column"), cut(F.col("start"), F.col("end")).alias("text"), taken.alias("taken"))
+    said = lambda x: F.struct(x["name"], F.regexp_replace(x["text"], r"\s+", ""))
+    same = F.size(F.array_distinct(F.transform("taken", said))) == F.size(F.array_distinct(F.transform("taken", lambda x: x["name"])))
+    first = F.filter("taken", lambda x, i: ~F.exists(F.slice("taken", 1, i), lambda y: y["name"] == x["name"]))
+    return out.filter(same).select("path", "line", "column", "text", F.map_from_entries(first).alias("captures"))
 
 
 def first(matches: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """The limit first matches by path and place, and whether there are more."""
+    """The limit first matches by path and place, and whether there are more. They are found once and stored."""
     limit = clamp(limit)
-    ordered = matches.orderBy("path", "line", "column").limit(limit + 1)
-    return ordered.limit(limit), ordered.count() > limit
+    some = stored(matches.orderBy("path", "line", "column").limit(limit + 1), "first")
+    return some.orderBy("path", "line", "column").limit(limit), some.count() > limit

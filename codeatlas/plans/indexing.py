@@ -12,6 +12,7 @@ from ..operators import edges, graph, history, layout, listing, pattern, traces
 from ..shared import scratch, stored
 from ..sources import files as S
 from ..streaming.commits import HistoryStore
+from ..streaming.sessions import SessionStore
 from ..streaming.traces import TraceStore
 from . import bindings as B
 from . import repository
@@ -228,6 +229,32 @@ def str1_trace_state(spark, sf_dir):
     return store.traces().join(store.spans().groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_spans")), "trace_id")
 
 
+@query(
+    None,
+    """WITH b AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS bad, CASE WHEN event_id % 97 = 0 THEN 2 WHEN ts < '2024-01-11' THEN 0 WHEN ts < '2024-01-21' THEN 1 ELSE 2 END AS batch FROM events),
+        marks AS (SELECT n AS batch, (SELECT max(ms) FROM b WHERE b.batch < n) - 86400000 AS mark FROM (SELECT unnest([0, 1, 2]) AS n)),
+        told AS (SELECT key, ms, bad, coalesce(ms < mark, false) AS late FROM b JOIN marks USING (batch)),
+        steps AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY key ORDER BY ms) > 7200000, true)::INT AS begins FROM told WHERE NOT late),
+        islands AS (SELECT *, sum(begins) OVER (PARTITION BY key ORDER BY ms, begins DESC ROWS UNBOUNDED PRECEDING) AS island FROM steps)
+        SELECT 'session' AS kind, key, min(ms) AS start_ms, max(ms) AS end_ms, count(*) AS events, (count(*) FILTER (bad))::BIGINT AS errors FROM islands GROUP BY key, island
+        UNION ALL SELECT 'late', key, ms, ms, 1, 0 FROM told WHERE late""",
+)
+def str7_sessions(spark, sf_dir):
+    """Events in three micro-batches by time, some of them far behind theirs: sessions with pauses of two hours at most, and what came over a day too late."""
+    rows = B.table(spark, sf_dir, "events")
+    batch = F.when(F.col("event_id") % 97 == 0, 2).when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
+    events = rows.select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), (F.col("event_type") == "error").alias("error"), batch.alias("n"))
+    source = scratch(spark, "events")
+    for n in range(3):
+        events.filter(F.col("n") == n).drop("n").coalesce(1).write.mode("append").parquet(source)
+    store = SessionStore(spark, scratch(spark, "sessions"), 7_200_000, 86_400_000)
+    stream = spark.readStream.schema(events.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    store.follow(stream, scratch(spark, "sessions-state")).awaitTermination()
+    found = store.closed().unionByName(store.open()).select(F.lit("session").alias("kind"), "*")
+    one = F.lit(1).cast("long")
+    return found.unionByName(store.late().select(F.lit("late").alias("kind"), "key", F.col("at_ms").alias("start_ms"), F.col("at_ms").alias("end_ms"), one.alias("events"), (one * 0).alias("errors")))
+
+
 @query("spans logs", "SELECT 'span' AS kind, started_ms AS at_ms, span_id, name, input AS text FROM spans WHERE trace_id = '8' UNION ALL SELECT 'log', timestamp_ms, span_id, level, message FROM logs WHERE trace_id = '8'")
 def trc3_trace_bundle(spark, sf_dir):
     return traces.bundle(B.spans(spark, sf_dir), B.logs(spark, sf_dir), "8")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
 from ..functions import formats
 from ..functions import text as X
 from ..operators import graph, history, layout, listing, search, traces
+from ..shared import scratch
 from . import bindings as B
 from . import indexing
 from .base import ORACLES, QUERIES, query
@@ -59,6 +61,18 @@ def cmp1_ranked_search(spark, sf_dir):
     return rows.select("path", "language", F.array_join("matched_terms", " ").alias("matched"), "is_hub", F.round("hub_score", 6).alias("hub_score"), F.round("score", 6).alias("score"))
 
 
+@query("full_files", _ranked_sql(TERMS, 20) + " SELECT * FROM ranked")
+def cmp1_indexed_search(spark, sf_dir):
+    """The same ranking by way of the catalog's grams: only candidate files are read."""
+    store = Catalog(spark, scratch(spark, "catalog"))
+    store.replace("file_metadata", "parts", B.files(spark, sf_dir))
+    store.replace("search_grams", "parts", search.grams(store.read("file_metadata", "parts")))
+    store.replace("file_imports", "parts", B.imports(spark, sf_dir))
+    store.replace("file_stats", "parts", B.stats(spark, sf_dir))
+    rows = store.search("parts", TERMS)
+    return rows.select("path", "language", F.array_join("matched_terms", " ").alias("matched"), "is_hub", F.round("hub_score", 6).alias("hub_score"), F.round("score", 6).alias("score"))
+
+
 @query("full_files", _ranked_sql(["widget"], 50) + " SELECT * FROM ranked")
 def top1_single_term(spark, sf_dir):
     rows = _ranked(spark, sf_dir, ["Widget"], 50)
@@ -108,13 +122,13 @@ def top11_palette(spark, sf_dir):
 
 @query("full_files", _ranked_sql(TERMS, 50) + " SELECT term, count(*) AS results FROM (SELECT unnest(string_split(matched, ' ')) AS term FROM ranked) GROUP BY term")
 def agg18_results_per_term(spark, sf_dir):
-    return _ranked(spark, sf_dir, TERMS, 50).select(F.explode("matched_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("results"))
+    return search.results_per_term(_ranked(spark, sf_dir, TERMS, 50))
 
 
 @query("files", "SELECT " + ", ".join(f"count(*) FILTER ({' + '.join(f'({s})' for s in _term_sql(t).values())} > 0) AS df_{t}" for t in TERMS) + " FROM files")
 def agg8_document_frequency(spark, sf_dir):
-    some = lambda t: X.any_of([c > 0 for c in search.field_scores(t).values()])
-    return B.files(spark, sf_dir).agg(*(F.count(F.when(some(t), 1)).alias(f"df_{t}") for t in TERMS))
+    found = search.document_frequency(search.hits(B.files(spark, sf_dir), TERMS), len(TERMS))
+    return found.select(*(F.col(f"df{i}").alias(f"df_{t}") for i, t in enumerate(TERMS)))
 
 
 @query("files", "SELECT language, count(*) AS n, round(CASE WHEN count(*) = 0 THEN 10 ELSE least(10, greatest(1, ln((SELECT count(*) FROM files) / count(*)))) END, 6) AS idf FROM files GROUP BY language")
