@@ -70,18 +70,38 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(words, lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 5) -> DataFrame:
-    """Rules tokens -> block from labelled URLs (columns tokens, block): FP-growth, pruned by support, confidence and lift.
+def items(labelled: DataFrame) -> DataFrame:
+    """token, item for every token of labelled URLs (column tokens): tokens that the same URLs hold are one item, named by the smallest.
+
+    On the labelled URLs one of them says what all of them say together, so a long URL that comes again has one item and
+    not a rule for each subset of its tokens. Sets of URLs are told by their number and 128 bits.
+    """
+    sets = labelled.select("tokens").distinct().select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit("b"), "tokens").alias("b"))
+    held = stored(sets.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")), "held")
+    named = held.groupBy("n", "a", "b").agg(F.min("token").alias("item"))
+    return stored(held.join(named, ["n", "a", "b"]).select("token", "item"), "items")
+
+
+def with_items(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct tokens of sets that hold a known token, with the items that they hold and, of each item, the smallest token: tokens, items, told (a map)."""
+    met = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(known, "token")
+    one = met.groupBy("tokens", "item").agg(F.min("token").alias("token"))
+    return one.groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("told")).select("tokens", F.map_keys("told").alias("items"), "told")
+
+
+def mine(labelled: DataFrame, known: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 5) -> DataFrame:
+    """Rules tokens -> block from labelled URLs (columns tokens, block): FP-growth over their items(), pruned by support, confidence and lift.
 
     A rule holds in min_support of all labelled URLs and in min_urls of them at least, so that no
-    single URL becomes a rule where few are labelled.
+    single URL becomes a rule where few are labelled. It stands for all rules that have one token of each of its items.
 
-    Returns rule_id, tokens (the antecedent, sorted), confidence and support. A rule is left
-    out if one with fewer of its tokens is as sure; each is looked for under its rarest token
-    alone, so a token that most rules hold brings no pairs. FP-growth spreads the conditional trees over the executors.
+    Returns rule_id, tokens (the antecedent's items, sorted), confidence and support. A rule is left
+    out if one with fewer of its items is as sure; each is looked for under its rarest item
+    alone, so an item that most rules hold brings no pairs. FP-growth spreads the conditional trees over the executors.
     """
-    baskets = labelled.select(F.array_union("tokens", F.array(F.when(F.col("block"), F.lit("=block")).otherwise(F.lit("=allow")))).alias("items"))
-    floor = (min_urls - 0.5) / max(labelled.count(), min_urls)  # FP-growth rounds the count up
+    baskets = labelled.join(with_items(labelled, known), "tokens")
+    baskets = stored(baskets.select(F.array_union("items", F.array(F.when(F.col("block"), F.lit("=block")).otherwise(F.lit("=allow")))).alias("items")), "baskets")
+    floor = (min_urls - 0.5) / max(baskets.count(), min_urls)  # FP-growth rounds the count up
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, floor), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit("=block"))) & (F.col("lift") > 1))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "rules")
@@ -100,18 +120,18 @@ def keyed(rules: DataFrame) -> DataFrame:
     return rules.join(rarest.select("tokens", F.col("least.token").alias("token")), "tokens")
 
 
-def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each distinct token set (column tokens) that holds a whole rule, its surest one: tokens, mined.
+def matches(sets: DataFrame, rules: DataFrame, known: DataFrame) -> DataFrame:
+    """For each distinct token set (column tokens) that holds a token of each item of a rule, its surest one: tokens, mined.
 
-    The rules' inverted index, rarest token to rule, is broadcast up to MOST_RULES rules and joined by
-    shuffle beyond; a rule fires for a set that holds all its tokens.
+    The rules' inverted index, rarest item to rule, is broadcast up to MOST_RULES rules and joined by
+    shuffle beyond; a rule fires for a set that holds all its items.
     """
     rules = stored(rules.select("tokens", "confidence"), "pruned")
     index = stored(keyed(rules).select("token", F.col("tokens").alias("needs"), "confidence"), "index")
     index = F.broadcast(index) if index.count() <= MOST_RULES else index.hint("shuffle_merge")
-    hits = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    full = hits.filter(F.size(F.array_except("needs", "tokens")) == 0)
-    return full.groupBy("tokens").agg(F.max(F.struct("confidence", F.concat_ws(" ", "needs").alias("mined"))).alias("best")).select("tokens", "best.mined")
+    full = with_items(sets, known).select("*", F.explode("items").alias("token")).join(index, "token").filter(F.size(F.array_except("needs", "items")) == 0)
+    said = F.array_join(F.array_sort(F.transform("needs", lambda item: F.col("told")[item])), " ")
+    return full.groupBy("tokens").agg(F.max(F.struct("confidence", said.alias("mined"))).alias("best")).select("tokens", "best.mined")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", **limits) -> DataFrame:
@@ -132,7 +152,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RU
     ruled = rows.filter(F.col("fit").isNotNull()).select("tokens", (F.col("fit.verdict") == "block").alias("block"))
     others = rows.filter(F.col("fit").isNull()).join(known, "id").select("tokens", F.col("bad").alias("block"))
     labelled = stored(ruled.unionByName(others).filter(F.col("block").isNotNull() & (F.size("tokens") > 0)), "labelled")
-    mined = stored(matches(rows.filter(F.col("fit").isNull()), mine(labelled, **limits)), "matches") if not labelled.isEmpty() else None
+    mined = None
+    if not labelled.isEmpty():
+        known = items(labelled)
+        mined = stored(matches(rows.filter(F.col("fit").isNull()), mine(labelled, known, **limits), known), "matches")
     if mined is None:
         judged = rows.withColumn("mined", F.lit(None).cast("string"))
     else:

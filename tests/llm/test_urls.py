@@ -1,4 +1,6 @@
+import random
 import re
+from itertools import combinations
 
 from codeatlas.llm import urlrules
 
@@ -55,6 +57,44 @@ def test_rules_of_four_tokens_and_beyond_the_broadcast(spark, monkeypatch):
         assert got[15].mined == "p:aaa p:bbb p:ccc p:ddd"
 
 
+def test_long_urls_that_come_again(spark):
+    """Sixty tokens in five copies of a URL have 2**60 subsets and are one item; a URL that holds one of them is blocked."""
+    long = "http://" + ".".join(f"host{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)) + "/" + "/".join(f"path{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    rows = [(i, long) for i in range(5)] + [(i, f"http://fine{chr(97 + i)}.org/shared") for i in range(5, 20)] + [(90, "http://hostba.org/new"), (91, "http://other.org/shared")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 5), 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlrules.judge_urls(pages, labels).collect()}
+    assert all(got[i].verdict == ("block" if i < 5 else "allow") for i in range(20))
+    assert got[90].verdict == "block" and got[90].mined == "h:hostba" and got[91].verdict == "allow"
+
+
+def test_verdicts_against_all_subsets(spark):
+    """A URL without a given rule is blocked if a subset of its tokens is frequent, sure and better than chance among the labelled ones; some tokens always come together."""
+    rng = random.Random(6)
+    groups = [["aaa", "bbb"], ["ccc"], ["ddd", "eee", "fff"], ["ggg"], ["hhh"]]
+    rows = []
+    for i in range(140):
+        some = [g for g in groups if rng.random() < 0.4]
+        tokens = sorted(t for g in some for t in (g if i < 100 else g[: rng.randrange(len(g) + 1)]))
+        rows.append((i, tokens, int(not ("ccc" in tokens and "aaa" in tokens or "ggg" in tokens and rng.random() < 0.8))))
+    labelled = [(set(t), q == 0) for i, t, q in rows if i < 100 and t]
+    share = sum(b for _, b in labelled) / len(labelled)
+
+    def blocked(tokens):
+        for n in range(1, len(tokens) + 1):
+            for part in combinations(tokens, n):
+                met = [b for t, b in labelled if t.issuperset(part)]
+                if len(met) and sum(met) >= max(5, 0.05 * len(labelled)) and sum(met) / len(met) >= 0.8 and sum(met) / len(met) > share:
+                    return True
+        return False
+
+    pages = spark.createDataFrame([(i, f"x://?{'&'.join(t)}") for i, t, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i < 100], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urlrules.judge_urls(pages, labels, min_support=0.05).collect()}
+    want = {i: "block" if blocked(t) else "allow" for i, t, _ in rows}
+    assert got == want and {"block", "allow"} == {want[i] for i in range(100, 140)}
+
+
 def test_a_rule_needs_several_urls(spark):
     rows = [(i, f"http://s{i}.org/{'bad' if i < 9 else 'good'}{'/x' if i < 4 else ''}/p{chr(97 + i)}q") for i in range(26)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
