@@ -20,10 +20,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANK + "+", " ")
 
 
+def place(docs: DataFrame) -> list[Column]:
+    """file and row of each row of docs, by Spark's own column and not by one of docs that has its name."""
+    where = docs.metadataColumn("_metadata")
+    return [where["file_path"].alias("file"), where["row_index"].alias("row")]
+
+
 def filed(docs: DataFrame) -> DataFrame:
     """docs, if its rows have a place in a Parquet file; else the same rows, written to the shared folder."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
+        docs.select(*place(docs))
     except AnalysisException:
         return stored(docs, "filed")
     return docs
@@ -36,7 +42,7 @@ def digest_of(text: Column) -> Column:
 def feed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What the stream carries of each document: id, content locator (its file and its row in that file) and digest, no text."""
     docs = filed(docs)
-    return docs.select(docs[id_col].alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), digest_of(docs[text_col]).alias("digest"))
+    return docs.select(docs[id_col].alias("id"), *place(docs), digest_of(docs[text_col]).alias("digest"))
 
 
 def first_row() -> Column:
@@ -90,7 +96,8 @@ def earlier_texts(states: DataFrame, rows: DataFrame, text_col: str) -> DataFram
     files = [r[0] for r in met.select("file").distinct().collect()]
     if not files:
         return spark.createDataFrame([], "digest string, t string")
-    texts = spark.read.parquet(*files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(text_col)).alias("t"))
+    read = spark.read.parquet(*files)
+    texts = read.select(*place(read), normalised(read[text_col]).alias("t"))
     return met.join(texts, ["file", "row"]).select("digest", "t")
 
 
@@ -141,7 +148,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         if earlier is not None and not earlier.join(clashing, "digest").isEmpty():
             raise ValueError("a text shares the digest of another one of an earlier run")
-        texts = docs.select(docs[id_col].alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), digest_of(docs[text_col]).alias("digest"), normalised(docs[text_col]).alias("t"))
+        texts = docs.select(docs[id_col].alias("id"), *place(docs), digest_of(docs[text_col]).alias("digest"), normalised(docs[text_col]).alias("t"))
         texts = texts.join(clashing, "digest", "left_semi")
         groups = texts.groupBy("digest", "t").agg(first_row().alias("first"), F.count(F.lit(1)).alias("group_size"))
         named = rows.join(clashing, "digest", "left_anti").join(states, "digest").unionByName(texts.join(groups, ["digest", "t"]).drop("t"))
@@ -153,5 +160,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows whose text an earlier row has; its columns are unchanged."""
     docs = filed(docs)
     gone = exact_groups(docs, id_col, text_col).filter("not kept").select("file", "row")
-    whole = docs.select(F.struct("*").alias("all"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    whole = docs.select(F.struct("*").alias("all"), *place(docs))
     return whole.join(gone, ["file", "row"], "left_anti").select("all.*")

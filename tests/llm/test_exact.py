@@ -88,3 +88,14 @@ def test_two_runs_with_one_state_compare_bytes(spark, tmp_path, monkeypatch):
     exact.exact_groups(table("three", [(1, "a")]), state=forged)
     with pytest.raises(ValueError):
         exact.exact_groups(table("four", [(2, "b")]), state=forged)
+
+
+def test_a_column_that_has_the_name_of_sparks_own(spark, tmp_path):
+    rows = [(3, "same  text", "m"), (1, "same text", "n"), (2, None, "o"), (2, None, "o")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _metadata string")
+    made.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs"))):
+        got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_groups(docs).collect())
+        assert got == [(1, 1, 2, True), (2, 2, 2, False), (2, 2, 2, True), (3, 1, 2, False)]
+        left = exact.drop_copies(docs)
+        assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "same text", "n"), (2, None, "o")]
