@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import discard, scratch, stored
 
-__all__ = ["BLANK", "BLANKS", "WORD", "discard", "n_words", "scratch", "sliced", "stored", "utf8"]
+__all__ = ["BLANK", "BLANKS", "WORD", "discard", "n_words", "scratch", "sliced", "small_batches", "stored", "utf8"]
 
 #: The six ASCII white-space characters that end a word, and a word, as patterns.
 BLANK = r"[\x20\x09-\x0D]"
@@ -25,6 +26,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """What runs inside gives Python that many rows at once: neither side of the pipe holds more. The session's own number comes back afterwards."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

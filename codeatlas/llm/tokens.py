@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stored
+from .common import sliced, small_batches, stored
 
 #: A space between two characters that are not white space: tokens never cross it, so what stands between
 #: two such places is encoded alone. Texts with other runs of white space are cut by the pattern.
@@ -28,10 +28,10 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A piece of letters, perhaps marks, a line end and perhaps letters again: tokens cross none of these borders.
 _STEMS = re.compile(rf"([^\W\d_]*[{_LETTERS}])([{re.escape(_MARKS)}]*)(\n)([^\W\d_]*)")
 #: Encoded pieces in each of a worker's two generations, and the longest piece among them.
-CACHE = 250_000
+CACHE = 400_000
 LONGEST = 48
 #: Bytes of texts that are encoded together, so that a piece in many of them is looked up once.
-TOGETHER = 6_000_000
+TOGETHER = 12_000_000
 #: Most sums of parts and queues that are broadcast; more are joined by shuffle.
 MOST_SUMS = 500_000
 #: Marks the first piece of a text, which no space precedes.
@@ -250,7 +250,8 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", t
         yield from finished(held)
         pa.default_memory_pool().release_unused()
 
-    return stored(dealt.mapInArrow(run, f"part int, id {kind}, queue int, before bigint, n_tokens bigint, ids binary"), "tokens")
+    with small_batches(spark):
+        return stored(dealt.mapInArrow(run, f"part int, id {kind}, queue int, before bigint, n_tokens bigint, ids binary"), "tokens")
 
 
 def placed(tokens: DataFrame) -> tuple[DataFrame, dict[int, int]]:
