@@ -27,6 +27,7 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -35,8 +36,12 @@ TEMPLATES = (
 _PARTS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: A region ends where this many words in a row are in no template.
 GAP = 12
+#: A notice that covers so much of its template, up to its last word, does not compete with others of the same template that begin inside it.
+SURE = 0.95
 #: Words that tell a template from its siblings: all that a template has must be matched, and no RIVALS that it lacks may stand between.
 NAMING = frozenset(b"mit apache general mozilla cc by nc nd sa lesser affero later 1 2 3 4".split())
+#: Those of them that prose holds too: they name a template only if its license's name has them.
+COMMON = frozenset(b"by later 1 2 3 4".split())
 RIVALS = frozenset(b"lesser affero nc nd sa".split())
 
 
@@ -101,16 +106,17 @@ def common(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_with(a: list, b: list, heavy: frozenset) -> list[tuple[int, int]]:
-    """Of the longest common subsequences of two lists one with the most heavy words."""
-    weight = {w: 1 + 1 / (len(b) + 1) * (w in heavy) for w in b}
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    """Of the common subsequences of two lists one with the most heavy words, and of those one of the longest, as pairs of places."""
+    weight = {w: 1 + (len(b) + 1) * (w in heavy) for w in b}
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         row, under = best[i], best[i + 1]
+        same = weight.get(a[i])
         for j in range(len(b) - 1, -1, -1):
-            row[j] = under[j + 1] + weight[b[j]] if a[i] == b[j] else max(under[j], row[j + 1])
+            row[j] = max(under[j + 1] + same, under[j], row[j + 1]) if same and a[i] == b[j] else max(under[j], row[j + 1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + weight[b[j]]:
             out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
@@ -152,7 +158,10 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float = 0.8) -> None:
         self.templates = [(name, words_of(text.encode())) for name, text in templates]
         self.counts = [Counter(words) for _, words in self.templates]
-        self.naming = [Counter(w for w in words if w in NAMING) for _, words in self.templates]
+        own = [set(words_of(name.encode())) for name, _ in templates]
+        self.naming = [Counter(w for w in words if w in NAMING and (w not in COMMON or w in said)) for (_, words), said in zip(self.templates, own)]
+        self.heavy = [frozenset(n) for n in self.naming]
+        self.rivals = [RIVALS - h for h in self.heavy]
         self.need = [math.ceil(least * len(words) - 1e-9) for _, words in self.templates]
         # The first word matched leaves need - 1 words behind it, so it is one of these.
         self.starts = [frozenset(words[: len(words) - need + 1]) for (_, words), need in zip(self.templates, self.need)]
@@ -167,17 +176,20 @@ class Scanner:
     def scan(self, text: bytes) -> list[tuple[int, float, int, int, int]]:
         """(template, coverage, first word, last word, matched words) of every notice that covers enough of its template.
 
-        A region is read once, from left to right. The first notice met competes with those
+        A region is read once, from left to right, and stretches little longer than the template before longer ones. The first notice met competes with those
         that begin inside it: the one with most matched words by coverage stands, what it leaves
         before it is looked over again, and reading goes on behind it.
         """
         words = words_of(text)
         found = []
+        foes = [i for i, w in enumerate(words) if w in RIVALS]
         for places in self.regions(words):
             have = [words[i] for i in places]
             region = Counter(have)
             enough = [k for k, counts in enumerate(self.counts) if len(have) >= self.need[k] and sum(min(n, region[w]) for w, n in counts.items()) >= self.need[k]]
-            runs = sorted((a, k, b) for k in enough for a, b in self._runs(places, have, k))
+            runs = sorted((a, k, b) for k in enough for a, b in self._runs(words, places, have, foes, k))
+            refused: dict[tuple[int, int], int] = {}
+            last_refused: dict[int, tuple[int, int, int]] = {}
             work = [(0, len(have))]
             while work:
                 begin, end = work.pop()
@@ -186,53 +198,79 @@ class Scanner:
                     a, k, b = runs[x]
                     if a >= end or best and a > best[1]:
                         break
-                    pairs = self._pairs(words, places, have, a, min(b, end), k)
-                    if pairs:
-                        cover, first, last = len(pairs) / len(self.templates[k][1]), pairs[0][0], pairs[-1][0]
-                        rank = (len(pairs) * cover, cover, -k, places[first] - places[last], -first)
-                        if best is None or rank > best[2]:
-                            best = (first, last if best is None else max(best[1], last), rank, k, cover, last, len(pairs))
+                    if best and (len(self.templates[k][1]) <= best[2][0] or k == best[3] and best[7]):
+                        continue  # it can win no more
+                    stop = min(b, end)
+                    if refused.get((a, k), -1) >= stop:
+                        continue
+                    before, reach, short = last_refused.get(k, (len(have), 0, 0))
+                    if before <= a and stop - reach < short:  # what lies in a refused stretch is refused, and each further word matches one at most
+                        refused[a, k] = stop
+                        continue
+                    near = bisect_left(places, places[a] + 5 * len(self.templates[k][1]) // 4 + GAP, a, stop)
+                    pairs, short = self._pairs(have, a, near, k)
+                    if not pairs and near < stop:
+                        pairs, short = self._pairs(have, a, stop, k)
+                    if not pairs:
+                        refused[a, k] = stop
+                        last_refused[k] = a, stop, short
+                        continue
+                    cover, first, last = len(pairs) / len(self.templates[k][1]), pairs[0][0], pairs[-1][0]
+                    rank = (len(pairs) * cover, cover, -k, places[first] - places[last], -first)
+                    if best is None or rank > best[2]:
+                        best = (first, last if best is None else max(best[1], last), rank, k, cover, last, len(pairs), cover >= SURE and pairs[-1][1] == len(self.templates[k][1]) - 1)
                 if best:
-                    first, _, _, k, cover, last, n = best
+                    first, _, _, k, cover, last, n, _ = best
                     found.append((k, cover, places[first], places[last], n))
                     work += [(last + 1, end), (begin, first)]
         return sorted(found, key=lambda f: (f[2], f[0]))
 
-    def _runs(self, places: list[int], have: list[bytes], k: int) -> Iterator[tuple[int, int]]:
-        """Stretches of a region to align: from each word that a notice can begin with, as far as one may reach, if enough of its words are in it."""
+    def _runs(self, words: list[bytes], places: list[int], have: list[bytes], foes: list[int], k: int) -> Iterator[tuple[int, int]]:
+        """Stretches of a region to align: from each word that a notice can begin with, as far as one may reach and up to the next rival, if enough of its words are in it."""
         counts, starts, span, need = self.counts[k], self.starts[k], 2 * len(self.templates[k][1]) + GAP, self.need[k]
+        own = [i for i in foes if words[i] in self.rivals[k]]
         inside: Counter = Counter()
-        met = b = 0
+        met = b = foe = 0
         for a, w in enumerate(have):
-            while b < len(have) and places[b] - places[a] < span:
+            while foe < len(own) and own[foe] < places[a]:
+                foe += 1
+            limit = own[foe] if foe < len(own) else len(words)
+            b = max(a, b)
+            while b < len(have) and places[b] - places[a] < span and places[b] < limit:
                 inside[have[b]] += 1
                 met += inside[have[b]] <= counts[have[b]]
                 b += 1
-            if met >= need and w in starts and all(inside[x] >= n for x, n in self.naming[k].items()):
-                yield a, b
-            met -= inside[w] <= counts[w]
-            inside[w] -= 1
-
-    def _pairs(self, words: list[bytes], places: list[int], have: list[bytes], a: int, b: int, k: int) -> list[tuple[int, int]]:
-        """The matched words of a notice that begins at have[a], within have[a:b]: by patience alignment, or where that falls short by the longest common subsequence."""
-        template, need = self.templates[k][1], self.need[k]
+            if b > a:
+                if met >= need and w in starts and all(inside[x] >= n for x, n in self.naming[k].items()):
+                    yield a, b
+                met -= inside[w] <= counts[w]
+                inside[w] -= 1
+
+    def _pairs(self, have: list[bytes], a: int, b: int, k: int) -> tuple[list[tuple[int, int]], int]:
+        """The matched words of a notice within have[a:b]: by patience alignment, or where that falls short by the common subsequence with most naming words, which tells
+        whether there is any. If there is none, how many further words it would take at least."""
+        template, need, naming = self.templates[k][1], self.need[k], self.naming[k]
         stretch = have[a:b]
-        if common_length(stretch, template) < need:
-            return []
-        for way in (align, lambda x, y: common_with(x, y, NAMING)):
-            pairs = way(stretch, template)
-            if len(pairs) < need or Counter(template[j] for _, j in pairs if template[j] in NAMING) != self.naming[k]:
-                continue
-            between = words[places[a + pairs[0][0]] : places[a + pairs[-1][0]] + 1]
-            if any(w in RIVALS and w not in self.naming[k] for w in between):
-                continue
-            return [(a + i, j) for i, j in pairs]
-        return []
+        length = common_length(stretch, template)
+        if length < need:
+            return [], need - length
+        told = lambda pairs: Counter(template[j] for _, j in pairs if template[j] in naming) == naming
+        pairs = align(stretch, template)
+        if len(pairs) < need or not told(pairs):
+            pairs = common_with(stretch, template, self.heavy[k])
+            if not told(pairs):
+                return [], next((i for i in range(b, len(have)) if have[i] in naming), len(have)) - b + 1
+            if len(pairs) < need:
+                return [], need - len(pairs)
+        return [(a + i, j) for i, j in pairs], 0
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find the license notices in every whole text of docs.
 
+    A notice has `least` of a template's words in their order, all words that name it, and no rival's name between them, within a stretch of
+    twice the template's words and GAP more; over GAP words in a row that are in no template end it.
+
     Returns a row per row of docs: id, n_notices, license (that of the notice with most
     matched words, on a tie the greater coverage, then the first; null if none), coverage (matched words by the
     template's), n_matched, first_word and last_word (places of the notice's ends among the
