@@ -33,6 +33,11 @@ def partners(cochanges: DataFrame, k: int = 10, only: DataFrame | None = None) -
     """The k strongest co-change partners of each file (of those in only, column path): path, partner, cochange_count, rank."""
     both = symmetric(cochanges)
     both = both.join(only.select("path").distinct(), "path", "left_semi") if only is not None else both
+    return ranked_partners(both, k)
+
+
+def ranked_partners(both: DataFrame, k: int = 10) -> DataFrame:
+    """The k strongest partners of each file among pairs that are there from either end (path, partner, cochange_count)."""
     order = Window.partitionBy("path").orderBy(F.desc("cochange_count"), "partner")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

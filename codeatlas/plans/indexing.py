@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog, insert_new, upsert
 from ..functions import extract as E
+from ..functions import tables
 from ..functions import text as X
 from ..operators import edges, graph, history, layout, listing, pattern, traces
 from ..shared import scratch, stored
@@ -260,6 +261,16 @@ def trc3_trace_bundle(spark, sf_dir):
     return traces.bundle(B.spans(spark, sf_dir), B.logs(spark, sf_dir), "8")
 
 
+@query("files", SOURCES_SQL + """, found AS (SELECT path, unnest(CASE lang WHEN 'typescript' THEN [internal, symbol, symbol || '.run'] WHEN 'csharp' THEN [symbol, internal] END) AS name,
+        unnest(CASE lang WHEN 'typescript' THEN ['function', 'class', 'method'] WHEN 'csharp' THEN ['class', 'class'] END) AS kind,
+        unnest(CASE lang WHEN 'typescript' THEN [6, 4, 4] WHEN 'csharp' THEN [5, 6] END)::INT AS line FROM sources WHERE lang <> 'python') SELECT * FROM found""")
+def ext1_symbols_in_sql(spark, sf_dir):
+    """Symbols by the table function, from SQL over a view of the files."""
+    tables.register(spark)
+    _sources(spark, sf_dir).createOrReplaceTempView("codeatlas_sources")
+    return spark.sql("SELECT path, name, kind, line FROM file_symbols(TABLE(SELECT path, language, content FROM codeatlas_sources) PARTITION BY path)")
+
+
 @query("files", SOURCES_SQL + ", hits AS (SELECT path, 4::INT AS line, symbol AS name FROM sources WHERE lang = 'typescript' AND regexp_matches(path, '[.](ts|tsx)$') ORDER BY path LIMIT 50) SELECT *, (SELECT count(*) FROM sources WHERE lang = 'typescript' AND regexp_matches(path, '[.](ts|tsx)$')) > 50 AS truncated FROM hits")
 def top8_pattern_limit(spark, sf_dir):
     found = pattern.search(_sources(spark, sf_dir).filter("language = 'typescript'"), "export class $NAME { $$$ }", "typescript")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions import formats
 from ..functions import text as X
+from ..layout import Layout
 from ..operators import graph, history, layout, listing, search, traces
 from ..shared import scratch
 from . import bindings as B
@@ -286,6 +289,31 @@ def snk4_accumulated_stats(spark, sf_dir):
     return history.accumulate(part(rows.filter(F.col("ts") < cut), 0), part(rows.filter(F.col("ts") >= cut), 1)).select("path", "commit_count", "recent_count", "last_modified")
 
 
+# The same joins on tables laid out for them.
+
+
+def _layout(spark, sf_dir) -> Layout:
+    out = Layout(spark, scratch(spark, "layout"), f"parts_{uuid4().hex}", 16)
+    out.write(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir))
+    return out
+
+
+@query("imports", "SELECT f.path, language, array_to_string(exports, ' ') AS exports, count(source_path) AS import_count FROM files f LEFT JOIN imports ON path = source_path GROUP BY ALL")
+def jn1_laid_out(spark, sf_dir):
+    return _layout(spark, sf_dir).files_with_imports().withColumn("exports", F.array_join("exports", " "))
+
+
+@query("full_files", "SELECT path, indegree, commit_count, recent_count, round(hub_score, 6) AS hub_score, is_hub FROM full_files")
+def jn2_laid_out(spark, sf_dir):
+    rows = _layout(spark, sf_dir).with_degrees()
+    return rows.select("path", "indegree", "commit_count", "recent_count", F.round("hub_score", 6).alias("hub_score"), "is_hub")
+
+
+@query("pairs", "SELECT path, partner, cochange_count, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY cochange_count DESC, partner) AS r FROM pairs) WHERE r <= 5")
+def win2_laid_out(spark, sf_dir):
+    return _layout(spark, sf_dir).partners(5).withColumn("rank", F.col("rank").cast("long"))
+
+
 # Listings.
 
 

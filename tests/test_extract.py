@@ -228,8 +228,10 @@ def test_pattern_details(spark, wanted, source, want):
 
 def test_csharp_patterns(spark):
     source = """using System; // class No {}
+#if DEBUG
 namespace App.Core
 {
+    #region class Nor {}
     [Serializable]
     public sealed class Store : Base
     {

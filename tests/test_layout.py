@@ -1,0 +1,95 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeatlas.functions import extract as E
+from codeatlas.functions import tables
+from codeatlas.functions import tree as T
+from codeatlas.layout import Layout
+from codeatlas.operators import graph, listing, pattern
+from codeatlas.sources import files as S
+
+
+@pytest.fixture
+def laid(spark, tmp_path):
+    n = 200
+    files = spark.range(n).select(F.format_string("f%03d.ts", "id").alias("path"), F.lit("typescript").alias("language"), F.array(F.lit("x")).alias("exports"))
+    imports = spark.range(n * 4).select(F.format_string("f%03d.ts", F.col("id") % n).alias("source_path"), F.format_string("f%03d.ts", F.col("id") * 7 % 31).alias("target_path")).distinct()
+    stats = spark.range(0, n, 3).select(F.format_string("f%03d.ts", "id").alias("path"), F.col("id").alias("commit_count"), (F.col("id") % 5).alias("recent_count"))
+    pairs = spark.range(500).select(F.format_string("f%03d.ts", F.col("id") % 60).alias("path_a"), F.format_string("f%03d.ts", 60 + F.col("id") * 3 % 77).alias("path_b"), (F.col("id") % 9).alias("cochange_count")).dropDuplicates(["path_a", "path_b"])
+    out = Layout(spark, f"file://{tmp_path}", "laid_test", 8)
+    out.write(files, imports, stats, pairs)
+    yield out, files, imports, stats, pairs
+    out.drop()
+
+
+def shown(df):
+    return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+
+def exchanges(spark, df):
+    """Shuffles of the plan as it was made, by their keys."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_joins_by_path_need_no_shuffle(spark, laid):
+    out, files, imports, stats, pairs = laid
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got, want in (
+            (out.files_with_imports(), listing.files_with_imports(files, imports)),
+            (out.with_degrees(), graph.with_degrees(files, imports, stats)),
+            (out.partners(3), graph.partners(pairs, 3)),
+            (out.indegrees(), graph.indegrees(imports)),
+        ):
+            assert exchanges(spark, got) == [] and exchanges(spark, want)
+            assert shown(got) == shown(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tables_are_written_anew_and_forgotten(spark, laid):
+    out, files, imports, stats, pairs = laid
+    out.write(files.limit(5), imports.limit(0), stats.limit(0), pairs.limit(0))
+    assert out.files_with_imports().count() == 5 and out.partners().count() == 0
+    out.drop()
+    assert not spark.catalog.tableExists("laid_test_files")
+    with pytest.raises(ValueError):
+        Layout(spark, "/x", "no name; DROP")
+
+
+GO = 'package main\n\n// func No() {}\nfunc Add(a int, b int) int {\n\treturn a + b\n}\n\ntype Point struct {\n\tX int\n}\n\nfunc (p Point) Size() int { s := `func raw() {`; return p.X }\n'
+
+
+@pytest.fixture
+def go(monkeypatch):
+    """A language that the library does not know, registered as a user would."""
+    monkeypatch.setattr(pattern, "PATHS", dict(pattern.PATHS))
+    monkeypatch.setattr(T, "GRAMMARS", dict(T.GRAMMARS))
+    monkeypatch.setattr(E, "_LANGUAGES", dict(E._LANGUAGES))
+    grammar = T.Grammar(templates=True, declares={"func": "function", "type": "type"})
+    pattern.add_language("go", r"\.go$", grammar)
+    E.register(E.Language(("go",), exports=lambda t: E.found(t, r"(?m)^func\s+([A-Z]\w*)"), imports=lambda t: E.found(t, r'"([^"]+)"')))
+
+
+def test_a_language_of_the_user_s(spark, go):
+    rows = spark.createDataFrame([("main.go", "go", GO), ("x.py", "python", GO)], "path string, language string, content string")
+    got = pattern.search(rows, "func $F($$$) int { $$$ }", "go").collect()
+    assert [(r.path, r.line, r.captures["F"]) for r in got] == [("main.go", 4, "Add")]  # a method has its receiver before its name
+    meta = {r.path: r for r in S.extract_metadata(rows, "r").collect()}
+    assert list(meta["main.go"].exports) == ["Add"] and list(meta["x.py"].exports) == []
+    tables.register(spark)
+    rows.createOrReplaceTempView("go_files")
+    found = spark.sql("SELECT * FROM file_symbols(TABLE(SELECT path, language, content FROM go_files) PARTITION BY path) ORDER BY line")
+    assert [(r.path, r.name, r.kind, r.line) for r in found.collect()] == [("main.go", "Add", "function", 4), ("main.go", "Point", "type", 8)]
+
+
+def test_nodes_in_sql(spark):
+    rows = spark.createDataFrame([("a.ts", "typescript", "f(1)"), ("b.cs", "csharp", "class A { }"), ("c", None, "x"), ("d.ts", "typescript", None)], "path string, language string, content string")
+    tables.register(spark)
+    rows.createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT path, count(*) AS n, max(last) AS last FROM syntax_nodes(TABLE(SELECT * FROM some_files) PARTITION BY path) GROUP BY path ORDER BY path").collect()
+    want = T.nodes(rows.filter("path = 'a.ts'"), "typescript").count()
+    assert [(r.path, r["last"] + 1) for r in got] == [("a.ts", want), ("b.cs", got[1].n)] and got[0].n == want
