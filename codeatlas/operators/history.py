@@ -41,11 +41,13 @@ def accumulate(old: DataFrame, new: DataFrame) -> DataFrame:
     return parts.groupBy("path").agg(F.sum("commit_count").alias("commit_count"), F.sum("recent_count").alias("recent_count"), F.max("last_modified").alias("last_modified"))
 
 
-def cochanges_of(changes: DataFrame, path: str) -> DataFrame:
-    """The pairs of cochanges() that hold one file, from the commits that it is in alone."""
-    own = changes.filter(F.col("path") == path).select("hash").distinct()
+def cochanges_of(changes: DataFrame, paths: str | DataFrame) -> DataFrame:
+    """The pairs of cochanges() that hold a file, or one of some files (column path), from the commits that they are in alone."""
+    some = changes.sparkSession.createDataFrame([(paths,)], "path string") if isinstance(paths, str) else paths.select("path").distinct()
+    own = changes.join(some, "path", "left_semi").select("hash").distinct()
     pairs = cochanges(changes.join(own, "hash", "left_semi"))
-    return pairs.filter((F.col("path_a") == path) | (F.col("path_b") == path))
+    near = [pairs.join(some.select(F.col("path").alias(end)), end, "left_semi").select("path_a", "path_b", "cochange_count") for end in ("path_a", "path_b")]
+    return near[0].unionByName(near[1]).distinct()
 
 
 def accumulate_pairs(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -49,6 +49,26 @@ def placed(layered: DataFrame, imports: DataFrame, most: int = 40) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
+#: How far layers, rows of a layer and files of a row are apart, and files in a row.
+LAYER_HEIGHT, ROW_HEIGHT, SPACING, PER_ROW = 90, 28, 28, 40
+
+
+def coordinates(rows: DataFrame, per_row: int = PER_ROW) -> DataFrame:
+    """rows of placed() with x and y: a layer's files in rows of per_row, each row centred, layers from top to bottom and lower by the rows of those above.
+
+    What a layer's rows come to is a table of a row per layer; only that is summed from layer to layer.
+    """
+    place = F.col("place") - 1
+    sizes = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("size"))
+    more = (F.ceil(F.col("size") / per_row) - 1) * ROW_HEIGHT
+    above = F.coalesce(F.sum(more).over(Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sizes.withColumn("top", F.col("layer") * LAYER_HEIGHT + above)
+    out = rows.join(F.broadcast(tops), "layer")  # a row per layer, of which there are no more than the longest chain of imports
+    line = F.floor(place / per_row)
+    wide = F.least(F.lit(per_row), F.col("size") - line * per_row) - 1
+    return out.select(*rows.columns, ((place % per_row) * SPACING - wide * SPACING / 2).alias("x"), (F.col("top") + line * ROW_HEIGHT).cast("double").alias("y"))
+
+
 def chains(files: DataFrame) -> DataFrame:
     """path, next_path: each file and the one after it in its directory, by path."""
     follows = F.lead("path").over(Window.partitionBy(X.dir_path(F.col("path"))).orderBy("path"))

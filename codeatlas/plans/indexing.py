@@ -350,20 +350,40 @@ def cmp13_incremental_index(spark, sf_dir):
     return store.read("file_metadata", repo).select("path", "language", F.array_join("exports", " ").alias("exports"))
 
 
+#: Imports from a key to one of a smaller remainder: no file is on a cycle.
+ACYCLIC_SQL = """, edges AS (SELECT DISTINCT a.path AS source_path, b.path AS target_path FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 8 > l_suppkey % 8) e
+            JOIN files a ON a.p_partkey = e.l_partkey JOIN files b ON b.p_partkey = e.l_suppkey),
+        walk AS (SELECT path, 0 AS layer FROM files WHERE path NOT IN (SELECT target_path FROM edges) UNION SELECT target_path, layer + 1 FROM walk JOIN edges ON source_path = path),
+        layers AS (SELECT path, max(layer)::INT AS layer FROM walk GROUP BY path)"""
+
+
+def _acyclic(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    keys = B.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").filter("l_partkey % 8 > l_suppkey % 8").distinct()
+    paths = B.files(spark, sf_dir).select("p_partkey", "path")
+    edges_ = keys.join(paths.toDF("l_partkey", "source_path"), "l_partkey").join(paths.toDF("l_suppkey", "target_path"), "l_suppkey").select("source_path", "target_path")
+    return layout.layers(paths.select("path"), edges_, stored), edges_
+
+
+@query("files", ACYCLIC_SQL + " SELECT path, layer FROM layers", recursive=True)
+def cmp14_acyclic_layers(spark, sf_dir):
+    """Layers by longest path where no file is on a cycle: imports from a key to one of a smaller remainder."""
+    return _acyclic(spark, sf_dir)[0]
+
+
 @query(
     "files",
-    """, edges AS (SELECT DISTINCT a.path AS source_path, b.path AS target_path FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 8 > l_suppkey % 8) e
-            JOIN files a ON a.p_partkey = e.l_partkey JOIN files b ON b.p_partkey = e.l_suppkey),
-        walk AS (SELECT path, 0 AS layer FROM files WHERE path NOT IN (SELECT target_path FROM edges) UNION SELECT target_path, layer + 1 FROM walk JOIN edges ON source_path = path)
-        SELECT path, max(layer)::INT AS layer FROM walk GROUP BY path""",
+    ACYCLIC_SQL
+    + """, ends AS (SELECT path, count(*) AS degree FROM (SELECT source_path AS path FROM edges UNION ALL SELECT target_path FROM edges) GROUP BY path),
+        ranks AS (SELECT path, layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(degree, 0) DESC, path) - 1 AS i FROM layers LEFT JOIN ends USING (path)),
+        drawn AS (SELECT * FROM ranks WHERE i < 100), sizes AS (SELECT layer, count(*) AS n FROM drawn GROUP BY layer),
+        tops AS (SELECT layer, n, layer * 90 + coalesce(sum((n + 39) // 40 - 1) OVER (ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 28 AS top FROM sizes)
+        SELECT path, layer, (i % 40) * 28 - (least(40, n - i // 40 * 40) - 1) * 14.0 AS x, (top + i // 40 * 28)::DOUBLE AS y FROM drawn JOIN tops USING (layer)""",
     recursive=True,
 )
-def cmp14_acyclic_layers(spark, sf_dir):
-    """Layers by longest path where no file is on a cycle: imports from a key to one of a smaller remainder."""
-    keys = B.table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").filter("l_partkey % 8 > l_suppkey % 8").distinct()
-    paths = B.files(spark, sf_dir).select("p_partkey", "path")
-    edges_ = keys.join(paths.toDF("l_partkey", "source_path"), "l_partkey").join(paths.toDF("l_suppkey", "target_path"), "l_suppkey")
-    return layout.layers(paths.select("path"), edges_, stored)
+def cmp14_coordinates(spark, sf_dir):
+    """Where the busiest hundred files of each layer are drawn, in rows of forty."""
+    layered, edges_ = _acyclic(spark, sf_dir)
+    return layout.coordinates(layout.placed(layered, edges_, 100)).select("path", "layer", "x", "y")
 
 
 @query("spans", "SELECT span_id, extent_ms FROM (SELECT span_id, max(started_ms + duration_ms) OVER (PARTITION BY trace_id) - min(started_ms) OVER (PARTITION BY trace_id) AS extent_ms FROM spans)")

@@ -92,7 +92,7 @@ def top1_single_term(spark, sf_dir):
         FROM (SELECT *, unnest(string_split(matched, ' ')) AS term FROM ranked) LEFT JOIN near USING (path) LEFT JOIN who USING (path)""",
 )
 def cmp2_search(spark, sf_dir):
-    rows = search.search(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), B.cochanges(spark, sf_dir), "|".join(TERMS))
+    rows = search.search(B.files(spark, sf_dir), B.imports(spark, sf_dir), B.stats(spark, sf_dir), None, "|".join(TERMS), changes=B.changes(spark, sf_dir))
     near = F.array_join(F.transform("cochange_partners", lambda p: F.concat_ws(":", p["partner"], p["cochange_count"].cast("string"))), ",")
     return rows.select("term", "path", F.round("score", 6).alias("score"), F.coalesce(F.array_join("importers", ","), F.lit("")).alias("importers"), F.coalesce(near, F.lit("")).alias("partners"))
 

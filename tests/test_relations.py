@@ -119,6 +119,13 @@ def test_layers(spark, tmp_path):
     assert all(r.place <= 1 for r in layout.placed(layout.layers(nodes, edges, table), edges, 1).collect())
 
 
+def test_coordinates(spark):
+    rows = [(f"{layer}-{i}", layer, i, i + 1) for layer, n in ((0, 3), (1, 5), (3, 1)) for i in range(n)]
+    got = {r.path: (r.x, r.y) for r in layout.coordinates(spark.createDataFrame(rows, "path string, layer int, degree long, place int"), 2).collect()}
+    assert [got[f"0-{i}"] for i in range(3)] == [(-14.0, 0.0), (14.0, 0.0), (0.0, 28.0)]
+    assert got["1-0"] == (-14.0, 118.0) and got["1-4"] == (0.0, 174.0) and got["3-0"] == (0.0, 270.0 + 28 + 56)
+
+
 def span(i, trace, parent, start, duration=5.0, name="n", source="cli"):
     return (f"{trace}{i}", trace, None if parent is None else f"{trace}{parent}", name, source, start, duration)
 
@@ -226,6 +233,8 @@ def test_pairs_of_one_file_and_added_pairs(spark):
     both = history.cochanges(changes)
     own = {tuple(r) for r in history.cochanges_of(changes, "src/b.ts").collect()}
     assert own == {tuple(r) for r in both.filter("path_a = 'src/b.ts' or path_b = 'src/b.ts'").collect()} and own
+    some = spark.createDataFrame([("src/a.ts",), ("src/c.ts",), ("none",)], "path string")
+    assert {tuple(r) for r in history.cochanges_of(changes, some).collect()} == {tuple(r) for r in both.filter("path_a in ('src/a.ts', 'src/c.ts') or path_b in ('src/a.ts', 'src/c.ts')").collect()}
     assert {r.cochange_count for r in history.accumulate_pairs(both, both).collect()} == {2, 4}
 
 
