@@ -91,6 +91,25 @@ def _own_keys(segments: tuple) -> Column:
     return F.array(*parts)
 
 
+def _other_bits(segments: tuple) -> list[list[int]]:
+    """For each segment the bits outside it, in DISTANCE + 1 runs as masks (signed longs): fingerprints that are near agree in one run at least."""
+    out = []
+    for first, width, _ in segments:
+        bits = [b for b in range(64) if not first <= b < first + width]
+        runs = np.array_split(bits, DISTANCE + 1)
+        out.append([int(np.array(sum(1 << int(b) for b in run), np.uint64).view(np.int64)) for run in runs])
+    return out
+
+
+def _second(fp: Column, key: Column, segments: tuple) -> Column:
+    """Where a fingerprint stands in the second table of a crowded bucket: run and its bits, for each run of bits outside the bucket's segment."""
+    out = F.lit(None).cast("array<struct<run:int,bits:bigint>>")
+    for k, masks in enumerate(_other_bits(segments)):
+        runs = F.array(*(F.struct(F.lit(i).alias("run"), fp.bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)))
+        out = F.when(F.shiftrightunsigned(key, 32) == k, runs).otherwise(out)
+    return out
+
+
 def cell_links(left: np.ndarray, right: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Stars that connect what the pairs within distance of left x right connect, in few rows."""
     left, right = np.unique(left), np.unique(right)
@@ -113,10 +132,11 @@ def links(points: DataFrame) -> DataFrame:
     """Edges u, v over the distinct fingerprints of points (column fp) whose components are those of all pairs within DISTANCE.
 
     Each fingerprint is in the table of each segment once and looks up its half balls there; a
-    match counts if the whole fingerprints are near. Buckets of over COLD entries, and those
-    that such a bucket's entries look up, are dealt out: entries and probes in cells of about
-    CELL x CELL, which find their pairs apart and return stars. So a bucket's rows stay in
-    proportion to its members, on either side.
+    match counts if the whole fingerprints are near: 42 look-ups at most a fingerprint up to 2**27 of them, 280 or so beyond. Buckets of
+    over COLD entries, and those that such a bucket's entries look up, get a second table: near fingerprints
+    agree in one of DISTANCE + 1 runs of the bits outside the segment, so entries and probes stand there
+    once for each run, in buckets some 2**8 times smaller, dealt in cells of about CELL x CELL that find their pairs apart and return
+    stars. So a bucket's rows grow with its members, unless these agree in most other bits too.
     """
     segments = _segments(points.count())
     table = points.select("fp", F.explode(_own_keys(segments)).alias("key"))
@@ -131,24 +151,28 @@ def links(points: DataFrame) -> DataFrame:
     come = full.select("key", F.col("n").alias("probes")).unionByName(full.select(F.explode(_neighbours(F.col("key"), segments)).alias("key"), F.col("n").alias("probes")))
     come = come.groupBy("key").agg(F.sum("probes").alias("probes"))
     sizes = table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(come, "key")
-    crowded = stored(sizes.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("rows"), F.ceil(F.col("probes") / CELL).cast("int").alias("columns")), "cells")
-    names = crowded.select("key")
+    names = stored(sizes.select("key"), "cells")
     cold = table.join(names, "key", "left_anti").join(probe, "key").filter(found).select(pairs)
+    second = ["key", "run", "bits"]
+
+    def spread(rows: DataFrame, fp: str) -> DataFrame:
+        return rows.join(names, "key").select("key", F.col(fp).alias("fp"), F.inline(_second(F.col(fp), F.col("key"), segments)))
 
-    def dealt(fp: str, blocks: str) -> Column:
-        return F.pmod(F.xxhash64(fp), F.col(blocks)).cast("int")
+    entries, probes = spread(table, "fp"), spread(probe, "fp2")
+    number = lambda rows, name: rows.groupBy(*second).agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(name))
+    crowded = stored(number(entries, "rows").join(number(probes, "columns"), second), "second")
 
-    def all_of(blocks: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    def dealt(rows: DataFrame, own: str, across: str, mine: str, others: str) -> DataFrame:
+        block, every = F.pmod(F.xxhash64("fp"), F.col(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        return rows.join(crowded, second).select(*(F.col(c).alias(c) for c in second), "fp", block.alias(own), every.alias(across))
 
-    hot_table = table.join(crowded, "key").select("key", "fp", dealt("fp", "rows").alias("i"), all_of("columns").alias("j"))
-    hot_probe = probe.join(crowded, "key").select(F.col("key").alias("key"), F.col("fp2").alias("fp"), dealt("fp2", "columns").alias("j"), all_of("rows").alias("i"))
+    hot_table, hot_probe = dealt(entries, "i", "j", "rows", "columns"), dealt(probes, "j", "i", "columns", "rows")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         stars = cell_links(left["fp"].to_numpy(np.int64), right["fp"].to_numpy(np.int64))
         return pd.DataFrame(stars, columns=["u", "v"], dtype="int64")
 
-    cells = ["key", "i", "j"]
+    cells = [*second, "i", "j"]
     hot = hot_table.groupBy(*cells).cogroup(hot_probe.groupBy(*cells)).applyInPandas(cell, "u bigint, v bigint")
     return cold.unionByName(hot)
 
