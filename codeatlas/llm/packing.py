@@ -147,7 +147,7 @@ def with_queues(docs: DataFrame, columns: dict[str, Column], source: Column, mos
     return rows.withColumn("queue", queue).drop("source"), F.col("queue"), ranked
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, ids: bool = False, parts: int | None = None, weights: dict | None = None, quantum: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length: int = LENGTH, ids: bool = False, parts: int | None = None, weights: dict | None = None, quantum: int | None = None) -> DataFrame:
     """Pack all rows of docs into sequences of length ids; every sequence holds each source in its target proportion.
 
     Returns a row per piece: id, start (the document's ids before it), length, ids_crc32,
@@ -158,14 +158,15 @@ def pack(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text
 
     weights gives the target of each source (by default the number of its ids, so that all
     sources end together); a source that ends early leaves its part to the others. quantum is
-    the number of ids a source gives at least when its turn comes (see Rounds).
+    the number of ids a source gives at least when its turn comes (see Rounds); by default it is twice the number of
+    sources, up to length, so that documents fall into few pieces however many sources share the windows.
     """
     spark = docs.sparkSession
     rows, queue, sources = with_queues(docs, {"id": docs[id_col], "text": docs[text_col]}, docs[source_col])
     tokens = encoded(rows, tokenizer, end, "id", "text", queue=queue, parts=parts)
     rows, totals = placed(tokens)
     goal = [weights[s] for s in sources] if weights else None
-    rounds = Rounds([totals.get(q, 0) for q in range(len(sources))], length, goal, quantum)
+    rounds = Rounds([totals.get(q, 0) for q in range(len(sources))], length, goal, quantum or max(1, min(length, 2 * len(sources))))
     shared = spark.sparkContext.broadcast(rounds)
     kind = rows.schema["id"].dataType.simpleString()
 

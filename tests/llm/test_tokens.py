@@ -201,3 +201,16 @@ def test_weights_by_source(spark):
     for g in got:
         share[g.sequence_id][g.queue] += g.length
     assert all(abs(share[s][1] - 96) <= 3 for s in range(20)) and share[max(share) - 1][1] == 0
+
+
+def test_pieces_do_not_grow_with_the_sources():
+    """Documents of 400 ids in up to 2,000 sources, with the default quantum."""
+    for n in (1, 20, 200, 2000):
+        each = max(1, 4000 // n)
+        rounds = packing.Rounds([each * 400] * n, quantum=max(1, min(packing.LENGTH, 2 * n)))
+        q, place = np.repeat(np.arange(n), each), np.tile(np.arange(each) * 400, n)
+        doc, start, size, window, offset = rounds.pieces(q, place, np.full(n * each, 400))
+        assert size.sum() == n * each * 400 and len(size) <= 10 * n * each
+        ends = np.sort(window * packing.LENGTH + offset)
+        order = np.argsort(window * packing.LENGTH + offset)
+        assert (np.append(0, np.cumsum(size[order]))[:-1] == ends).all()  # gapless
