@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeatlas.operators import traces
-from codeatlas.streaming.traces import DAY, TraceStore
+from codeatlas.streaming.traces import DAY, TraceStore, rates
 
 SPAN = "span_id string, trace_id string, parent_span_id string, name string, source string, started_ms bigint, duration_ms double"
 LOG = "trace_id string, span_id string, level string, message string, timestamp_ms bigint"
@@ -129,3 +129,9 @@ def test_payloads_are_kept(spark, tmp_path):
     run(spark, store, source, tmp_path / "c", schema=schema)
     got = {r.span_id: r for r in store.spans().withColumn("x", F.lit(1)).collect()}
     assert got["a"].input_size == 2**60 + 1 and got["a"].input == "text" and got["b"].duration_ms is None and got["b"].output is None
+
+
+def test_rates_by_window(spark):
+    rows = [("a", "t", None, "x", "cli", 0, 1.0, None), ("b", "t", None, "x", "cli", 299_999, 3.0, "e"), ("c", "t", None, "x", "cli", 300_000, 5.0, None), ("d", "t", None, "y", "cli", 1, None, None)]
+    got = rates(spark.createDataFrame(rows, SPAN + ", error_message string")).collect()
+    assert {(r.window.start.timestamp(), r.name): (r.spans, r.errors, r.mean_ms) for r in got} == {(0.0, "x"): (2, 1, 2.0), (300.0, "x"): (1, 0, 5.0), (0.0, "y"): (1, 0, None)}
