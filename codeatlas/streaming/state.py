@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -117,3 +119,7 @@ def traced(stream: DataFrame, known: DataFrame, lateness: str) -> DataFrame:
     columns = StructType.fromDDL(SPANS).names
     timed = stream.withColumn("event_time", F.timestamp_millis("started_ms")).withWatermark("event_time", lateness)
     return timed.groupBy("trace_id").transformWithState(TraceState(columns), CHANGES, "Update", "EventTime", initialState=known.groupBy("trace_id"))
+
+
+# Spark prepares the processor in a Python process of the driver that may not have this package on its path, so its classes travel whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
