@@ -47,8 +47,8 @@ class TraceState(StatefulProcessor):
     the trace is said once more, as settled, and its state goes.
     """
 
-    def __init__(self, columns: list[str]) -> None:
-        self.columns = columns
+    def __init__(self, columns: list[str], settles: bool = True) -> None:
+        self.columns, self.settles = columns, settles
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -74,6 +74,7 @@ class TraceState(StatefulProcessor):
             now = *root, _of(min, now[6], span.started_ms), _of(max, now[7], end), _of(max, now[8], span.started_ms)
         if new:
             self.trace.update(now)
+        if new and self.settles:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(now[8] or 0)
@@ -111,12 +112,15 @@ def _of(choose, a, b):
     return b if a is None else a if b is None else choose(a, b)
 
 
-def traced(stream: DataFrame, known: DataFrame, lateness: str) -> DataFrame:
+def traced(stream: DataFrame, known: DataFrame, lateness: str | None) -> DataFrame:
     """CHANGES that a stream of spans makes; known are the spans that a new state begins with.
 
-    Spans that started lateness before the latest one come too late and are left out.
+    Spans that started lateness before the latest one come too late and are left out. Without a lateness no span is too
+    late, no trace is ever settled, and all state stays.
     """
     columns = StructType.fromDDL(SPANS).names
+    if lateness is None:
+        return stream.groupBy("trace_id").transformWithState(TraceState(columns, False), CHANGES, "Update", "None", initialState=known.groupBy("trace_id"))
     timed = stream.withColumn("event_time", F.timestamp_millis("started_ms")).withWatermark("event_time", lateness)
     return timed.groupBy("trace_id").transformWithState(TraceState(columns), CHANGES, "Update", "EventTime", initialState=known.groupBy("trace_id"))
 

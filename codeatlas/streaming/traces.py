@@ -89,8 +89,11 @@ class TraceStore:
             system.mkdirs(folder)
         return int(known[own])
 
-    def ingest(self, stream: DataFrame, name: str, checkpoint: str, every: str | None = None, lateness: str = f"{T.RETENTION_DAYS} days") -> StreamingQuery:
-        """Write a stream of spans or logs: all that is there and then stop, or every so often without an end."""
+    def ingest(self, stream: DataFrame, name: str, checkpoint: str, every: str | None = None, lateness: str | None = f"{T.RETENTION_DAYS} days") -> StreamingQuery:
+        """Write a stream of spans or logs: all that is there and then stop, or every so often without an end.
+
+        Spans that started lateness before the latest one come too late; with None, as for a store that takes in old spans in any order, none does.
+        """
         first = self._stream(checkpoint) << 40
 
         def logged(rows: DataFrame, n: int) -> None:

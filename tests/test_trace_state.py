@@ -135,3 +135,15 @@ def test_rates_by_window(spark):
     rows = [("a", "t", None, "x", "cli", 0, 1.0, None), ("b", "t", None, "x", "cli", 299_999, 3.0, "e"), ("c", "t", None, "x", "cli", 300_000, 5.0, None), ("d", "t", None, "y", "cli", 1, None, None)]
     got = rates(spark.createDataFrame(rows, SPAN + ", error_message string")).collect()
     assert {(r.window.start.timestamp(), r.name): (r.spans, r.errors, r.mean_ms) for r in got} == {(0.0, "x"): (2, 1, 2.0), (300.0, "x"): (1, 0, 5.0), (0.0, "y"): (1, 0, None)}
+
+
+def test_traces_of_many_weeks_in_any_order_are_whole(spark, tmp_path):
+    """conv_id counts minutes, so a table of many conversations spans weeks, and its files are not in order of time."""
+    week = 7 * DAY
+    rows = [(f"{t}-{i}", f"t{t}", f"{t}-0" if i else None, f"n{i}", "cli", NOW + t * week + i, 1.0) for t in range(5) for i in range(3)]
+    for part in (rows[12:], rows[:5], rows[9:12], rows[5:9]):
+        feed(spark, tmp_path / "in", part)
+    store = TraceStore(spark, str(tmp_path / "store"))
+    for checkpoint in ("c", "d"):
+        run(spark, store, tmp_path / "in", tmp_path / checkpoint, lateness=None)
+        assert shown(store.traces()) == shown(traces.roll_up(spark.createDataFrame(rows, SPAN))) and store.spans().count() == len(rows)
