@@ -24,9 +24,11 @@ class Layout:
             raise ValueError(f"not a name for tables: {name}")
         self.spark, self.root, self.name, self.buckets = spark, root.rstrip("/"), name, buckets
 
-    def write(self, files: DataFrame, imports: DataFrame, stats: DataFrame, cochanges: DataFrame) -> None:
+    def write(self, files: DataFrame, imports: DataFrame, stats: DataFrame, cochanges: DataFrame, tables: tuple[str, ...] = tuple(TABLES)) -> None:
+        """Write the tables, or some of them alone: what is asked of one needs no other to be worked out."""
         rows = {"files": files, "imports_by_source": imports, "imports_by_target": imports, "stats": stats, "partners": graph.symmetric(cochanges)}
-        for table, key in self.TABLES.items():
+        for table in tables:
+            key = self.TABLES[table]
             dealt = rows[table].repartition(self.buckets, key)  # a bucket is written by one task, as one sorted file
             dealt.write.bucketBy(self.buckets, key).sortBy(key).mode("overwrite").option("path", f"{self.root}/{table}").saveAsTable(f"{self.name}_{table}")
 

@@ -60,6 +60,16 @@ def test_tables_are_written_anew_and_forgotten(spark, laid):
         Layout(spark, "/x", "no name; DROP")
 
 
+def test_tables_that_are_not_asked_for_are_not_worked_out(spark, laid, tmp_path):
+    _, files, imports, stats, pairs = laid
+    some = Layout(spark, f"file://{tmp_path}/some", "laid_some", 8)
+    broken = pairs.select("path_a", "path_b", F.raise_error(F.lit("read")).cast("bigint").alias("cochange_count"))
+    some.write(files, imports, stats, broken, ("files", "imports_by_source"))
+    assert shown(some.files_with_imports()) == shown(listing.files_with_imports(files, imports))
+    assert not spark.catalog.tableExists("laid_some_partners")
+    some.drop()
+
+
 GO = 'package main\n\n// func No() {}\nfunc Add(a int, b int) int {\n\treturn a + b\n}\n\ntype Point struct {\n\tX int\n}\n\nfunc (p Point) Size() int { s := `func raw() {`; return p.X }\n'
 
 
