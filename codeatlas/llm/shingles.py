@@ -1,4 +1,4 @@
-"""Near copies by their shingle sets: candidates from MinHash bands, each pair verified on both whole sets."""
+"""Near copies by their shingle sets: candidates from SimHash fingerprints and from MinHash bands, each pair verified on both whole sets."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from xxhash import xxh3_128_digest
 
 from .common import sliced, stored, utf8
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import fingerprint, links, shingle_hashes
 
 #: BANDS keys of ROWS minima each: two sets of similarity s share no key with probability (1 - s**4)**24,
 #: 3 in a million at 0.8 and less above.
@@ -49,7 +49,7 @@ def _digest(text: bytes) -> bytes:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, digest of the words, size of the shingle set and band keys for every row of docs."""
+    """id, digest of the words, size of the shingle set, band keys and SimHash fingerprint for every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,9 +57,23 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
             texts = [t or b"" for t in utf8(b.column(1))]
             sets = [shingle_set(t, shingle) for t in texts]
             columns = [b.column(0), pa.array(map(_digest, texts), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "keys"])
+            columns.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "n", "keys", "fp"])
 
-    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, digest binary, n bigint, keys array<bigint>")
+    return docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"id {kind}, digest binary, n bigint, keys array<bigint>, fp bigint")
+
+
+def simhash_pairs(points: DataFrame) -> DataFrame:
+    """Pairs u < v of digests (of points: digest, fp) that SimHash's links at 4 bits propose.
+
+    Each text of a fingerprint is paired with the first of them, and the first ones of linked fingerprints with each
+    other, so there are no more pairs than texts and links. A pair may come more than once.
+    """
+    heads = stored(points.groupBy("fp").agg(F.min("digest").alias("head")), "fingerprints")
+    alike = points.join(heads, "fp").filter(F.col("digest") != F.col("head")).select(F.col("head").alias("u"), F.col("digest").alias("v"))
+    ends = [heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head")) for end in ("u", "v")]
+    linked = links(heads.select("fp")).join(ends[0], "u").join(ends[1], "v")
+    return alike.unionByName(linked.select(F.least("u_head", "v_head").alias("u"), F.greatest("u_head", "v_head").alias("v")))
 
 
 def _contents(docs: DataFrame, text_col: str) -> DataFrame:
@@ -138,13 +152,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one shingle. Null texts count as empty; texts without words are linked with each other alone; a
     null id is never the smallest unless the component has no other; repeated rows are in one component.
 
+    SimHash proposes the pairs of fingerprints within 4 bits. At a similarity of 0.8 fingerprints differ in more, so MinHash bands
+    propose the others.
     Pairs of buckets of up to COLD members are verified one by one. In larger buckets all
     members meet the one that shares most buckets with others; then those that this left out
     of the bucket's largest component meet all members, in cells of CELL x CELL, and rows
     that are linked already are not compared. So the rows that move are in proportion to the members.
     """
     rows = stored(_sketches(docs, id_col, text_col, shingle), "sketches")
-    points = stored(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")), "points")
+    points = stored(rows.groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "points")
     table = points.select("digest", "n", F.explode("keys").alias("key"))
     shared = table.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = stored(table.join(shared, "key"), "members")
@@ -155,7 +171,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cold = members.filter(F.col("members") <= COLD).select("key", "digest", "n")
     alike = F.least("n", "n2") + F.lit(1e-9) >= F.greatest("n", "n2") * F.lit(similarity)  # sets of other sizes cannot be near
     pairs = cold.join(other(cold), "key").filter((F.col("digest") < F.col("digest2")) & alike).select(F.col("digest").alias("u"), F.col("digest2").alias("v"))
-    edges = _verified(pairs, docs, text_col, shingle, similarity)
+    edges = _verified(simhash_pairs(points.select("digest", "fp")).unionByName(pairs), docs, text_col, shingle, similarity)
     hot = members.filter(F.col("members") > COLD)
     if not hot.isEmpty():
         known = hot.groupBy("digest").agg(F.sum("members").alias("weight"))

@@ -24,7 +24,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingle sets of similarity 0.8 or more, the one with the smallest id."""
+    """Of documents linked by five-word shingle sets of similarity 0.8 or more, the one with the smallest id; SimHash and MinHash propose the links."""
     return shingles.one_of_each(docs)
 
 

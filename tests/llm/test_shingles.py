@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from codeatlas.llm import shingles
+from codeatlas.llm import shingles, simhash
 
 
 def shingle_set(text, k=5):
@@ -65,3 +65,14 @@ def test_odd_rows(docs, rows, empty):
     got = shingles.near_copies(docs).collect()
     assert len(got) == len(rows) and all(g.component_id == label[g.doc_id] for g in got)
     assert shingles.near_copies(empty).count() == 0
+
+
+def test_simhash_proposes_pairs(spark):
+    """Texts within 4 bits are candidates by SimHash, those of one fingerprint with the first of them."""
+    rows = [(b"a", 0), (b"b", 0), (b"c", 0b1111), (b"d", 0b11111 << 20), (b"e", -1), (b"f", -1)]
+    points = spark.createDataFrame([(bytearray(d), f) for d, f in rows], "digest binary, fp bigint")
+    got = sorted({(bytes(r.u), bytes(r.v)) for r in shingles.simhash_pairs(points).collect()})
+    assert got == [(b"a", b"b"), (b"a", b"c"), (b"e", b"f")]
+    docs = spark.createDataFrame([(1, "x y z"), (2, None)], "doc_id long, text string")
+    fps = {r.id: r.fp for r in shingles._sketches(docs, "doc_id", "text", 5).collect()}
+    assert fps == {r.id: r.fp for r in simhash.fingerprints(docs).collect()}
