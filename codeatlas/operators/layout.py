@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def layers(nodes: DataFrame, edges: DataFrame, table) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame, table, parts: int | None = None) -> DataFrame:
     """path, layer by longest path from the files that nobody imports (edges: source_path imports target_path).
 
     Each round settles the files whose importers are all settled, and hands their layer to
     what they import; only edges of files that are not settled yet go on to the next round, and
     layers are written once. Files on cycles come after: one layer below their lowest settled
     importer, or in the middle without any. table stores a frame and reads it again, which cuts
-    the lineage of each round; there is a round per layer.
+    the lineage of each round; there is a round per layer. Edges are dealt to parts partitions if that is given.
     """
     paths = nodes.select("path")
-    inside = edges.join(paths.withColumnRenamed("path", "source_path"), "source_path", "left_semi").join(paths.withColumnRenamed("path", "target_path"), "target_path", "left_semi").filter("source_path <> target_path")
+    dealt = lambda rows, end: rows.repartition(parts, end) if parts else rows
+    inside = edges.select("source_path", "target_path").filter("source_path <> target_path")
+    for end in ("source_path", "target_path"):
+        inside = dealt(inside, end).join(paths.withColumnRenamed("path", end), end, "left_semi")
     inside = table(inside.select("source_path", "target_path").distinct())
-    new = table(paths.join(inside.select(F.col("target_path").alias("path")), "path", "left_anti").withColumn("layer", F.lit(0)))
+    imported = lambda: dealt(inside, "target_path").select(F.col("target_path").alias("path"))
+    new = table(paths.join(imported(), "path", "left_anti").withColumn("layer", F.lit(0)))
     rest = table(paths.join(new, "path", "left_anti").withColumn("layer", F.lit(None).cast("int")))
     done = [new]
     while not rest.isEmpty():
         # What the files settled last hand on; rest keeps the best so far.
-        handed = inside.join(new.withColumnRenamed("path", "source_path"), "source_path").groupBy(F.col("target_path").alias("path")).agg((F.max("layer") + 1).alias("more"))
-        inside = table(inside.join(rest.select(F.col("path").alias("source_path")), "source_path", "left_semi"))
+        handed = dealt(inside, "source_path").join(new.withColumnRenamed("path", "source_path"), "source_path").groupBy(F.col("target_path").alias("path")).agg((F.max("layer") + 1).alias("more"))
+        inside = table(dealt(inside, "source_path").join(rest.select(F.col("path").alias("source_path")), "source_path", "left_semi"))
         rest = table(rest.join(handed, "path", "left").select("path", F.greatest("layer", "more").alias("layer")))
-        new = table(rest.join(inside.select(F.col("target_path").alias("path")), "path", "left_anti"))
+        new = table(rest.join(imported(), "path", "left_anti"))
         if new.isEmpty():
             middle = reduce(DataFrame.unionByName, done).agg(F.ceil(F.coalesce(F.max("layer"), F.lit(0)) / 2).cast("int").alias("middle"))
             done.append(rest.crossJoin(F.broadcast(middle)).select("path", F.coalesce("layer", "middle").alias("layer")))  # one row

@@ -296,3 +296,40 @@ def test_merged_and_accumulated_pairs_are_dealt(spark):
     assert sorted(summed.collect()) == sorted(history.accumulate_pairs(pairs, pairs).collect())
     got = graph.merge_pairs(pairs.filter("cochange_count >= 20"), turned, 9)
     assert sorted(got.collect()) == sorted(pairs.collect())
+
+
+def test_edges_are_dealt_by_the_lines(spark, monkeypatch):
+    """Both joins of edges with paths have as many tasks as the lines ask for, whatever the session's number is, to the same rows."""
+    from codeatlas.plans import bindings as B
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(B.imports(spark, "/root/testdata/sf0.001").collect())
+        monkeypatch.setattr(B, "TASK_ITEMS", 500)
+        got = B.imports(spark, "/root/testdata/sf0.001")
+        n = -(-B.n_items(spark, "/root/testdata/sf0.001") // 500)
+        assert n > 10 and got.rdd.getNumPartitions() == n
+        assert sorted(got.collect()) == want and want
+        monkeypatch.setattr(B, "TASK_ITEMS", 5_000)
+        assert B.imports(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_layers_deal_their_edges(spark):
+    """With a number of partitions, the edges of a round are dealt to so many tasks, to the same layers."""
+    from codeatlas.shared import stored
+
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(12)], "path string")
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{j:02}") for i in range(10) for j in range(i, 12, 3)] + [("n11", "n10"), ("n10", "n11")], "source_path string, target_path string")
+    names = []
+
+    def table(df):
+        if "target_path" in df.columns:
+            names.append(df.rdd.getNumPartitions())
+        return stored(df)
+
+    got = sorted(layout.layers(nodes, edges, table, 9).collect())
+    assert names and set(names) == {9}
+    assert got == sorted(layout.layers(nodes, edges, stored).collect())
