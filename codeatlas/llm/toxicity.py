@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -195,12 +196,10 @@ def held_out(id_column) -> F.Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", mark: str = "toxic") -> Model:
-    """Fit on a bounded sample: the sample labelled rows that come first by a hash of their id, held-out ones apart.
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, id_col: str, text_col: str, mark: str) -> DataFrame | None:
+    """text, mark of the rows that train() learns from; None without any.
 
-    Of rows that share an id one is learnt from. A text that would take the sample over
-    sample_bytes is left out, so the driver gets no more rows and bytes than these. Rows with a null id or mark
-    are not learnt from. Ids are chosen from the labels alone, and their texts found by scans of docs.
+    Ids are chosen from the labels alone, and their texts found by scans of docs.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(mark).isNotNull() & ~held_out(F.col(id_col)))
     order = ["order", "id", "mark"]
@@ -214,12 +213,40 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes:
             total += r["n"]
             picked.append((r["id"], r["hash"], r["mark"]))
     if not picked:
-        return fit([], [])
+        return None
     wanted = docs.sparkSession.createDataFrame(picked, f"id {docs.schema[id_col].dataType.simpleString()}, hash bigint, mark int")
-    got = texts.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["id", "hash", "mark"]).select("text", "mark").collect()
-    got = sorted((bytes(t), m) for t, m in got)
-    order = np.random.default_rng(9).permutation(len(got))
-    return fit([got[i][0] for i in order], [got[i][1] for i in order])
+    return texts.join(F.broadcast(wanted), ["id", "hash"]).dropDuplicates(["id", "hash", "mark"]).select("text", "mark")
+
+
+def _fitted(rows: list[tuple[bytes, int]]) -> Model:
+    """fit() on the rows of a sample, whatever their order is."""
+    rows = sorted((bytes(t), m) for t, m in rows)
+    order = np.random.default_rng(9).permutation(len(rows))
+    return fit([rows[i][0] for i in order], [rows[i][1] for i in order])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", mark: str = "toxic") -> Model:
+    """Fit on a bounded sample: the sample labelled rows that come first by a hash of their id, held-out ones apart.
+
+    Of rows that share an id one is learnt from. A text that would take the sample over
+    sample_bytes is left out, so the driver gets no more rows and bytes than these. Rows with a null id or mark
+    are not learnt from.
+    """
+    rows = _sampled(docs, labels, sample, sample_bytes, id_col, text_col, mark)
+    return _fitted(rows.collect() if rows is not None else [])
+
+
+def train_in_task(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", mark: str = "toxic") -> Model:
+    """train() where the driver's memory is short: the same model, but its bounded sample goes to a task and the driver gets the model alone."""
+    rows = _sampled(docs, labels, sample, sample_bytes, id_col, text_col, mark)
+    if rows is None:
+        return fit([], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted([r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

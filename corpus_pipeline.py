@@ -14,7 +14,7 @@ from codeatlas.llm.common import scratch
 
 def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier scores under 0.5; it learns from labels."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.train_in_task(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject_toxic(docs, model)
 
 

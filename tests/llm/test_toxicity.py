@@ -94,3 +94,23 @@ def test_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
     toxicity.train(docs, labels, sample_bytes=3000)
     toxicity.train(docs, labels.limit(0))
     assert len(got[0][0]) == len(usable) and len(got[1][0]) == 9 and 0 < sum(map(len, got[2][0])) <= 3000 and got[3] == ([], [])
+
+
+def test_training_runs_in_a_task(spark, monkeypatch):
+    """The driver sees no text: what fit() needs is found in the task, and the model is that of the same rows in the driver."""
+    texts = [f"{'vile slur words ' if i % 3 == 0 else 'plain calm talk '}number {i} of the day" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    free = [r.doc_id for r in docs.filter(~toxicity.held_out(docs["doc_id"])).collect()]
+    rows = sorted((texts[i].encode(), int(i % 3 == 0)) for i in free)
+    order = np.random.default_rng(9).permutation(len(rows))
+    want = toxicity.fit([rows[i][0] for i in order], [rows[i][1] for i in order])
+
+    def driver(*args):
+        raise AssertionError("trained in the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "windows", driver)
+        m.setattr(toxicity, "calibrate", driver)
+        got = toxicity.train_in_task(docs, labels)
+    assert got.pairs == want.pairs and got.weights.tolist() == want.weights.tolist()
