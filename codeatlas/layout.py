@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import graph, listing
 
@@ -30,14 +31,26 @@ class Layout:
         for table in tables:
             key = self.TABLES[table]
             dealt = rows[table].repartition(self.buckets, key)  # a bucket is written by one task, as one sorted file
-            dealt.write.bucketBy(self.buckets, key).sortBy(key).mode("overwrite").option("path", f"{self.root}/{table}").saveAsTable(f"{self.name}_{table}")
+            self._save(table, dealt, key)
+
+    def _save(self, table: str, dealt: DataFrame, key: str) -> None:
+        dealt.write.bucketBy(self.buckets, key).sortBy(key).mode("overwrite").option("path", f"{self.root}/{table}").saveAsTable(f"{self.name}_{table}")
+
+    def write_numbered(self, beside: DataFrame, names: DataFrame) -> None:
+        """Write partners from history.beside() with numbers for paths, and the table of number, path that tells their names.
+
+        Numbers are in the order of paths, so ranks are the same. Pairs are dealt to their buckets once and counted there.
+        """
+        pairs = beside.repartition(self.buckets, "path").select("path", F.explode("partners").alias("partner"))
+        self._save("partners", pairs.groupBy("path", "partner").agg(F.count(F.lit(1)).alias("cochange_count")), "path")
+        self._save("names", names.select("number", "path").repartition(self.buckets, "number"), "number")
 
     def read(self, table: str) -> DataFrame:
         return self.spark.table(f"{self.name}_{table}")
 
     def drop(self) -> None:
         """Forget the tables' names; their files stay under the root."""
-        for table in self.TABLES:
+        for table in (*self.TABLES, "names"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
 
     def indegrees(self) -> DataFrame:
@@ -51,3 +64,10 @@ class Layout:
 
     def partners(self, k: int = 10) -> DataFrame:
         return graph.ranked_partners(self.read("partners"), k)
+
+    def named_partners(self, k: int = 10) -> DataFrame:
+        """partners() of a layout with numbers for paths. The partners that are left are dealt by their numbers for their names."""
+        rows = self.partners(k)
+        for end in ("path", "partner"):
+            rows = rows.join(self.read("names").select(F.col("number").alias(end), F.col("path").alias(f"{end}_name")), end)
+        return rows.select(F.col("path_name").alias("path"), F.col("partner_name").alias("partner"), "cochange_count", "rank")

@@ -7,7 +7,7 @@ from codeatlas.functions import extract as E
 from codeatlas.functions import tables
 from codeatlas.functions import tree as T
 from codeatlas.layout import Layout
-from codeatlas.operators import graph, listing, pattern
+from codeatlas.operators import graph, history, listing, pattern
 from codeatlas.sources import files as S
 
 
@@ -70,6 +70,34 @@ def test_tables_that_are_not_asked_for_are_not_worked_out(spark, laid, tmp_path)
     some.drop()
 
 
+def test_partners_by_numbers(spark, tmp_path):
+    rows = [(f"c{n}", f"f{(n * 7 + k * k) % 23:02}.ts") for n in range(90) for k in range(n % 5)]
+    changes = spark.createDataFrame(rows, "hash string, path string").distinct()
+    numbered, names = history.numbered(changes)
+    commits = history.grouped(numbered)
+    out = Layout(spark, f"file://{tmp_path}/numbered", "laid_numbers", 4)
+    out.write_numbered(history.beside(commits), names)
+    want = graph.partners(history.cochanges(changes), 3)
+    assert exchanges(spark, out.partners(3)) == [] and shown(out.named_partners(3)) == shown(want)
+    assert history.parts_of(commits) == 1 and history.parts_of(commits.limit(0)) == 1
+    out.drop()
+
+
+def test_laid_out_pairs_travel_without_texts(spark):
+    """At sf0.01 all shuffles together take 12 MB where pairs are texts."""
+    from codeatlas.plans import registry
+
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    assert registry.QUERIES["win2_laid_out"](spark, "/root/testdata/sf0.01").count() == 10_000
+    assert sum(n for stage, n in stages().items() if stage not in before) < 5_000_000
+
+
 GO = 'package main\n\n// func No() {}\nfunc Add(a int, b int) int {\n\treturn a + b\n}\n\ntype Point struct {\n\tX int\n}\n\nfunc (p Point) Size() int { s := `func raw() {`; return p.X }\n'
 
 
